@@ -14,7 +14,7 @@ these steps, each of which covers every row:
    next d + 2 - r frequent ones, indexed by *pairs*. A partner that shares no rare token and fewer than two of those
    frequent ones would miss more than d tokens, so partners always meet in some list of the index.
 5. *Lists*: pairs of one list are candidates unless their sizes rule the threshold out or step 3 has already put both
-   in one component. Lists with the same members are read once.
+   in one component, or bitmaps of the sets differ in too many bits. Lists with the same members are read once.
 6. *Verification*: the exact sets of the candidates are compared, and the components of all links are formed.
 
 The index travels as packed arrays, one row for each task and index bucket, so that Spark shuffles few large rows.
@@ -42,12 +42,20 @@ BUCKET_POSTINGS = 1_000_000
 _SEEDS = mix(np.arange(77, 80, dtype=np.uint64)) | np.uint64(1)
 _PAIR = mix(np.arange(90, 92, dtype=np.uint64)) | np.uint64(1)
 _FILTER_BITS = 22
+#: 64-bit words of a set's bitmap. Every token flips a bit, so two sets differ in as many tokens as bits, at least.
+BITMAP_WORDS = 16
 
 
 def _slot(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    at = ((tokens * _PAIR[0]) >> np.uint64(40)) % np.uint64(64 * BITMAP_WORDS)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
     """(slots, counts); slots are empty where all counts are given."""
     kind = np.uint8 if counts.max(initial=0) < 256 else np.uint32
@@ -58,34 +66,35 @@ def _pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def _profile_schema() -> str:
-    return "doc_id long, n int, cls long, m array<long>, part int, salt int, slots binary, counts binary"
+    return "doc_id long, n int, cls long, m array<long>, bits binary, part int, salt int, slots binary, counts binary"
 
 
 def _profiles(width: int):
-    names = ["doc_id", "n", "cls", "m", "part", "salt", "slots", "counts"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["doc_id", "n", "cls", "m", "bits", "part", "salt", "slots", "counts"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            ids, sizes, classes, keys, slots = batch.column(0).to_pylist(), [], [], [], []
+            ids, sizes, classes, keys, bits, slots = batch.column(0).to_pylist(), [], [], [], [], []
             for text in batch.column(1):
                 tokens = shingle_set(text.as_py(), width)
                 sizes.append(len(tokens))
                 classes.append(set_class(tokens))
                 keys.append([int((tokens * s).min().astype(np.int64)) for s in _SEEDS] if len(tokens) else None)
+                bits.append(bitmap(tokens).tobytes() if len(tokens) else None)
                 slots.append(_slot(tokens))
             if slots:
                 counts += np.bincount(np.concatenate(slots), minlength=len(counts))
             none = [None] * len(ids)
-            columns = [ids, sizes, classes, keys, none, none, none, none]
+            columns = [ids, sizes, classes, keys, bits, none, none, none, none]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
         size, salt = len(counts) // SKETCH_PARTS, TaskContext.get().partitionId() // 256
         for part in range(SKETCH_PARTS):
             own = counts[part * size : (part + 1) * size]
             if own.any():
                 packed = _pack_counts(own)
-                columns = [[None], [None], [None], [None], [part], [salt], [packed[0]], [packed[1]]]
+                columns = [[None], [None], [None], [None], [None], [part], [salt], [packed[0]], [packed[1]]]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return run
@@ -219,14 +228,17 @@ def _shared_lists(group: pa.Table) -> pa.Table:
     })
 
 
-def list_pairs(cls: np.ndarray, lengths: np.ndarray, size: np.ndarray, comp: np.ndarray, t_num: int, t_den: int) -> np.ndarray:
-    """Candidate pairs of all lists as rows (a, b) of member positions: other component, sizes that allow the threshold."""
+def list_pairs(cls: np.ndarray, lengths: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray, t_num: int, t_den: int) -> np.ndarray:
+    """Candidate pairs of all lists as rows (a, b) of member positions: other component, sizes and bits that allow the threshold."""
     n_members, found = len(size), []
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
         low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         good = (comp[a] != comp[b]) & (t_den * low >= t_num * high)
         a, b = a[good], b[good]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+        good = apart * (t_den + t_num) <= (t_den - t_num) * (size[a] + size[b])
+        a, b = a[good], b[good]
         if len(a):
             found.append(np.unique(np.minimum(a, b) * n_members + np.maximum(a, b)))
 
@@ -262,9 +274,13 @@ def _candidates(t_num: int, t_den: int):
                 members = np.array(row["members"], np.int64)
                 cls = np.searchsorted(members, np.frombuffer(row["classes"], np.int64))
                 comp = np.arange(len(members), dtype=np.int64)
-                for known in row["known"] or ():
-                    comp[np.searchsorted(members, known["cls"])] = len(members) + known["comp"]
-                pairs = list_pairs(cls, np.frombuffer(row["lengths"], np.uint32).astype(np.int64), np.array(row["sizes"], np.int64), comp, t_num, t_den)
+                bits = np.zeros((len(members), BITMAP_WORDS), np.uint64)
+                for known in row["known"]:
+                    at = np.searchsorted(members, known["cls"])
+                    bits[at] = np.frombuffer(known["bits"], np.uint64)
+                    if known["comp"] is not None:
+                        comp[at] = len(members) + known["comp"]
+                pairs = list_pairs(cls, np.frombuffer(row["lengths"], np.uint32).astype(np.int64), np.array(row["sizes"], np.int64), comp, bits, t_num, t_den)
                 for lo in range(0, len(pairs), 100_000):
                     part = members[pairs[lo : lo + 100_000]]
                     yield pa.record_batch([pa.array(part[:, 0]), pa.array(part[:, 1])], ["x", "y"])
@@ -335,9 +351,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     t_num, t_den = threshold
     source = docs.select("doc_id", "text")
     first = materialize(source.mapInArrow(_profiles(width), _profile_schema()), "profiles")
-    rows = first.where("part IS NULL").select("doc_id", "n", "cls", "m")
+    rows = first.where("part IS NULL").select("doc_id", "n", "cls", "m", "bits")
     levels, frequent = _levels(first.where("part IS NOT NULL").select("part", "salt", "slots", "counts"))
-    classes = materialize(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("m").alias("m")), "classes")
+    classes = materialize(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits")), "classes")
     total = classes.agg(F.sum("n").alias("n"), F.count("*").alias("c")).first()
     buckets = max(16, math.ceil(((total["n"] or 0) * (1 - t_num / t_den) + total["c"]) / BUCKET_POSTINGS))
 
@@ -355,12 +371,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     lists = materialize(
         index.groupBy("bucket").applyInArrow(_shared_lists, "bucket int, classes binary, lengths binary, members array<long>, sizes array<int>"), "lists"
     )
-    tied = classes.join(known, "node").select("cls", F.col("component").alias("comp"))
+    tied = classes.join(known, "node", "left").select("cls", F.col("component").alias("comp"), "bits")
     named = (
         lists.select("bucket", F.explode("members").alias("cls")).join(tied, "cls")
-        .groupBy("bucket").agg(F.collect_list(F.struct("cls", "comp")).alias("known"))  # one bucket's members: bounded by BUCKET_POSTINGS
+        .groupBy("bucket").agg(F.collect_list(F.struct("cls", "comp", "bits")).alias("known"))  # one bucket's members: bounded by BUCKET_POSTINGS
     )
-    pairs = lists.join(named, "bucket", "left").mapInArrow(_candidates(t_num, t_den), "x long, y long").distinct()
+    pairs = lists.join(named, "bucket").mapInArrow(_candidates(t_num, t_den), "x long, y long").distinct()
     ends = classes.where("node IS NOT NULL").select("cls", "node")
     pairs = (
         pairs.join(ends.select(F.col("cls").alias("x"), F.col("node").alias("a")), "x")
