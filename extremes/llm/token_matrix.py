@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,46 +16,20 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens that are packed together; what a task holds at a time.
 GROUP_TOKENS = 4_000_000
-REMEMBERED = 400_000
-_WIDE_SPACE = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 
 
 class Encoder:
-    """Ids of whole texts; the ids of a chunk between single blanks or line ends are remembered.
-
-    Single blanks and line ends between other characters are always borders of the splitting pattern, so such a text's
-    ids are its chunks' ids in a row. Texts with other white space are encoded as a whole.
-    """
+    """Ids of whole texts, in the smallest type that holds them."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(k): int(v) for k, v in (x.split() for x in lines if x.strip())}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.size = len(ranks)
-        self.line_end = self.encode("\n")
-        self.seen: dict[str, np.ndarray] = {}
+        self.kind = np.dtype("<u2" if self.size < 1 << 16 else "<u4")
 
     def ids(self, text: str) -> np.ndarray:
-        if _WIDE_SPACE.search(text):
-            return np.array(self.encode(text), np.uint32)
-        seen, out = self.seen, []
-        for n, line in enumerate(text.split("\n")):
-            if n:
-                out += self.line_end
-            first, *rest = line.split(" ")
-            out += self._chunk(first)
-            for word in rest:
-                chunk = " " + word
-                out += seen[chunk] if chunk in seen else self._chunk(chunk)
-        return np.array(out, np.uint32)
-
-    def _chunk(self, chunk: str) -> list[int]:
-        got = self.seen.get(chunk)
-        if got is None:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            got = self.seen[chunk] = self.encode(chunk)
-        return got
+        return np.array(self.encode(text), self.kind)
 
 
 @functools.cache
@@ -152,7 +125,7 @@ def pack_tokens(docs: DataFrame, length: int = 2048, path: str = VOCABULARY, end
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(enc.ids(text.as_py() or ""), np.uint32(end)).astype(kind)
+                ids = np.append(enc.ids(text.as_py() or "").astype(kind, copy=False), kind.type(end))
                 pieces.extend((doc_id, lo, ids[lo : lo + length]) for lo in range(0, len(ids), length))
                 held += len(ids)
                 if held >= group_tokens:

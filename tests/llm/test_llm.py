@@ -152,7 +152,7 @@ def test_texts_come_back_from_the_template(spark, pieces):
     chats = chat.format_chats(turns.withColumn("parts", chat.text_part(F.col("text"))))
     r = chats.select(chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("l"), "formatted").first()
     assert [(x.role, x.text) for x in r.t] == [("user", text), ("assistant", text)] and r.l == [text]
-    assert not re.search(r"</?s>|\[/?INST\]|<</?SYS>>", re.sub(r"<\|\w+\|>", "", r.formatted)))
+    assert not re.search(r"</?s>|\[/?INST\]|<</?SYS>>", re.sub(r"<\|\w+\|>", "", r.formatted))
 
 
 def test_typed_parts(spark):
@@ -251,7 +251,7 @@ def _encoding():
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=" \n\tab.,'s1é🙂  ", max_size=30))
-def test_chunks_are_encoded_like_whole_texts(text):
+def test_ids_are_the_tokenizers(text):
     assert token_matrix.encoder(token_matrix.VOCABULARY).ids(text).tolist() == _encoding_cached().encode_ordinary(text)
 
 
