@@ -8,6 +8,7 @@ shards of a fixed size; each shard is held against all texts.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 #: Items of one shard: what a task holds of the index at a time.
 SHARD_ITEMS = 256
-BLOCK = 16
+#: Items of one block: few, so that a block's bound is near its items' scores.
+BLOCK = 4
 #: Most words of an item that are indexed as one; longer items are cut into pieces, each with the item's id.
 ITEM_WORDS = 256
 _WORD = re.compile(r"\w+")
@@ -92,9 +94,14 @@ class Index:
         self.window = max(32, 2 * longest)
         self.grams = [(grams(q), grams(a)) for q, a in self.parts]
 
-    def above(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Block-max WAND: all (item, score) with at least ``threshold``, for a query of distinct terms."""
-        cursors = [[self.items[t][0], 0, t] for t in terms if self.items[t]]
+    def above(self, terms: list[int], threshold: float, first: int = 0, last: int | None = None) -> list[tuple[int, float]]:
+        """Block-max WAND: all (item, score) with at least ``threshold`` among items first .. last - 1, for distinct terms."""
+        stop = self.n if last is None else last
+        cursors = []
+        for t in terms:
+            at = bisect.bisect_left(self.items[t], first)
+            if at < len(self.items[t]) and self.items[t][at] < stop:
+                cursors.append([self.items[t][at], at, t])
         found = []
         eps = 1e-6  # block bounds are single precision
         while cursors:
@@ -127,15 +134,15 @@ class Index:
             for k in move:
                 c = cursors[k]
                 c[1] = bisect.bisect_left(self.items[c[2]], target, c[1])
-                c[0] = self.items[c[2]][c[1]] if c[1] < len(self.items[c[2]]) else None
-            cursors = [c for c in cursors if c[0] is not None]
+                c[0] = self.items[c[2]][c[1]] if c[1] < len(self.items[c[2]]) else stop
+            cursors = [c for c in cursors if c[0] < stop]
         return found
 
     def leaks(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
         """(item id, score, question overlap, answer overlap) of the items that the text holds."""
         words = split_words(text)
         get = self.terms.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+        ids = np.fromiter(map(get, words, itertools.repeat(0)), np.int32, len(words))
         if not ids.any() or not self.n:
             return []
         step = self.window // 2
@@ -152,9 +159,11 @@ class Index:
                 lo, hi = base + starts[k], base + ends[k]
                 terms = np.unique(ids[lo:hi])
                 terms = terms[terms > 0]
-                if self.bounds[terms].sum(0).max() + 1e-5 < threshold:
+                live = np.flatnonzero(self.bounds[terms].sum(0) + 1e-5 >= threshold)
+                if not len(live):
                     continue
-                for item, s in self.above(terms.tolist(), threshold):
+                asked = terms.tolist()
+                for item, s in (x for block in live.tolist() for x in self.above(asked, threshold, block * BLOCK, (block + 1) * BLOCK)):
                     here = grams(words[max(0, lo - step) : hi + step])
                     short = {g for n in (1, 2) for part_ in self.parts[item] if len(part_) == n for g in grams(words[max(0, lo - step) : hi + step], n)}
                     q, a = (len(g & (here | short)) / len(g) if g else 1.0 for g in self.grams[item])
