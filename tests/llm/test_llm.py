@@ -418,6 +418,20 @@ def test_connected_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 90, 90: 90}
 
 
+def test_connected_hubs(spark):
+    """Nodes with very many neighbours: one larger than all of them, one smaller, and a random graph."""
+    rng = random.Random(8)
+    edges = [(5000, i) for i in range(1, 900)] + [(1000, i) for i in range(1001, 1900)] + [(rng.randrange(2000, 3000), rng.randrange(2000, 3000)) for _ in range(600)]
+    top = {i: i for e in edges for i in e}
+    find = lambda i: i if top[i] == i else find(top[i])
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    linked = {i for a, b in edges if a != b for i in (a, b)}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: find(i) for i in linked}
+
+
 def test_shingles_are_the_definition():
     for text in ("", None, " a ", "A b C", "a b c d e", "a b c d e f a b c d e", "É é x\x0by\x0cz w v u t"):
         assert len(shingle_set(text)) == len(_sets([(0, text)])[0])
