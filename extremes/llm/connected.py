@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     Only nodes with an edge to another node are returned. Rows with a null end and loops are ignored; repeated rows
     change nothing; an empty table gives an empty one. Every round re-hangs edges by joins on (node, salt) with a
     partial minimum, so the edges of a node with very many neighbours are dealt over SALTS parts; the number of rounds grows with the
-    logarithm of the longest chain. Each round's edges are written to the shared folder.
+    logarithm of the longest chain. Each step's edges are written to the shared folder.
     """
     current = materialize(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -54,7 +54,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state["n"]:
             break
         before = state
-        current = materialize(_stars(_stars(current, True), False), "edges")
+        hung = materialize(_stars(current, True), "edges")  # keeps plans small
+        current = materialize(_stars(hung, False), "edges")
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
