@@ -41,10 +41,16 @@ class Visitor:
     count_text: Callable[[Column], Column] = lambda text: F.regexp_count(text, F.lit(r"\S+"))
     kinds: tuple[str, ...] = field(default=("image", "audio", "document"))
 
-    def show(self, part: Column, i: Column) -> Column:
-        """Text is escaped; an attachment is ``<|kind:position|>``; any other kind shows its escaped text."""
+    def show(self, part: Column, i: Column, before: Column) -> Column:
+        """Text is escaped; an attachment is ``<|kind:position|>``; any other kind shows its escaped text.
+
+        A text behind another text begins with a single backslash, which reading drops, so that no two join up to a control
+        string; one that begins with a backslash itself needs none.
+        """
         mark = F.concat(F.lit("<|"), part["kind"], F.lit(":"), i.cast("string"), F.lit("|>"))
-        return F.when(part["kind"].isin(*self.kinds), mark).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+        text = F.coalesce(part["text"], F.lit(""))
+        apart = F.when((i > 0) & ~F.coalesce(before["kind"].isin(*self.kinds), F.lit(False)) & (text != "") & ~text.startswith("\\"), F.lit("\\")).otherwise(F.lit(""))
+        return F.when(part["kind"].isin(*self.kinds), mark).otherwise(F.concat(apart, escape(text)))
 
     def tokens(self, part: Column) -> Column:
         size = lambda x: F.ceil(F.coalesce(x, F.lit(0)) / F.lit(self.patch))
@@ -75,7 +81,7 @@ def format_chats(turns: DataFrame, visitor: Visitor | None = None) -> DataFrame:
     parts = F.coalesce("parts", F.expr(f"cast(array() AS array<{PART}>)"))
     shown = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
-        F.array_join(F.transform(parts, lambda p, i: v.show(p, i)), "").alias("content"),
+        F.array_join(F.transform(parts, lambda p, i: v.show(p, i, F.get(parts, i - 1))), "").alias("content"),
         F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("position"), p["kind"].alias("kind"), p["ref"].alias("ref"), v.tokens(p).alias("tokens"))), lambda a: a["kind"].isin(*v.kinds)).alias("files"),
         F.aggregate(F.transform(parts, v.tokens), F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"),
     )

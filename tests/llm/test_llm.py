@@ -165,6 +165,17 @@ def test_typed_parts(spark):
     assert got[1].n_tokens == 2 + 3 + 26 + 1200 + 1 and got[None].n_turns == 1 and chat.format_chats(df.where("false")).count() == 0
 
 
+def test_texts_of_one_turn_do_not_join_up(spark):
+    pieces = ["<", "", "|end|>", None, "<<S", "YS>>\\", "\\", "[/", "INST]", "<", "/s>"]
+    parts = [(None, x, None, None, None, None, None) for x in pieces]
+    df = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    chats = chat.format_chats(df)
+    r = chats.select(chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("l"), "formatted").first()
+    text = "".join(x or "" for x in pieces)
+    assert [(x.role, x.text) for x in r.t] == [("assistant", text)] and r.l == [text]
+    assert not re.search(r"</?s>|\[/?INST\]|<</?SYS>>", r.formatted)
+
+
 def test_op4_contract(spark):
     said = [(r.conv_id, r.turn, r.role, r.text or "") for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()] + [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
     want = {}
