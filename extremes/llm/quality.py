@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,13 +19,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 TEXT_SLOTS = 1 << 16
 CATEGORY_SLOTS = 64
-#: Bounds of the training sample: labelled rows, and unlabelled rows that pseudo-labels are given to.
+#: Page features that are shares and sizes; the slots of source and language follow.
+SIZES = 23
+#: Bound of the labelled rows that are trained on; every unlabelled row is in the pool.
 LABELLED_ROWS = 5000
-POOL_ROWS = 5000
 #: Text slots that the text classifier uses, those that tell most about the labels.
 TEXT_FEATURES = 1024
+#: Passes over the pool to fit both views in a round, unlabelled rows of a block, and bins of the margins from -30 to 30.
+PASSES = 8
+BLOCK_ROWS = 2000
+BINS = 4096
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _known: dict[str, int] = {}
 
@@ -116,8 +124,143 @@ class Model:
         return tuple(float(_sure(np.array(v))) for v in (a, b, z))
 
 
-def co_train(slots: list[np.ndarray], pages: np.ndarray, y: np.ndarray, rounds: int = 4, sure: float = 0.97) -> Model:
-    """Fit on rows with y in {0, 1} (labelled) or -1 (pool). A fifth of the labelled rows is kept for calibration."""
+#: Unlabelled rows: text features of all rows in a row (each row's end with the constant), where rows start, page features.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Sums a vector that a function makes of blocks over the whole pool; None if the pool is empty.
+PoolSum = Callable[[Callable[[Iterable[Block]], np.ndarray]], np.ndarray | None]
+
+
+@dataclass
+class Basis:
+    """The features that the views use of a row."""
+
+    chosen: np.ndarray
+    centre: np.ndarray
+    spread: np.ndarray
+
+    def words(self, slots: np.ndarray) -> np.ndarray:
+        """Places of the chosen slots that a row has."""
+        at = np.searchsorted(self.chosen, slots)
+        return at[self.chosen[np.minimum(at, len(self.chosen) - 1)] == slots]
+
+    def row(self, slots: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.append(self.words(slots), len(self.chosen)).astype(np.uint16), ((page - self.centre) / self.spread).astype(np.float32)
+
+
+def block_of(rows: list[tuple[np.ndarray, np.ndarray]]) -> Block:
+    ends = np.cumsum([len(words) for words, _ in rows])
+    return np.concatenate([words for words, _ in rows]), np.r_[0, ends[:-1]], np.stack([page for _, page in rows])
+
+
+def _margins(block: Block, texts: list[np.ndarray], pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of a block's rows by each text and each page classifier."""
+    words, starts, page = block
+    w = np.stack(pages, 1)
+    return np.add.reduceat(np.stack(texts, 1)[words], starts, axis=0), np.einsum("ij,jk->ik", page, w[:-1]) + w[-1]
+
+
+@dataclass
+class Teacher:
+    """What a view labels for the other: 1 from ``high`` on, 0 up to ``low``."""
+
+    w: np.ndarray
+    low: float
+    high: float
+
+
+def _given(z: np.ndarray, teachers: list[Teacher]) -> np.ndarray:
+    """Pseudo-labels of margins (rows, teachers): the first teacher that is sure counts; -1 without one."""
+    out = np.full(len(z), -1)
+    for k in reversed(range(len(teachers))):
+        out[z[:, k] >= teachers[k].high] = 1
+        out[z[:, k] <= teachers[k].low] = 0
+    return out
+
+
+def margin_counts(text: np.ndarray, page: np.ndarray) -> Callable[[Iterable[Block]], np.ndarray]:
+    """Counts of the pool's rows in bins of both views' margins."""
+
+    def count(blocks: Iterable[Block]) -> np.ndarray:
+        out = np.zeros((2, BINS))
+        for block in blocks:
+            for view, z in enumerate(_margins(block, [text], [page])):
+                at = ((np.clip(z[:, 0], -30, 30) + 30) / 60 * BINS).astype(int)
+                out[view] += np.bincount(np.minimum(at, BINS - 1), minlength=BINS)
+        return out.ravel()
+
+    return count
+
+
+def pool_gradient(text: np.ndarray, page: np.ndarray, teachers: list[list[Teacher]]) -> Callable[[Iterable[Block]], np.ndarray]:
+    """Of each view, over the rows that the other view's teachers label for it: their number, log loss and its gradient."""
+
+    def add(blocks: Iterable[Block]) -> np.ndarray:
+        out = [np.zeros(2 + len(text)), np.zeros(2 + len(page))]
+        for block in blocks:
+            words, starts, shape = block
+            z = _margins(block, [text, *(t.w for t in teachers[0])], [page, *(t.w for t in teachers[1])])
+            for view in (0, 1):
+                y = _given(z[1 - view][:, 1:], teachers[1 - view])
+                own, margin = y >= 0, np.clip(z[view][:, 0], -30, 30)
+                error = np.where(own, _sure(margin) - y, 0)
+                out[view][0] += own.sum()
+                out[view][1] += (np.logaddexp(0, margin) - y * margin)[own].sum()
+                if view == 0:
+                    out[view][2:] += np.bincount(words, np.repeat(error, np.diff(np.r_[starts, len(words)])), len(text))
+                else:
+                    out[view][2:-1] += error @ shape
+                    out[view][-1] += error.sum()
+        return np.concatenate(out)
+
+    return add
+
+
+class Search:
+    """Minimises by L-BFGS steps; ``at`` is the point whose loss and gradient ``tell`` waits for, ``w`` the best so far."""
+
+    def __init__(self, w: np.ndarray, rate: float):
+        self.at, self.w, self.rate, self.pairs, self.loss = w, w, rate, [], np.inf
+
+    def tell(self, loss: float, slope: np.ndarray) -> None:
+        if loss > self.loss:
+            self.step /= 4
+            self.at = self.w + self.step * self.way
+            return
+        if self.loss < np.inf and (self.at - self.w) @ (slope - self.slope) > 1e-14:
+            self.pairs.append((self.at - self.w, slope - self.slope))
+        self.w, self.loss, self.slope, self.step = self.at, loss, slope, 1.0
+        way, used = -slope, []
+        for s, y in reversed(self.pairs):
+            used.append(s @ way / (s @ y))
+            way = way - used[-1] * y
+        way = way * (self.pairs[-1][0] @ self.pairs[-1][1] / (self.pairs[-1][1] @ self.pairs[-1][1]) if self.pairs else self.rate)
+        for (s, y), a in zip(self.pairs, reversed(used), strict=True):
+            way = way + (a - y @ way / (s @ y)) * s
+        self.way = way
+        self.at = self.w + way
+
+
+def _bounds(counts: np.ndarray, prior: float, rounds: int, sure: float) -> tuple[float, float]:
+    """Margins (low, high) beyond which a view labels: its surest rows of each class, ties whole, never less sure than ``sure``."""
+    n, least = counts.sum(), float(np.log(sure / (1 - sure)))
+    want = [max(1, int(n * part / (2 * rounds))) for part in (1 - prior, prior)]
+    low = int(np.searchsorted(np.cumsum(counts), want[0])) + 1
+    high = BINS - 1 - int(np.searchsorted(np.cumsum(counts[::-1]), want[1]))
+    return min(low / BINS * 60 - 30, -least), max(high / BINS * 60 - 30, least)
+
+
+def in_memory(rows: list[tuple[np.ndarray, np.ndarray]]) -> PoolSum:
+    """A pool of given rows."""
+    blocks = [block_of(rows[i : i + BLOCK_ROWS]) for i in range(0, len(rows), BLOCK_ROWS)]
+    return lambda f: f(blocks) if blocks else None
+
+
+def co_train(slots: list[np.ndarray], pages: np.ndarray, y: np.ndarray, rounds: int = 4, sure: float = 0.97, pool: Callable[[Basis], PoolSum] | None = None) -> Model:
+    """Fit on rows with y in {0, 1} (labelled) or -1 (pool). A fifth of the labelled rows is kept for calibration.
+
+    With ``pool`` the unlabelled rows are those of its sums, not the rows with y = -1. Pseudo-labels count half, and all
+    together at most half as much as the labelled rows, however large the pool is.
+    """
     labelled = np.flatnonzero(y >= 0)
     prior = float(y[labelled].mean()) if len(labelled) else 0.5
     kept, fit = labelled[::5], np.setdiff1d(labelled, labelled[::5])
@@ -131,47 +274,100 @@ def co_train(slots: list[np.ndarray], pages: np.ndarray, y: np.ndarray, rounds:
     tell = sum(n[k] * (each[k] * np.log(each[k] / alike) + (1 - each[k]) * np.log((1 - each[k]) / (1 - alike))) for k in (0, 1))
     tell[seen.sum(0) < 3] = 0
     chosen = np.sort(np.argsort(-tell, kind="stable")[:TEXT_FEATURES]).astype(np.int32)
+    basis = Basis(chosen, pages[fit].mean(0), pages[fit].std(0) + 0.05)
     words = np.zeros((len(y), len(chosen)), np.float32)
-    for i, own in enumerate(slots):
-        words[i, np.isin(chosen, own, assume_unique=True)] = 1
-    centre, spread = pages[fit].mean(0), pages[fit].std(0) + 0.05
-    shape = ((pages - centre) / spread).astype(np.float32)
-    views, pool = (words, shape), np.flatnonzero(y < 0)
-    pseudo = [{}, {}]  # of each view: rows that the other view has labelled for it
-    scaled: list[np.ndarray] = []
+    for i in labelled:
+        words[i, basis.words(slots[i])] = 1
+    shape = ((pages - basis.centre) / basis.spread).astype(np.float32)
+    views, target = (words, shape), y[fit].astype(float)
+    total = pool(basis) if pool else in_memory([basis.row(slots[i], pages[i]) for i in np.flatnonzero(y < 0)])
+    raw = [_descend(view[fit], target, np.ones(len(fit)), 1e-3) for view in views]
+    teachers: list[list[Teacher]] = [[], []]
     for k in range(rounds + 1):
         scaled = []
-        for view, given in zip(views, pseudo, strict=True):
-            rows = np.r_[fit, np.array(list(given), np.int64)]
-            target = np.r_[y[fit], np.array(list(given.values()), np.int64)].astype(float)
-            weight = np.r_[np.ones(len(fit)), np.full(len(given), 0.5)]
-            w = _descend(view[rows], target, weight, 1e-3)
+        for view, w in zip(views, raw, strict=True):
             a, b = _scale(_logit(view[kept], w), y[kept])
             scaled.append(np.r_[w[:-1] * max(a, 1e-3), w[-1] * max(a, 1e-3) + b])
-        if k == rounds or not len(pool):
+        if k == rounds:
+            break
+        counts = total(margin_counts(*scaled))
+        if counts is None:
             break
-        for own, other in ((0, 1), (1, 0)):
-            p = _sure(_logit(views[own][pool], scaled[own]))
-            for want, likely in ((1, p), (0, 1 - p)):
-                best = pool[np.argsort(-likely, kind="stable")[: max(1, int(len(pool) * (prior if want else 1 - prior) / (2 * rounds)))]]
-                good = set(pool[likely >= sure])
-                pseudo[other].update({int(i): want for i in best if i in good and int(i) not in pseudo[other]})
+        for view in (0, 1):
+            teachers[view].append(Teacher(scaled[view], *_bounds(counts.reshape(2, BINS)[view], prior, rounds, sure)))
+        raw = _fit_with_pool([v[fit] for v in views], target, raw, total, teachers)
     both = np.stack([_logit(v[kept], w) for v, w in zip(views, scaled, strict=True)], 1)
     blend = _descend(both / (both.std(0) + 1e-9), y[kept], np.ones(len(kept)), 1e-3, 400) / np.r_[both.std(0) + 1e-9, 1]
-    return Model(prior, chosen, scaled[0], centre, spread, scaled[1], blend)
+    return Model(prior, chosen, scaled[0], basis.centre, basis.spread, scaled[1], blend)
+
+
+def _fit_with_pool(views: list[np.ndarray], y: np.ndarray, start: list[np.ndarray], total: PoolSum, teachers: list[list[Teacher]], ridge: float = 1e-3) -> list[np.ndarray]:
+    """Both logistic regressions over the labelled rows and all pool rows with pseudo-labels, from ``start``."""
+    searches = [Search(w, 4 / (np.mean((x**2).sum(1)) + 1 + 4 * ridge)) for x, w in zip(views, start, strict=True)]
+    for _ in range(PASSES):
+        sums = total(pool_gradient(*(s.at for s in searches), teachers))
+        for s, x, own in zip(searches, views, np.split(sums, [2 + len(start[0])]), strict=True):
+            z = np.clip(_logit(x, s.at), -30, 30)
+            error = _sure(z) - y
+            half = 0.5 * min(1, len(y) / max(own[0], 1))
+            mass, flat = len(y) + half * own[0], np.r_[s.at[:-1], 0]
+            loss = ((np.logaddexp(0, z) - y * z).sum() + half * own[1]) / mass + ridge / 2 * flat @ flat
+            s.tell(loss, (np.r_[error @ x, error.sum()] + half * own[2:]) / mass + ridge * flat)
+    return [s.w for s in searches]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: Column, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> Model:
+def stored_pool(docs: DataFrame, told: DataFrame, basis: Basis) -> PoolSum:
+    """All rows of ``docs`` without a label, rows without doc_id too, as packed features in the shared folder."""
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
+            words, pages = [], []
+            for row in batch.to_pylist():
+                text = row["text"] or ""
+                page = page_features(text, row["source"], row["lang"], row["n_chars"])
+                own = basis.row(text_slots(text), page)
+                words.append(own[0].tobytes())
+                pages.append(own[1][:SIZES].tobytes() + np.flatnonzero(page[SIZES:]).astype(np.uint8).tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(words, pa.binary()), pa.array(pages, pa.binary())], ["doc_id", "words", "pages"])
+
+    rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    with_id, without = (rows.where(f"doc_id IS {kind}").mapInArrow(features, "doc_id long, words binary, pages binary") for kind in ("NOT NULL", "NULL"))
+    parts = with_id.join(told.select("doc_id"), "doc_id", "left_anti").unionByName(without)
+    stored = materialize(parts.select("words", "pages"), "quality_pool")
+
+    def total(f: Callable[[Iterable[Block]], np.ndarray]) -> np.ndarray | None:
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+            for batch in (whole.slice(at, BLOCK_ROWS) for whole in batches for at in range(0, len(whole), BLOCK_ROWS)):
+                words = batch.column(0).to_pylist()
+                ends = np.cumsum([len(x) // 2 for x in words])
+                packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(words), -1)
+                page = np.tile((-basis.centre / basis.spread).astype(np.float32), (len(words), 1))
+                page[:, :SIZES] = packed[:, : 4 * SIZES].copy().view(np.float32)
+                for at in packed[:, 4 * SIZES :].T.astype(int) + SIZES:
+                    page[np.arange(len(words)), at] += (1 / basis.spread[at]).astype(np.float32)
+                yield np.frombuffer(b"".join(words), np.uint16), np.r_[0, ends[:-1]], page
+
+        def own_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = read(batches)
+            first = next(own, None)
+            if first is not None:
+                yield pa.record_batch([pa.array([f(chain([first], own)).tobytes()], pa.binary())], ["total"])
+
+        sums = [np.frombuffer(r[0]) for r in stored.mapInArrow(own_sum, "total binary").collect()]  # one a task
+        return np.sum(sums, 0) if sums else None
+
+    return total
+
+
+def train(docs: DataFrame, labels: DataFrame, label: Column, labelled_rows: int = LABELLED_ROWS) -> Model:
     """Learn from ``docs(doc_id, text, lang, source, n_chars)`` and ``labels(doc_id, ...)``.
 
     ``label`` is a boolean column over ``labels``; null means unlabelled. Of several labels of one document the lowest
-    counts. The sample is bounded by ``labelled_rows`` and ``pool_rows``, chosen by a hash of ``doc_id``.
+    counts. The labelled sample is bounded by ``labelled_rows``, chosen by a hash of ``doc_id``; every unlabelled row is
+    scored in each round and fitted where the other view is sure of it.
     """
     told = labels.where("doc_id IS NOT NULL").select("doc_id", label.cast("int").alias("y")).where("y IS NOT NULL").groupBy("doc_id").agg(F.min("y").alias("y"))
-    pick = F.xxhash64("doc_id", F.lit(11))
-    some = told.orderBy(pick, "doc_id").limit(labelled_rows)
-    rest = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().join(told, "doc_id", "left_anti").orderBy(pick, "doc_id").limit(pool_rows)
-    picked = some.unionByName(rest.withColumn("y", F.lit(-1)))  # labelled_rows + pool_rows rows at most
+    picked = told.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(labelled_rows)
     rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(picked), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +383,8 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, labelled_rows: int
     sample = sample.toArrow().to_pandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     if not len(sample):
         return Model(0.5)
-    return co_train([np.asarray(x, np.int32) for x in sample["slots"]], np.stack(sample["pages"].to_numpy()), sample["y"].to_numpy())
+    slots, pages = [np.asarray(x, np.int32) for x in sample["slots"]], np.stack(sample["pages"].to_numpy())
+    return co_train(slots, pages, sample["y"].to_numpy(), pool=lambda basis: stored_pool(docs, told, basis))
 
 
 def good(quality: str = "quality", toxic: str = "toxic") -> Column:

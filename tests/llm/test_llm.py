@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -66,6 +67,20 @@ def test_co_training_uses_the_pool():
     assert quality.co_train(slots[:3], pages[:3], np.array([1, 1, -1])).text is None
 
 
+def test_quality_pool_is_every_unlabelled_row(spark):
+    ids = spark.range(9000).withColumn("at", F.row_number().over(Window.orderBy(F.xxhash64("id", F.lit(11)), "id")))
+    kind = F.col("id") % 2
+    text = F.concat(F.when(kind == 1, F.lit("alpha beta gamma delta")).otherwise(F.lit("omega psi chi phi")), F.lit(" w"), F.col("id") % 50)
+    # those last in the order of the hash, beyond the first 5000 without label: good texts of a source of their own
+    source = F.when((F.col("at") > 8000) & (kind == 1), "late").otherwise("early")
+    docs = ids.select(F.col("id").alias("doc_id"), text.alias("text"), source.alias("source"), F.lit("en").alias("lang"), F.length(text).alias("n_chars"))
+    labels = ids.where("at <= 600").select(F.col("id").alias("doc_id"), kind.cast("int").alias("quality"))
+    model = quality.train(docs, labels, F.col("quality") == 1)
+    pages = {s: quality.page_features("alpha beta gamma delta w1", s, "en", 25) for s in ("late", "never")}
+    late, never = (((x - model.centre) / model.spread) @ model.page[:-1] for x in pages.values())
+    assert late > never + 0.1
+
+
 def test_quality_edges(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     for d, n in ((odd, 10), (empty, 0)):
