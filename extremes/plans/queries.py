@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import SUBDAILY, FitConfig, label, quantile_levels
 from ..functions import gev
 from ..operators import blockmax, bootstrap, compare, fit, grid, products, quantiles, ranks, report, stations
 from . import data
@@ -26,6 +27,14 @@ def query(sql: str | None = None):
     return add
 
 
+CONFIG = FitConfig()
+
+
+def _resampled(spark, sf_dir):
+    """Fits over all sub-daily durations with the intervals of the settings."""
+    return bootstrap.fit_with_intervals(data.maxima(spark, sf_dir, SUBDAILY), ["loc"], CONFIG.n_sample, CONFIG.widths, CONFIG.seed, SHAPE)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -184,7 +193,7 @@ def bootstrap_samples(spark, sf_dir):
 @query()
 def bootstrap_scaling(spark, sf_dir):
     """Scaling lines with intervals over resamples; rows only."""
-    return bootstrap.fit_with_intervals(data.maxima(spark, sf_dir), ["loc"], 100, (0.9, 0.95), 1, SHAPE).select("loc", "ci", "ev_param", "slope", "intercept", "rsquared", "spearman").distinct()
+    return _resampled(spark, sf_dir).select("loc", "ci", "ev_param", "slope", "intercept", "rsquared", "spearman").distinct()
 
 
 _RAW = """rec AS (SELECT l_suppkey AS station, l_shipdate AS time, l_quantity AS amt, CASE WHEN l_linenumber < 7 THEN 1 END AS version_num, CASE WHEN l_returnflag <> 'A' THEN 1 ELSE 2 END AS ob_hour_count, l_orderkey, l_linenumber FROM lineitem),
@@ -310,7 +319,7 @@ def product_scaling(spark, sf_dir):
 @query()
 def product_intervals(spark, sf_dir):
     """Interval limits of the published tables; rows only."""
-    rows = bootstrap.fit_with_intervals(data.maxima(spark, sf_dir), ["loc"], 100, (0.9, 0.95), 1, SHAPE)
+    rows = _resampled(spark, sf_dir)
     return products.params_by_duration_ci(rows, ["loc"]).join(products.scaling_table_ci(rows, ["loc"]), ["loc", "ci"])
 
 
@@ -521,12 +530,12 @@ def theoretical_curve(spark, sf_dir):
 @query()
 def site_table(spark, sf_dir):
     """Wide table of sites with intervals and scaled values; rows only."""
-    rows = bootstrap.fit_with_intervals(data.maxima(spark, sf_dir), ["loc"], 100, (0.95,), 1, SHAPE).withColumn("source", F.lit("hourly"))
+    rows = _resampled(spark, sf_dir).withColumn("source", F.lit("hourly"))
     return products.site_table(rows, "loc", ["hourly"])
 
 
 @query()
 def sizing_values(spark, sf_dir):
     """Values with limits at the locations of one duration; rows only."""
-    rows = bootstrap.fit_with_intervals(data.maxima(spark, sf_dir), ["loc"], 100, (0.95,), 1, SHAPE)
-    return quantiles.sizing(rows, data.hourly(spark, sf_dir).select("loc").distinct(), ["loc"], 24)
+    rows = _resampled(spark, sf_dir)
+    return quantiles.sizing(rows, data.hourly(spark, sf_dir).select("loc").distinct(), ["loc"], 24, [label(x) for x in quantile_levels(CONFIG.widths)])

@@ -206,6 +206,24 @@ def test_products(spark):
     assert products.scaling_table_ci(lines, ["loc"], linear=True).first().a_ci == 100.0
 
 
+def test_interval_queries_use_the_settings(spark):
+    from extremes.config import SUBDAILY, FitConfig
+    from extremes.plans import data, queries
+
+    sf, conf = "/root/testdata/sf0.01", FitConfig()
+    levels = quantile_levels(conf.widths)
+    got = queries.product_intervals(spark, sf).toPandas()
+    assert set(got.ci) == set(levels) and set(got.duration) == set(SUBDAILY)
+    assert set(queries.bootstrap_scaling(spark, sf).toPandas().ci) == {"estimate", *map(label, levels)} == set(queries.sizing_values(spark, sf).toPandas().ci)
+    assert set(queries.site_table(spark, sf).toPandas().duration) == set(SUBDAILY)
+    one = data.maxima(spark, sf, (2,)).where("loc = 'click'")
+    drawn = bootstrap.fit_samples_sql(one, ["loc"], conf.n_sample, conf.seed, conf.shape).where("sample >= 0").toPandas()
+    assert len(drawn) == 1000
+    want = drawn["location"].quantile(levels)
+    own = got[(got["loc"] == "click") & (got.duration == 2)].set_index("ci")["location_ci"]
+    assert own.loc[levels].to_numpy() == pytest.approx(want.to_numpy(), rel=1e-9)
+
+
 def test_entry_imports_without_training_operators(spark):
     import __spark_entry__ as e
 
