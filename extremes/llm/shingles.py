@@ -63,6 +63,6 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def set_class(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set: equal sets have equal names."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_name(tokens: np.ndarray) -> bytes:
+    """A 128-bit name of a set: equal sets have equal names."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()

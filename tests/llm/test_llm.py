@@ -401,24 +401,74 @@ def test_components_of_documents(docs, rows):
     _check_components(docs, rows)
 
 
-def test_components_of_hot_groups(spark, monkeypatch):
-    """Groups of near copies and a passage in all texts, with token classes that make pairs of frequent tokens do the work."""
-    rng = random.Random(5)
+def _hot_texts(n, edits=4, seed=5):
+    """Groups of near copies and a passage in every other text."""
+    rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(4000)}"
     passage, bases, texts = [word() for _ in range(30)], [[word() for _ in range(60)] for _ in range(3)], []
-    for i in range(260):
-        base = list(bases[i % 3]) if i < 180 else [word() for _ in range(rng.randint(1, 60))]
-        for _ in range(rng.randint(0, 4)):
+    for i in range(n):
+        base = list(bases[i % 3]) if i % 13 < 9 else [word() for _ in range(rng.randint(1, 60))]
+        for _ in range(rng.randint(0, edits)):
             base[rng.randrange(len(base))] = word()
         at = rng.randrange(len(base))
         texts.append((i, " ".join(base[:at] + passage * (i % 2) + base[at:])))
+    return texts
+
+
+@pytest.mark.parametrize("limits", [{}, {"LIST_PART": 5, "BLOCK_TOKENS": 900}, {"PAIR_SIZE": 40, "LIST_PART": 60}, {"PAIR_SIZE": 0, "BLOCK_TOKENS": 2000}])
+def test_components_of_hot_groups(spark, monkeypatch, limits):
+    """Token classes that make pairs of frequent tokens do the work, long lists in parts, groups in several blocks."""
+    texts = _hot_texts(260)
     monkeypatch.setattr(jaccard, "_level", lambda c: np.minimum(255, np.asarray(c, float) // 4).astype(np.uint8))
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    sets, got = _sets(texts), {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, pair_size=jaccard.PAIR_SIZE).collect()}
+    want = _closure(sets)
+    assert got == {i: (len(sets[i]), want[i]) for i in sets} and len(set(want.values())) > 60
+
+
+def test_components_of_many_near_copies(spark):
+    """2,000 near copies of one text, some too far from all others: rows of the steps stay of the order of the members."""
+    texts = [(i, t) for i, t in _hot_texts(2600, 6, 9) if i % 13 < 9][:2000]
     _check_components(spark.createDataFrame(texts, "doc_id long, text string"), texts)
 
 
-def test_prefixes_of_similar_sets_meet():
+def test_lists_keep_every_pair_that_may_link():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(60) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 25))).astype(np.uint64)]) for _ in range(90)]
+    size, bits = np.array([len(x) for x in sets]), np.stack([jaccard.bitmap(x) for x in sets])
+    for _ in range(20):
+        comp = rng.integers(0, 60, 90)
+        lists = [rng.choice(90, int(rng.integers(2, 70)), replace=False) for _ in range(6)]
+        label = jaccard.list_labels(np.concatenate(lists), np.array([len(x) for x in lists]), size, comp, bits, 80, 100)
+        assert (label[label] == label).all() and (label <= np.arange(90)).all()
+        for members in lists:
+            for a in members:
+                for b in members:
+                    both = len(np.intersect1d(sets[a], sets[b]))
+                    if comp[a] != comp[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                        assert label[a] == label[b]
+
+
+def test_joining_links_close_like_all_links():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(40) < 0.92], rng.integers(0, 1 << 63, int(rng.integers(0, 4))).astype(np.uint64)]) for _ in range(70)]
+    comp, side = rng.integers(0, 50, 70), rng.integers(0, 3, 70)
+    linked = lambda i, j: 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - both)
+    pairs = [(i, j) for i in range(70) for j in range(70) if side[i] and side[j] != 1 and comp[i] != comp[j] and linked(i, j)]
+    got = jaccard.joining_links(sets, comp, side, 80, 100)
+    kinds = np.unique(comp, return_inverse=True)[1]
+    close = lambda links: jaccard.label_edges(50, np.array([kinds[i] for i, _ in links]), np.array([kinds[j] for _, j in links])).tolist()
+    assert pairs and set(got) <= set(pairs) and len(got) < 50 and close(got) == close(pairs)
+
+
+@pytest.mark.parametrize("pair_size", [0, 20, 35, 1000])
+def test_prefixes_of_similar_sets_meet(pair_size):
     rng = np.random.default_rng(6)
-    levels = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    levels = np.zeros(1 << 16, np.uint8)
     levels[rng.random(len(levels)) < 0.7] = 9
     for _ in range(300):
         n = int(rng.integers(2, 60))
@@ -427,8 +477,8 @@ def test_prefixes_of_similar_sets_meet():
         b = np.unique(np.r_[np.delete(a, drop), rng.integers(0, 1 << 63, int(rng.integers(0, len(a) // 8 + 1))).astype(np.uint64)])
         both = len(np.intersect1d(a, b))
         if len(a) > 1 and len(b) > 1 and 100 * both >= 80 * (len(a) + len(b) - both):
-            keys = [jaccard.prefix_keys(x, levels, 5, 80, 100) for x in (a, b)]
-            assert len(np.intersect1d(*keys))
+            keys = [jaccard.prefix_keys(x, levels, 5, 80, 100, pair_size)[0] for x in (a, b)]
+            assert len(np.intersect1d(*keys)) and max(map(len, keys)) <= max(n, (pair_size // 5 + 2) ** 2)
 
 
 def test_jaccard_edges(odd, empty):
