@@ -53,8 +53,9 @@ PAIR_SIZE = 256
 BLOCK_TOKENS = 2_000_000
 _SEEDS = mix(np.arange(77, 80, dtype=np.uint64)) | np.uint64(1)
 _PAIR = mix(np.arange(90, 92, dtype=np.uint64)) | np.uint64(1)
-#: 64-bit words of a set's bitmap. Every token flips a bit, so two sets differ in as many tokens as bits, at least.
-BITMAP_WORDS = 16
+#: Bits of a set's bitmap, at least; a larger set has the least power of two from twice its size on. Every token flips a
+#: bit, so two sets differ in as many tokens as bits, at least.
+BITMAP_BITS = 1024
 
 
 def _slot(tokens: np.ndarray, n_slots: int) -> np.ndarray:
@@ -62,11 +63,36 @@ def _slot(tokens: np.ndarray, n_slots: int) -> np.ndarray:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    at = ((tokens * _PAIR[0]) >> np.uint64(40)) % np.uint64(64 * BITMAP_WORDS)
-    odd = np.bincount(at.astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    bits = max(BITMAP_BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    at = ((tokens * _PAIR[0]) >> np.uint64(32)) & np.uint64(bits - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+class Bitmaps:
+    """Bitmaps of several sets. Halves of a longer one, folded on each other, are the bitmap of half its length."""
+
+    def __init__(self, bits: list[np.ndarray]):
+        self.kind = np.array([(len(x) * 64 // BITMAP_BITS).bit_length() - 1 for x in bits], np.int64)
+        self.place = np.zeros((int(self.kind.max(initial=0)) + 1, len(bits)), np.int32)
+        self.rows = []
+        for kind in range(len(self.place)):  # sets of this length and of the next
+            own = np.flatnonzero((self.kind == kind) | (self.kind == kind + 1))
+            self.place[kind, own] = np.arange(len(own))
+            words = BITMAP_BITS // 64 << kind
+            self.rows.append(np.stack([bits[i] if self.kind[i] == kind else bits[i][:words] ^ bits[i][words:] for i in own]) if len(own) else np.empty((0, words), np.uint64))
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many tokens sets a and b (positions; sizes differ by less than half) differ at least."""
+        out, kinds = np.zeros(len(a), np.int64), np.minimum(self.kind[a], self.kind[b])
+        for kind in np.unique(kinds):
+            at = np.flatnonzero(kinds == kind)
+            for part in np.array_split(at, max(1, len(at) << kind >> 18)):
+                x, y = self.rows[kind][self.place[kind, a[part]]], self.rows[kind][self.place[kind, b[part]]]
+                out[part] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        return out
+
+
 def _pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
     """(slots, counts); slots are empty where all counts are given."""
     kind = np.uint8 if counts.max(initial=0) < 256 else np.int64
@@ -293,18 +319,17 @@ def label_edges(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def may_link(a: np.ndarray, b: np.ndarray, size: np.ndarray, bits: np.ndarray, t_num: int, t_den: int) -> np.ndarray:
+def may_link(a: np.ndarray, b: np.ndarray, size: np.ndarray, bits: Bitmaps, t_num: int, t_den: int) -> np.ndarray:
     """Whether sizes and bitmaps of sets a and b (positions) leave room for the threshold."""
     low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
     good = t_den * low >= t_num * high
     at = np.flatnonzero(good)
     a, b = np.broadcast_to(a, good.shape)[at], np.broadcast_to(b, good.shape)[at]
-    apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-    good[at] = apart * (t_den + t_num) <= (t_den - t_num) * (size[a] + size[b])
+    good[at] = bits.apart(a, b) * (t_den + t_num) <= (t_den - t_num) * (size[a] + size[b])
     return good
 
 
-def list_labels(at: np.ndarray, lengths: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray, t_num: int, t_den: int) -> np.ndarray:
+def list_labels(at: np.ndarray, lengths: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: Bitmaps, t_num: int, t_den: int) -> np.ndarray:
     """Labels of members such that any two of one list that may link, and are not in one component, have the same label."""
     starts = np.r_[0, np.cumsum(lengths)[:-1]] if len(lengths) else np.empty(0, np.int64)
     if not len(lengths):
@@ -358,9 +383,10 @@ def _candidates(t_num: int, t_den: int):
                 known = row["known"]
                 place = np.searchsorted(names, np.frombuffer(b"".join(k["cls"] for k in known), "S16"))
                 nodes, comp = np.zeros(len(names), np.int64), -1 - np.arange(len(names), dtype=np.int64)
-                bits = np.zeros((len(names), BITMAP_WORDS), np.uint64)
+                bits = [np.zeros(BITMAP_BITS // 64, np.uint64)] * len(names)
                 nodes[place] = [k["node"] for k in known]
-                bits[place] = np.frombuffer(b"".join(k["bits"] for k in known), np.uint64).reshape(-1, BITMAP_WORDS)
+                for p, k in zip(place, known, strict=True):
+                    bits[p] = np.frombuffer(k["bits"], np.uint64)
                 told = [(p, k["comp"]) for p, k in zip(place, known, strict=True) if k["comp"] is not None]
                 kinds, own = np.unique(np.array([c for _, c in told], np.int64), return_inverse=True)
                 comp[[p for p, _ in told]] = own
@@ -369,7 +395,7 @@ def _candidates(t_num: int, t_den: int):
                 comp[lost] = len(kinds)
                 sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
                 sizes[lost] = 0
-                yield _star_rows(list_labels(np.frombuffer(row["at"], np.uint32).astype(np.int64), np.frombuffer(row["lengths"], np.uint32).astype(np.int64), sizes, comp, bits, t_num, t_den), nodes)
+                yield _star_rows(list_labels(np.frombuffer(row["at"], np.uint32).astype(np.int64), np.frombuffer(row["lengths"], np.uint32).astype(np.int64), sizes, comp, Bitmaps(bits), t_num, t_den), nodes)
 
     return run
 
@@ -379,7 +405,7 @@ def _bit_block(t_num: int, t_den: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(group: pa.Table) -> pa.Table:
         nodes, comp, size, side = (group.column(c).to_numpy().astype(np.int64) for c in ("node", "comp", "n", "side"))
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+        bits = Bitmaps([np.frombuffer(x, np.uint64) for x in group.column("bits").to_pylist()])
         label, right = np.arange(len(nodes)), side != 1
         for i in np.flatnonzero(side):
             others = np.flatnonzero(right & (label != label[i]) & (comp != comp[i]))

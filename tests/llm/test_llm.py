@@ -438,7 +438,7 @@ def test_lists_keep_every_pair_that_may_link():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
     sets = [np.unique(np.r_[base[rng.random(60) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 25))).astype(np.uint64)]) for _ in range(90)]
-    size, bits = np.array([len(x) for x in sets]), np.stack([jaccard.bitmap(x) for x in sets])
+    size, bits = np.array([len(x) for x in sets]), jaccard.Bitmaps([jaccard.bitmap(x) for x in sets])
     for _ in range(20):
         comp = rng.integers(0, 60, 90)
         lists = [rng.choice(90, int(rng.integers(2, 70)), replace=False) for _ in range(6)]
@@ -452,6 +452,21 @@ def test_lists_keep_every_pair_that_may_link():
                         assert label[a] == label[b]
 
 
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(8)
+    pool = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    sets = [pool[rng.random(len(pool)) < share] for share in (0.02, 0.1, 0.1, 0.11, 0.5, 0.52, 0.9, 0.95, 1.0)]
+    bits = jaccard.Bitmaps([jaccard.bitmap(x) for x in sets])
+    tight = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if 2 * min(len(x), len(y)) > max(len(x), len(y)):
+                differ, least = len(np.setxor1d(x, y)), int(bits.apart(np.array([i]), np.array([j]))[0])
+                assert least <= differ and (i != j or least == 0)
+                tight += least > 0.6 * differ > 0
+    assert tight > 10
+
+
 def test_joining_links_close_like_all_links():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
