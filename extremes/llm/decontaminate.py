@@ -1,30 +1,42 @@
 """Benchmark decontamination by BM25 and block-max WAND (operator 2).
 
 The benchmark items are the indexed collection, every passage (window of words) of every training text is a query.
-Scores are divided by an item's score with itself, so that 1 means that all its words occur. Items are indexed in
-shards of a fixed size; each shard is held against all texts.
+Scores are divided by an item's score with itself, so that 1 means that all its words occur. A passage is twice as long
+as the longest item of its class, and passages start every half passage, so that an item that stands whole in a text
+stands whole in a passage. An item's class depends on its own length alone, its scores on the statistics of the whole
+benchmark, its question and answer on its whole text: how items are dealt over shards changes nothing.
+
+For each passage, WAND runs over the posting lists of a shard. Its opening question, whether any block of items could
+reach the threshold with all the passage's words, is asked for many passages at once with sums of the block maxima.
 """
 
 from __future__ import annotations
 
 import bisect
 import itertools
+import pickle
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 K1, B = 1.2, 0.75
-#: Items of one shard: what a task holds of the index at a time.
+#: Items of one shard, about: what a task holds of the index at a time.
 SHARD_ITEMS = 256
 #: Items of one block: few, so that a block's bound is near its items' scores.
 BLOCK = 4
-#: Most words of an item that are indexed as one; longer items are cut into pieces, each with the item's id.
-ITEM_WORDS = 256
+#: Words of the shortest passages. An item of n words is sought in passages of the least of PASSAGE * 2**k that is 2 n at least.
+PASSAGE = 64
+#: Bytes of the shards that are sent out together.
+PORTION_BYTES = 64 << 20
 _WORD = re.compile(r"\w+")
 _SENTENCE_END = re.compile(r"[.!?]\s+(?=\S)")
 
@@ -44,72 +56,64 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 def grams(words: list[str], n: int = 3) -> set[tuple[str, ...]]:
+    """The n-grams of words; of fewer words, all of them as one."""
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def passage_words(n_words: int) -> int:
+    """Words of the passages in which an item of ``n_words`` is sought."""
+    return max(PASSAGE, 1 << (2 * n_words - 1).bit_length())
+
+
+def impacts_of(words: list[str], df: dict[str, int], n_items: int, mean_words: float) -> dict[str, float]:
+    """BM25 weight of every word of an item, as a share of the item's sum."""
+    own: dict[str, float] = {}
+    for w in words:
+        own[w] = own.get(w, 0) + 1
+    for w, tf in own.items():
+        d = df.get(w, 1)
+        own[w] = float(np.log(1 + (n_items - d + 0.5) / (d + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / max(mean_words, 1))))
+    total = sum(own.values())
+    return {w: x / total for w, x in own.items()}
+
+
 class Index:
     """Postings of one shard: for each term, items in order, impacts, and the largest impact in each block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float):
-        self.ids, self.parts, docs = [], [], []
-        for item_id, text in items:
-            words = split_words(text)
-            for lo in range(0, len(words), ITEM_WORDS):
-                piece = words[lo : lo + ITEM_WORDS]
-                self.ids.append(item_id)
-                docs.append(piece)
-                if len(words) <= ITEM_WORDS:
-                    question, answer = question_and_answer(text)
-                else:
-                    cut = len(piece) - max(1, len(piece) // 4)
-                    question, answer = piece[:cut], piece[cut:]
-                self.parts.append((question, answer))
+    def __init__(self, items: list[tuple[int | None, str]], df: dict[str, int], n_items: int, mean_words: float, passage: int):
+        self.passage, self.n, self.ids = passage, len(items), [i for i, _ in items]
+        self.blocks = -(-self.n // BLOCK)
         self.terms: dict[str, int] = {}
-        self.n = len(docs)
-        self.blocks = -(-self.n // BLOCK) if self.n else 0
         lists: list[list[tuple[int, float]]] = [[]]
-        for i, words in enumerate(docs):
-            counts: dict[str, int] = {}
-            for w in words:
-                counts[w] = counts.get(w, 0) + 1
-            impact = {}
-            for w, tf in counts.items():
-                d = df.get(w, 1)
-                idf = np.log(1 + (n_items - d + 0.5) / (d + 0.5))
-                impact[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / max(mean_words, 1)))
-            own = sum(impact.values())
-            for w, x in impact.items():
+        for i, (_, text) in enumerate(items):
+            for w, x in impacts_of(split_words(text), df, n_items, mean_words).items():
                 t = self.terms.setdefault(w, len(self.terms) + 1)
                 if t == len(lists):
                     lists.append([])
-                lists[t].append((i, x / own))
+                lists[t].append((i, x))
         self.items = [[i for i, _ in p] for p in lists]
         self.impacts = [[x for _, x in p] for p in lists]
         self.top = [max(p, default=0.0) for p in self.impacts]
-        self.bounds = np.zeros((len(lists), max(self.blocks, 1)), np.float32)
+        bounds = np.zeros((len(lists), max(self.blocks, 1)))
         for t, p in enumerate(lists):
             for i, x in p:
-                self.bounds[t, i // BLOCK] = max(self.bounds[t, i // BLOCK], x)
-        longest = max((len(w) for w in docs), default=1)
-        self.window = max(32, 2 * longest)
-        self.grams = [(grams(q), grams(a)) for q, a in self.parts]
-
-    def above(self, terms: list[int], threshold: float, first: int = 0, last: int | None = None) -> list[tuple[int, float]]:
-        """Block-max WAND: all (item, score) with at least ``threshold`` among items first .. last - 1, for distinct terms."""
-        stop = self.n if last is None else last
-        cursors = []
-        for t in terms:
-            at = bisect.bisect_left(self.items[t], first)
-            if at < len(self.items[t]) and self.items[t][at] < stop:
-                cursors.append([self.items[t][at], at, t])
+                bounds[t, i // BLOCK] = max(bounds[t, i // BLOCK], x)
+        rounded = bounds.astype(np.float32)
+        self.bounds = np.where(rounded < bounds, np.nextafter(rounded, np.float32(2)), rounded)  # never below the maxima
+        self.parts = [question_and_answer(text) for _, text in items]
+        self.grams = [tuple((grams(p, min(3, max(len(p), 1))), min(3, max(len(p), 1))) for p in parts) for parts in self.parts]
+
+    def above(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+        """Block-max WAND: all (item, score) with at least ``threshold``, for distinct terms."""
+        stop = self.n
+        cursors = [[self.items[t][0], 0, t] for t in terms]
         found = []
-        eps = 1e-6  # block bounds are single precision
         while cursors:
             cursors.sort()
             total, pivot = 0.0, -1
             for k, (_, _, t) in enumerate(cursors):
                 total += self.top[t]
-                if total + eps >= threshold:
+                if total + 1e-9 >= threshold:
                     pivot = k
                     break
             if pivot < 0:
@@ -118,7 +122,7 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // BLOCK
-            if sum(float(self.bounds[c[2], block]) for c in cursors[: pivot + 1]) + eps >= threshold:
+            if sum(float(self.bounds[c[2], block]) for c in cursors[: pivot + 1]) + 1e-9 >= threshold:
                 if cursors[0][0] == item:
                     s = sum(self.impacts[c[2]][c[1]] for c in cursors[: pivot + 1])
                     if s + 1e-9 >= threshold:
@@ -138,86 +142,127 @@ class Index:
             cursors = [c for c in cursors if c[0] < stop]
         return found
 
-    def leaks(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
-        """(item id, score, question overlap, answer overlap) of the items that the text holds."""
-        words = split_words(text)
-        get = self.terms.get
-        ids = np.fromiter(map(get, words, itertools.repeat(0)), np.int32, len(words))
-        if not ids.any() or not self.n:
+    def hopeful(self, ids: np.ndarray, threshold: float) -> np.ndarray:
+        """Numbers of the passages in which the bound of some block reaches the threshold.
+
+        Bounds are added over each half passage alone, so an error of single precision is at most that of ``step``
+        additions of positive numbers, which the sums are raised by.
+        """
+        step = self.passage // 2
+        n_halves = max(1, -(-len(ids) // step))
+        out, at = [], np.flatnonzero(ids)
+        half = at // step
+        rows = max(1, (1 << 20) // step // self.bounds.shape[1])  # half passages at a time: texts of any length in bounded memory
+        for lo in range(0, n_halves, rows):
+            first, last = np.searchsorted(half, [lo, lo + rows + 1])
+            if first == last:
+                continue
+            own = half[first:last] - lo
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            sums = np.zeros((rows + 2, self.bounds.shape[1]), np.float32)
+            sums[own[starts]] = np.add.reduceat(self.bounds[ids[at[first:last]]], starts, axis=0)
+            best = (sums[:-1] + sums[1:])[:rows].max(1).astype(float) * (1 + (step + 2) * 2.0**-23)
+            out.append(np.flatnonzero(best + 1e-9 >= threshold) + lo)
+        found = np.concatenate(out) if out else np.empty(0, np.int64)
+        return found[found < max(1, n_halves - 1)]
+
+    def leaks(self, words: list[str], threshold: float, overlap: float) -> list[tuple[int | None, float, float, float]]:
+        """(item id, score, question overlap, answer overlap) of the items that a text of ``words`` holds; the best of an item's passages."""
+        ids = np.fromiter(map(self.terms.get, words, itertools.repeat(0)), np.int32, len(words))
+        if not self.n or not ids.any():
             return []
-        step = self.window // 2
+        step = self.passage // 2
         best: dict[int, tuple[float, float, float]] = {}
-        tall = 256 * step
-        for base in range(0, len(words), tall):  # texts of any length, in bounded memory
-            part = ids[base : base + tall + step]
-            sums = np.zeros((len(part) + 1, self.bounds.shape[1]), np.float32)
-            np.cumsum(self.bounds[part], axis=0, out=sums[1:])
-            starts = np.arange(0, max(1, len(part) - step), step)
-            ends = np.minimum(starts + self.window, len(part))
-            alive = np.flatnonzero((sums[ends] - sums[starts]).max(1) + 1e-3 >= threshold)
-            for k in alive:
-                lo, hi = base + starts[k], base + ends[k]
-                terms = np.unique(ids[lo:hi])
-                terms = terms[terms > 0]
-                live = np.flatnonzero(self.bounds[terms].sum(0) + 1e-5 >= threshold)
-                if not len(live):
-                    continue
-                asked = terms.tolist()
-                for item, s in (x for block in live.tolist() for x in self.above(asked, threshold, block * BLOCK, (block + 1) * BLOCK)):
-                    here = grams(words[max(0, lo - step) : hi + step])
-                    short = {g for n in (1, 2) for part_ in self.parts[item] if len(part_) == n for g in grams(words[max(0, lo - step) : hi + step], n)}
-                    q, a = (len(g & (here | short)) / len(g) if g else 1.0 for g in self.grams[item])
-                    if q >= overlap and a >= overlap:
-                        best[self.ids[item]] = max(best.get(self.ids[item], (0, 0, 0)), (float(s), q, a))
-        return [(i, *x) for i, x in sorted(best.items())]
-
-
-def build(items: DataFrame, shard_items: int = SHARD_ITEMS) -> list[Index]:
-    """Index ``items(item_id, text)`` in shards of at most ``shard_items``; document frequencies cover all items.
-
-    Items with a null id, a null text or no words are left out; repeated items are kept once.
+        for k in self.hopeful(ids, threshold).tolist():
+            lo, hi = k * step, k * step + self.passage
+            terms = np.unique(ids[lo:hi])
+            terms = terms[terms > 0]
+            if float(self.bounds[terms].sum(0, dtype=np.float64).max()) + 1e-9 < threshold:  # the same bound, of distinct words
+                continue
+            near = words[max(0, lo - step) : hi + step]
+            held = {n: grams(near, n) for n in (1, 2, 3)}
+            for item, s in self.above(terms.tolist(), threshold):
+                q, a = (len(g & held[n]) / len(g) if g else 1.0 for g, n in self.grams[item])
+                if q >= overlap and a >= overlap:
+                    best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (float(s), q, a))
+        return [(self.ids[i], *x) for i, x in sorted(best.items())]
+
+
+@dataclass
+class Benchmark:
+    """An index, sent out in portions of bounded size; a task holds one portion at a time."""
+
+    portions: list[Broadcast]
+
+    def shards(self) -> Iterator[Index]:
+        for portion in self.portions:
+            for shard in pickle.loads(portion.value):
+                yield pickle.loads(shard)
+
+
+def build(items: DataFrame, shard_items: int = SHARD_ITEMS, portion_bytes: int = PORTION_BYTES) -> Benchmark:
+    """Index ``items(item_id, text)``; document frequencies cover all items.
+
+    Items with a null text or without words are left out. Equal rows are kept once; several texts of one id are items of
+    their own, and so are texts without an id. Other columns are not read; an empty table gives an index without items.
+    Shards of about ``shard_items`` items are built in tasks of their own and pass the driver in portions.
     """
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
+    spark = items.sparkSession
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = split_words(text)
-                kinds = sorted(set(words))
-                yield pa.record_batch([pa.array([*kinds, None], pa.string()), pa.array([0] * len(kinds) + [len(words)], pa.int64())], ["term", "n"])
+            words = [split_words(t) for t in batch.column(1).to_pylist()]
+            kinds = pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))
+            sizes, passages = pa.array([len(w) for w in words], pa.int64()), pa.array([passage_words(len(w)) for w in words], pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), kinds, sizes, passages], ["item_id", "text", "kinds", "n", "passage"])
 
-    counts = items.select("text").mapInArrow(terms, "term string, n long").groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
-    n_items, n_words = ((r["df"], r["n"]) if (r := counts.where("term IS NULL").first()) else (0, 0))
-    shards = max(1, -(-n_items // shard_items))
-    out = []
-    ordered = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
-    for shard in range(shards):  # each holds shard_items rows, about
-        rows = ordered.where(F.col("shard") == shard).select("item_id", "text").collect()
-        own = spark_terms(items.sparkSession, {w for r in rows for w in split_words(r["text"])})
-        df = {r["term"]: r["df"] for r in counts.join(own, "term").select("term", "df").collect()} if rows else {}
-        out.append(Index(sorted((r["item_id"], r["text"]) for r in rows), df, n_items, n_words / max(n_items, 1)))
-    return out
+    kept = items.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    kept = materialize(kept.mapInArrow(split, "item_id long, text string, kinds array<string>, n long, passage long").where("n > 0"), "items")
+    total = kept.agg(F.count("*").alias("n"), F.sum("n").alias("words")).first()
+    n_items, mean_words = total["n"], (total["words"] or 0) / max(total["n"], 1)
+    in_class = kept.groupBy("passage").agg(F.ceil(F.count("*") / F.lit(float(shard_items))).alias("shards"))
+    placed = kept.join(in_class, "passage").withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.col("shards")))
+    terms = placed.select("passage", "shard", F.explode("kinds").alias("term"))
+    df = kept.select(F.explode("kinds").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    told = materialize(terms.distinct().join(df, "term"), "terms")
 
+    def index(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        own = sorted(((None if pd.isna(i) else int(i), t) for i, t in zip(rows["item_id"], rows["text"], strict=True)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        shard = Index(own, dict(zip(counts["term"], counts["df"].tolist(), strict=True)), n_items, mean_words, int(rows["passage"].iloc[0]))
+        return pd.DataFrame({"shard": [pickle.dumps(shard)]})
 
-def spark_terms(spark, terms: set[str]) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in sorted(terms)], "term string")
+    by = ["passage", "shard"]
+    shards = materialize(placed.select(*by, "item_id", "text").groupBy(*by).cogroup(told.groupBy(*by)).applyInPandas(index, "shard binary"), "shards")
+    portions, held, size = [], [], 0
+    for row in itertools.chain(shards.toLocalIterator(), [None]):  # the driver holds one portion at a time
+        if held and (row is None or size + len(row["shard"]) > portion_bytes):
+            portions.append(spark.sparkContext.broadcast(pickle.dumps(held)))
+            held, size = [], 0
+        if row is not None:
+            held.append(bytes(row["shard"]))
+            size += len(row["shard"])
+    return Benchmark(portions)
 
 
-def find_leaks(docs: DataFrame, shards: list[Index], threshold: float = 0.5, overlap: float = 0.5, out: str = "leaks") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: Benchmark, threshold: float = 0.5, overlap: float = 0.5, out: str = "leaks") -> DataFrame:
     """``docs`` with an array ``out`` of structs (item_id, score, question_overlap, answer_overlap), empty for clean texts.
 
-    Only ``text`` is read, and read whole; null counts as empty. Other columns stay as they are.
+    Only ``text`` is read, and read whole; null counts as empty. Repeated rows get equal answers, an empty table gives
+    an empty one; other columns stay as they are, one with the name ``out`` is replaced.
     """
-    kind = "array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>"
     names = ("item_id", "score", "question_overlap", "answer_overlap")
 
-    def searcher(shard: Index):
-        @F.pandas_udf(kind)
-        def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for part in texts:
-                yield pd.Series([[dict(zip(names, x, strict=True)) for x in shard.leaks(t, threshold, overlap)] for t in part])
-
-        return search
+    @F.pandas_udf("array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>")
+    def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        small = list(benchmark.shards()) if len(benchmark.portions) < 2 else None
+        for part in texts:
+            found: list[list[tuple]] = [[] for _ in part]
+            for lo in range(0, len(part), 500):  # a text is split once for all shards
+                words = [split_words(t) for t in part.iloc[lo : lo + 500]]
+                for shard in benchmark.shards() if small is None else small:
+                    for i, own in enumerate(words, lo):
+                        found[i] += shard.leaks(own, threshold, overlap)
+            order = lambda x: (x[0] is None, x[0] or 0, -x[1])
+            yield pd.Series([[dict(zip(names, x, strict=True)) for x in sorted(own, key=order)] for own in found])
 
-    columns = [searcher(shard)(F.col("text")) for shard in shards]
-    return docs.withColumn(out, F.concat(*columns))
+    return docs.withColumn(out, search(F.col("text")))
