@@ -18,10 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SLOTS = 1 << 13
-#: Languages that a model can hold; the count table has MAX_LANGUAGES * SLOTS cells at most.
-MAX_LANGUAGES = 512
-#: Labelled rows, about, on which bit margins are calibrated; the n-gram counts cover all training rows.
+#: Labelled rows, about, on which bit margins are calibrated, a fifth of all at most; the n-gram counts cover all others.
 CALIBRATION_ROWS = 2000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -54,6 +54,11 @@ def codewords(n: int) -> np.ndarray:
     return best
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's category L occurs; other numbers than decimal digits are no letters."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -72,7 +77,7 @@ class Model:
 
     def decide(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, ambiguous)."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
         told = self.margins(text) * self.slope + self.offset
         loss = np.logaddexp(0, -self.code * told) @ self.trust
@@ -115,28 +120,35 @@ def _fit_logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, label: Column, text: Column, key: Column, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Learn from the rows of ``docs`` with a label and a text with letters; ``key`` picks the calibration rows."""
-    rows = docs.select(label.alias("lang"), text.alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("pick"))
+    """Learn from the rows of ``docs`` with a label and a text with letters; ``key`` picks the calibration rows.
+
+    Calibration rows are left out of the n-gram counts, on which the bits' classifiers rest. Null labels and texts are
+    left out; repeated rows count as often as they stand; without rows, or of one language only, the model knows none or
+    that one. The driver holds the counts of one language at a time, and two vectors for each bit.
+    """
+    told_rows = docs.where(label.isNotNull()).count()
+    part = int((1 << 30) * min(0.2, calibration_rows / max(told_rows, 1)))
+    rows = docs.select(label.alias("lang"), text.alias("text"), F.pmod(F.xxhash64(key, text), F.lit(1 << 30)).alias("pick"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sums = (
-        rows.select("lang", "text").mapInArrow(_count, "lang string, salt int, counts binary, n long")
+        rows.where(F.col("pick") >= part).select("lang", "text").mapInArrow(_count, "lang string, salt int, counts binary, n long")
         .groupBy("lang", "salt").applyInArrow(_sum, "lang string, counts binary, n long")
         .groupBy("lang").applyInArrow(_sum, "lang string, counts binary, n long")
     )
-    table = sorted(sums.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
-    if len(table) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages, code = [r["lang"] for r in table], codewords(len(table))
+    sums = materialize(sums, "languages")
+    languages = sorted(r["lang"] for r in sums.select("lang").collect())
+    code, place = codewords(len(languages)), {x: i for i, x in enumerate(languages)}
     bits = code.shape[1]
     model = Model(languages, code, np.zeros((SLOTS, bits)), np.ones(bits), np.zeros(bits), np.ones(bits) / bits)
     if len(languages) < 2:
         return model
-    share = np.stack([np.frombuffer(r["counts"], np.int64) for r in table]).astype(float)
-    share = (share + 0.5) / (share.sum(1, keepdims=True) + 0.5 * SLOTS)
-    for b in range(bits):
-        up = code[:, b] > 0
-        model.weights[:, b] = np.log(share[up].mean(0)) - np.log(share[~up].mean(0))
-    total, place = sum(r["n"] for r in table), {x: i for i, x in enumerate(languages)}
+    up, down = np.zeros((SLOTS, bits)), np.zeros((SLOTS, bits))
+    for r in sums.toLocalIterator():
+        share = np.frombuffer(r["counts"], np.int64) + 0.5
+        is_up = code[place[r["lang"]]] > 0
+        up[:, is_up] += (share / share.sum())[:, None]
+        down[:, ~is_up] += (share / share.sum())[:, None]
+    model.weights = np.log(up / (code > 0).sum(0)) - np.log(down / (code < 0).sum(0))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +156,7 @@ def train(docs: DataFrame, label: Column, text: Column, key: Column, calibration
                 z = [model.margins(t.as_py()).tolist() for t in batch.column(1)]
                 yield pa.record_batch([batch.column(0), pa.array(z, pa.list_(pa.float64()))], ["lang", "z"])
 
-    kept = rows.where(F.col("pick") < int((1 << 30) * min(1.0, calibration_rows / total))).select("lang", "text")
+    kept = rows.where((F.col("pick") < part) & F.col("lang").isin(languages)).select("lang", "text")
     sample = kept.mapInArrow(told, "lang string, z array<double>").limit(2 * calibration_rows).toPandas()
     if len(sample) > 1:
         z, y = np.stack(sample["z"].to_numpy()), code[[place[x] for x in sample["lang"]]] > 0
@@ -159,7 +171,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
     """``docs`` with a struct ``out(lang_pred, score, ambiguous)``.
 
     Only ``text`` is read. Null texts and texts without letters get ``und``, score 0, ambiguous; so does every text
-    if the model knows no language. Repeated rows get equal answers; other columns stay as they are.
+    if the model knows no language. Repeated rows get equal answers, an empty table gives an empty one; other columns stay
+    as they are, one with the name ``out`` is replaced.
     """
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
