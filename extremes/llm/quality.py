@@ -63,11 +63,11 @@ def page_features(text: str, source: str | None, lang: str | None, n_chars: int
     upper, lower, digit = kinds[65:91].sum(), kinds[97:123].sum(), kinds[48:58].sum()
     wide, marks = kinds[128:].sum(), kinds[33:127].sum() - upper - lower - digit
     shares = np.array([upper, digit, wide, marks, kinds[124], kinds[33], lines, spaces], float) / total
-    sizes = np.log1p([total, lines, spaces, total / lines, total / spaces, spaces / lines, -1 if n_chars is None else max(n_chars, 0)])
+    sizes = np.r_[np.log1p([total, lines, spaces, total / lines, total / spaces, spaces / lines]), -1 if n_chars is None else np.log1p(max(n_chars, 0))]
     out = np.zeros(2 * len(shares) + len(sizes) + 2 * CATEGORY_SLOTS)
     out[: len(shares)] = shares
     out[len(shares) : 2 * len(shares)] = np.sqrt(shares)
-    out[2 * len(shares) : 2 * len(shares) + len(sizes)] = np.maximum(sizes, -1)
+    out[2 * len(shares) : 2 * len(shares) + len(sizes)] = sizes
     at = 2 * len(shares) + len(sizes)
     for i, value in enumerate((source, lang)):
         out[at + i * CATEGORY_SLOTS + zlib.crc32((value or "").encode("utf-8", "surrogatepass")) % CATEGORY_SLOTS] = 1
@@ -80,8 +80,11 @@ def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, ste
     rate = 4 / (np.mean((x**2).sum(1)) + 4 * ridge)
     w = look = np.zeros(x.shape[1])
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ look, -30, 30)))
-        new = look - rate * (x.T @ ((p - y) * weight) / weight.sum() + ridge * np.r_[look[:-1], 0])
+        p = 1 / (1 + np.exp(-np.clip(x @ look.astype(x.dtype), -30, 30)))
+        slope = ((p - y) * weight / weight.sum()).astype(x.dtype) @ x + ridge * np.r_[look[:-1], 0]
+        if np.abs(slope).max() < 1e-7:
+            break
+        new = look - rate * slope
         look = new + k / (k + 3) * (new - w)
         w = new
     return w
@@ -365,10 +368,15 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, labelled_rows: int
     ``label`` is a boolean column over ``labels``; null means unlabelled. Of several labels of one document the lowest
     counts. The labelled sample is bounded by ``labelled_rows``, chosen by a hash of ``doc_id``; every unlabelled row is
     scored in each round and fitted where the other view is sure of it.
+
+    Null texts count as empty, null sources and languages as kinds of their own. Of several rows of one labelled
+    ``doc_id`` the least counts; unlabelled rows count as often as they stand, those without ``doc_id`` too. Without
+    labels of both kinds, or with an empty table, the model holds the labels' mean (0.5 without labels).
     """
     told = labels.where("doc_id IS NOT NULL").select("doc_id", label.cast("int").alias("y")).where("y IS NOT NULL").groupBy("doc_id").agg(F.min("y").alias("y"))
     picked = told.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(labelled_rows)
-    rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(picked), "doc_id")
+    own = F.min(F.struct(F.col("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars")))  # one of an id's rows
+    rows = docs.join(picked.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(own.alias("r")).select("doc_id", "r.*").join(picked, "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,7 +388,7 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, labelled_rows: int
             yield pa.record_batch(columns, ["doc_id", "y", "slots", "pages"])
 
     sample = rows.select("doc_id", "text", "source", "lang", "n_chars", "y").mapInArrow(features, "doc_id long, y int, slots array<int>, pages array<double>")
-    sample = sample.toArrow().to_pandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    sample = sample.toArrow().to_pandas().sort_values("doc_id", kind="stable")  # labelled_rows at most
     if not len(sample):
         return Model(0.5)
     slots, pages = [np.asarray(x, np.int32) for x in sample["slots"]], np.stack(sample["pages"].to_numpy())
@@ -396,7 +404,8 @@ def score(docs: DataFrame, model: Model, out: str = "judged") -> DataFrame:
     """``docs`` with a struct ``out(p_text, p_page, p_quality)``, read from text, source, lang and n_chars.
 
     Null text counts as empty, null source and lang as categories of their own. Without labels of both kinds every row
-    gets the labels' mean (0.5 without labels). Other columns stay as they are.
+    gets the labels' mean (0.5 without labels). Repeated rows get equal answers, an empty table gives an empty one; other
+    columns stay as they are, one with the name ``out`` is replaced.
     """
 
     @F.pandas_udf("p_text double, p_page double, p_quality double")
