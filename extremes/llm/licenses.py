@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
@@ -47,6 +47,28 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
         "above copyright notice and this permission notice appear in all copies."
     ),
+    "BSD-3-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+        "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain.",
     "BSD-2-Clause-text": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
         "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
@@ -122,7 +144,10 @@ class Scanner:
         self.any = re.compile("|".join(sorted({re.escape(w) for c in self.triggers.values() for w in c}, key=lambda w: (-len(w), w))))
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, start, end in characters) of every place where a template is covered, in order."""
+        """(template, coverage, start, end in characters) of the places where a template is covered, in order.
+
+        Where several templates are covered in places that overlap, the best covered one is given.
+        """
         if not text or not self.any.search(low := text.lower()):
             return []
         words = low_words = None
@@ -145,9 +170,19 @@ class Scanner:
                 share = len(pairs) / len(template)
                 if share >= self.coverage:
                     first, last = lo + pairs[0][1], lo + pairs[-1][1]
-                    out.append((name, share, spans[first][0], spans[last][1]))
+                    out.append((name, share, first, last, len(pairs)))
                     done = last
-        return sorted(out, key=lambda x: (x[2], x[3], x[0]))
+        return [(name, share, spans[first][0], spans[last][1]) for name, share, first, last, _ in self._best(out)]
+
+    @staticmethod
+    def _best(hits: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+        """Of hits that overlap the one that covers its template best, then the longest; in the order of the text."""
+        kept: list[tuple[str, float, int, int, int]] = []
+        for hit in sorted(hits, key=lambda x: (-x[1], -x[4], x[2], x[0])):
+            at = bisect.bisect_left(kept, hit[2], key=lambda x: x[3])  # the first that ends at its start or later
+            if at == len(kept) or kept[at][2] > hit[3]:
+                kept.insert(at, hit)
+        return kept
 
     @staticmethod
     def _tight(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
@@ -161,11 +196,21 @@ class Scanner:
         return best
 
 
+def read_templates(spark: SparkSession, path: str, most_bytes: int = 16 << 20) -> dict[str, str]:
+    """Templates from a folder of text files, by file name without its ending; more than ``most_bytes`` of them raise."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.\w+)?$", 1).alias("name"), "value")
+    if (files.agg(F.sum(F.octet_length("value"))).first()[0] or 0) > most_bytes:
+        raise ValueError(f"templates of more than {most_bytes} bytes")
+    return {r["name"]: r["value"] for r in files.collect()}
+
+
 def scan_licenses(docs: DataFrame, scanner: Scanner | None = None, out: str = "licenses") -> DataFrame:
     """``docs`` with an array ``out`` of structs (license, coverage, start, end), offsets in code points, in order.
 
     Null and empty texts, and texts without a license, have an empty array; a license that stands twice is listed twice.
-    Only ``text`` is read, and read whole; repeated rows get equal answers; other columns stay as they are.
+    Only ``text`` is read, and read whole; repeated rows get equal answers, an empty table gives an empty one; other
+    columns stay as they are, one with the name ``out`` is replaced. Without ``scanner`` the notices in TEMPLATES are
+    sought; full license texts can be given as a scanner's templates (see ``read_templates``).
     """
     held = scanner or Scanner(TEMPLATES)
 
