@@ -42,3 +42,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def text_of(column: str | Column = "text") -> Column:
     """Null text counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the next one with underscores that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

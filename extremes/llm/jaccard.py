@@ -51,6 +51,8 @@ LIST_PART = 50_000
 PAIR_SIZE = 256
 #: Tokens of the sets of one side of a block that is compared exactly (8 bytes each).
 BLOCK_TOKENS = 2_000_000
+#: Tokens of the sets that meet their group's smallest class in one task.
+FIRST_TOKENS = 100_000
 _SEEDS = mix(np.arange(77, 80, dtype=np.uint64)) | np.uint64(1)
 _PAIR = mix(np.arange(90, 92, dtype=np.uint64)) | np.uint64(1)
 #: Bits of a set's bitmap, at least; a larger set has the least power of two from twice its size on. Every token flips a
@@ -517,7 +519,7 @@ def _first_links(source: DataFrame, classes: DataFrame, width: int, t_num: int,
     )
     leaders = signs.groupBy("slot", "sign").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1").select("slot", "sign", "leader")
     star = materialize(signs.join(leaders, ["slot", "sign"]).where("node <> leader").groupBy("leader", "node").agg(F.min("n").alias("n")), "stars")
-    salts = star.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_TOKENS))).cast("int").alias("salts"))
+    salts = star.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(float(FIRST_TOKENS))).cast("int").alias("salts"))
     right = star.join(salts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", F.lit(0).alias("side"))
     left = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("leader").alias("node"), F.lit(1).alias("side"))
     placed = materialize(right.unionByName(left).withColumn("comp", F.col("node")), "first")

@@ -14,11 +14,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import text_of
+from .common import free_name, text_of
 
 SPAN = r"(?s)[^.!?]{0,96}+[.!?]+|[^.!?]{1,96}+"
 ROWS_PER_BUCKET = 2048
@@ -30,21 +29,21 @@ def _tag(hashed: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the fingerprint of column ``text`` (null: empty) as ``out``."""
+    """``df`` with the fingerprint of column ``text`` (null: empty) as ``out``; other columns stay as they are."""
+    held = free_name(df, "_tree")
     spans = lambda p: F.transform(F.regexp_extract_all(p, F.lit(SPAN), F.lit(0)), lambda x: F.sha2(x, 256))
     paragraph = lambda p: F.struct(spans(p).alias("leaves"))
     tree = F.transform(F.split(text_of(text), r"(?<=\n\n)", -1), lambda s: F.transform(F.split(s, r"(?<=\n)", -1), paragraph))
-    hashed = F.transform(F.col("_tree"), lambda s: F.transform(s, lambda p: F.struct(F.sha2(F.array_join(p["leaves"], ""), 256).alias("node"), p["leaves"].alias("leaves"))))
-    sections = F.transform(F.col("_nodes"), lambda s: F.struct(F.sha2(F.array_join(s["node"], ""), 256).alias("node"), s.alias("parts")))
+    hashed = F.transform(F.col(held), lambda s: F.transform(s, lambda p: F.struct(F.sha2(F.array_join(p["leaves"], ""), 256).alias("node"), p["leaves"].alias("leaves"))))
+    sections = F.transform(F.col(held), lambda s: F.struct(F.sha2(F.array_join(s["node"], ""), 256).alias("node"), s.alias("parts")))
     shape = F.array_join(
-        F.transform("_sections", lambda s: F.concat(_tag(s["node"]), F.lit("/"), F.array_join(F.transform(s["parts"], lambda p: F.concat(_tag(p["node"]), F.lit("*"), F.size(p["leaves"]).cast("string"))), ","))), ";"
-    )
-    leaves = F.array_join(F.transform(F.flatten(F.transform("_sections", lambda s: F.flatten(s["parts"]["leaves"]))), _tag), ",")
-    root = F.sha2(F.array_join(F.col("_sections.node"), ""), 256)
-    return (
-        df.withColumn("_tree", tree).withColumn("_nodes", hashed).withColumn("_sections", sections)
-        .withColumn(out, F.concat_ws(":", root, shape, leaves)).drop("_tree", "_nodes", "_sections")
+        F.transform(held, lambda s: F.concat(_tag(s["node"]), F.lit("/"), F.array_join(F.transform(s["parts"], lambda p: F.concat(_tag(p["node"]), F.lit("*"), F.size(p["leaves"]).cast("string"))), ","))), ";"
     )
+    leaves = F.array_join(F.transform(F.flatten(F.transform(held, lambda s: F.flatten(s["parts"]["leaves"]))), _tag), ",")
+    root = F.sha2(F.array_join(F.col(held)["node"], ""), 256)
+    for step in (tree, hashed, sections):
+        df = df.withColumn(held, step)
+    return df.withColumn(out, F.concat_ws(":", root, shape, leaves)).drop(held)
 
 
 def leaf_tags(fingerprint: str) -> Column:
@@ -91,7 +90,8 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
 
     Null keys come first. Rows with one key are in the order of ``columns``' values; equal rows follow each other. A
     table of one row is its own next. Rows are dealt into ranges of about ROWS_PER_BUCKET rows (quantiles of ``key``);
-    each range also gets the first rows of the range after it, so no window spans the table.
+    each range also gets the first rows of the range after it, so no window spans the table. There are at most
+    MAX_BUCKETS ranges: beyond MAX_BUCKETS * ROWS_PER_BUCKET rows they hold more rows each. Rows of one key are in one range.
     """
     n = df.count()
     m = min(MAX_BUCKETS, math.ceil(n / ROWS_PER_BUCKET))
@@ -99,21 +99,21 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     if m > 1:
         cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(i / m) for i in range(1, m)]), F.lit(max(10_000, 10 * m)))).first()[0]
         bounds = sorted(set(cuts or []))
+    names = {x: free_name(df, x) for x in ("_key", "_bucket", "_first", "_own", "_to", "_at")}
+    k, own, first, to, at = (F.col(names[x]) for x in ("_key", "_bucket", "_first", "_to", "_at"))
     low = F.coalesce(F.col(key), F.lit(-(1 << 63)).cast("long"))
-    ranged = df.withColumn("_key", low).withColumn("_bucket", _bucket(bounds, F.col("_key")))
-    firsts = df.select(low.alias("_key")).withColumn("_bucket", _bucket(bounds, F.col("_key"))).groupBy("_bucket").agg(F.min("_key").alias("_first"))
-    before = firsts.selectExpr(
-        "_first", "_bucket AS _own",
-        "coalesce(lag(_bucket) OVER (ORDER BY _bucket), max(_bucket) OVER ()) AS _to",
+    ranged = df.withColumn(names["_key"], low).withColumn(names["_bucket"], _bucket(bounds, k))
+    firsts = df.select(low.alias(names["_key"])).withColumn(names["_bucket"], _bucket(bounds, k)).groupBy(own.alias(names["_own"])).agg(F.min(k).alias(names["_first"]))
+    before = firsts.select(
+        first, F.coalesce(F.lag(names["_own"]).over(Window.orderBy(names["_own"])), F.max(names["_own"]).over(Window.partitionBy())).alias(names["_to"])
     )  # at most MAX_BUCKETS rows
-    marked = ranged.join(F.broadcast(before), F.col("_key") == F.col("_first"), "left")
-    home = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("guest"))
-    guest = F.struct(F.col("_to").alias("b"), F.lit(1).alias("guest"))
-    dealt = marked.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(home)).otherwise(F.array(home, guest))))
-    order = ", ".join(["_at.guest", "_key", *columns])
-    window = f"OVER (PARTITION BY _at.b ORDER BY {order})"
-    follow = dealt.selectExpr("*", *[f"lead({c}) {window} AS {new}" for c, new in columns.items()])
-    return follow.where("_at.guest = 0").drop("_key", "_bucket", "_first", "_own", "_to", "_at")
+    marked = ranged.join(F.broadcast(before), k == first, "left")
+    home = F.struct(own.alias("b"), F.lit(0).alias("guest"))
+    guest = F.struct(to.alias("b"), F.lit(1).alias("guest"))
+    dealt = marked.withColumn(names["_at"], F.explode(F.when(to.isNull(), F.array(home)).otherwise(F.array(home, guest))))
+    window = Window.partitionBy(at["b"]).orderBy(at["guest"], k, *columns)
+    follow = dealt.select("*", *[F.lead(c).over(window).alias(new) for c, new in columns.items()])
+    return follow.where(at["guest"] == 0).drop(*names.values())
 
 
 def fingerprints_with_edits(docs: DataFrame) -> DataFrame:

@@ -118,7 +118,8 @@ def with_token_counts(docs: DataFrame, automaton: Automaton, text: str = "text",
     """``docs`` with a struct ``out(n_words, n_tokens)``.
 
     Words are runs of characters other than white space. Null and wordless texts count 0; a word outside the vocabulary
-    counts 1. Only ``text`` is read; other columns stay as they are, repeated rows get equal counts.
+    counts 1. Only ``text`` is read; repeated rows get equal counts, an empty table gives an empty one; other columns stay
+    as they are, one with the name ``out`` is replaced.
     """
 
     @F.pandas_udf("n_words long, n_tokens long")

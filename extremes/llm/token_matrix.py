@@ -98,6 +98,9 @@ def pack_tokens(docs: DataFrame, length: int = 2048, path: str = VOCABULARY, end
     by default the first id that the vocabulary leaves free, ends every document. Null text counts as empty: a document
     of its end alone. Repeated rows and null ids are packed like others. An empty table gives an empty one.
 
+    A row's ``ids`` take ``2 * length`` or ``4 * length`` bytes, the same for all rows. ``pad_id`` may be the id of a real
+    token: ``n_tokens`` tells where padding starts. Which documents share a row follows from how the input is partitioned.
+
     Documents are packed where they are read, in groups of about ``group_tokens`` tokens, so nothing is shuffled and
     memory is bounded; a group leaves one badly filled row or so.
     """

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -48,11 +50,12 @@ def rows(docs):
 # 1 quality
 
 
-def test_quality_tells_most_labels(spark):
+def test_quality_tells_labels_kept_out_of_training(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    model = quality.train(docs, labels, F.col("quality") == 1)
-    got = quality.score(docs, model).join(labels, "doc_id").select((F.col("judged.p_quality") >= 0.5).cast("int").alias("p"), "quality").toPandas()
-    assert (got.p == got.quality).mean() > 0.9
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = quality.train(docs, labels.where(~out), quality.good())
+    got = quality.score(docs, model).join(labels.where(out), "doc_id").select("judged.p_quality", quality.good().alias("good")).toPandas()
+    assert len(got) > 60 and ((got.p_quality >= 0.5) == got.good).mean() > 0.8
 
 
 def test_co_training_uses_the_pool():
@@ -81,23 +84,63 @@ def test_quality_pool_is_every_unlabelled_row(spark):
     assert late > never + 0.1
 
 
+def _judge_brute(model, text, source, lang, n_chars):
+    """Both views and their blend, feature by feature."""
+    own = set(quality.text_slots(text or "").tolist())
+    a = sum(w for slot, w in zip(model.chosen.tolist(), model.text, strict=False) if slot in own) + model.text[-1]
+    page = quality.page_features(text or "", source, lang, n_chars)
+    b = sum((x - c) / s * w for x, c, s, w in zip(page, model.centre, model.spread, model.page, strict=False)) + model.page[-1]
+    return [1 / (1 + math.exp(-z)) for z in (a, b, a * model.blend[0] + b * model.blend[1] + model.blend[2])]
+
+
 def test_quality_edges(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     for d, n in ((odd, 10), (empty, 0)):
-        assert quality.score(d, quality.train(d, labels, quality.good())).count() == n
+        rows = quality.score(d, quality.train(d, labels, quality.good())).collect()
+        assert len(rows) == n and all(r.judged.p_quality == 0.0 for r in rows) == (n > 0 or not rows)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), quality.good())
+    for r in quality.score(odd, model).collect() + quality.score(docs, model).limit(30).collect():
+        assert list(r.judged) == pytest.approx(_judge_brute(model, r.text, r.source, r.lang, r.n_chars), abs=1e-4)
     assert quality.score(odd, quality.Model(0.5)).select("judged.p_quality").distinct().collect() == [(0.5,)]
 
 
 # 2 decontamination
 
 
-def _bm25_brute(index, words, threshold):
-    """Scores of all items for a query of distinct terms."""
-    have, score = {index.terms[w] for w in words if w in index.terms}, {}
-    for t in have:
-        for i, x in zip(index.items[t], index.impacts[t], strict=True):
-            score[i] = score.get(i, 0) + x
-    return {i: s for i, s in score.items() if s + 1e-9 >= threshold}
+def _impacts(items):
+    """Shares of every item's words, and its passage length, from the definition."""
+    words = [decontaminate.split_words(t) for _, t in items]
+    df = {w: sum(w in x for x in words) for own in words for w in own}
+    mean = sum(map(len, words)) / max(len(words), 1)
+    return [(decontaminate.impacts_of(own, df, len(items), mean), max(64, 2 ** math.ceil(math.log2(2 * len(own))))) for own in words]
+
+
+def _leaks_brute(items, text, threshold=0.5, overlap=0.5):
+    """Every passage of the text scored against every item."""
+    words, out = decontaminate.split_words(text), {}
+    for (item_id, item), (share, passage) in zip(items, _impacts(items), strict=True):
+        step = passage // 2
+        for lo in range(0, max(1, len(words) - step), step):
+            have = set(words[lo : lo + passage])
+            s = sum(x for w, x in share.items() if w in have)
+            if s + 1e-9 < threshold:
+                continue
+            near, shares = words[max(0, lo - step) : lo + passage + step], []
+            for part in decontaminate.question_and_answer(item):
+                n = min(3, len(part))
+                own = {tuple(part[i : i + n]) for i in range(len(part) - n + 1)} if part else set()
+                shares.append(sum(any(tuple(near[i : i + n]) == g for i in range(len(near))) for g in own) / len(own) if own else 1.0)
+            if min(shares) >= overlap:
+                out[item_id] = max(out.get(item_id, 0), s)
+    return out
+
+
+def _long_items(seed, sizes):
+    rng = random.Random(seed)
+    common, rare = [f"c{i}" for i in range(60)], [f"r{i}" for i in range(4000)]
+    word = lambda: rng.choice(common) if rng.random() < 0.5 else rng.choice(rare)
+    return rng, word, [(i, " ".join(word() for _ in range(n - 3)) + ". " + " ".join(word() for _ in range(3))) for i, n in enumerate(sizes)]
 
 
 def test_block_max_wand_is_exhaustive_search():
@@ -105,14 +148,52 @@ def test_block_max_wand_is_exhaustive_search():
     vocabulary = [f"w{i}" for i in range(150)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 30)))) for i in range(90)]
     df = {w: sum(w in t.split() for _, t in items) for w in vocabulary}
-    index = decontaminate.Index(items, df, len(items), 17)
+    index = decontaminate.Index(items, df, len(items), 17, 64)
     for _ in range(200):
-        words = rng.sample(vocabulary, rng.randint(3, 60)) + rng.choice(items)[1].split()[: rng.randint(0, 30)]
-        terms = sorted({index.terms[w] for w in words if w in index.terms})
-        got, want = dict(index.above(terms, 0.4)), _bm25_brute(index, words, 0.4)
+        words = set(rng.sample(vocabulary, rng.randint(3, 60)) + rng.choice(items)[1].split()[: rng.randint(0, 30)])
+        got = dict(index.above(sorted({index.terms[w] for w in words if w in index.terms}), 0.4))
+        want = {i: s for i, (_, t) in enumerate(items) if (s := sum(x for w, x in decontaminate.impacts_of(t.split(), df, len(items), 17).items() if w in words)) + 1e-9 >= 0.4}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
 
 
+@pytest.mark.parametrize(("shard_items", "portion_bytes"), [(256, 1 << 26), (3, 20_000)])
+def test_leaks_are_those_of_every_passage(spark, shard_items, portion_bytes):
+    """Items of 5 to 600 words; whole, halved, scattered and without answer, deep in long texts."""
+    rng, word, items = _long_items(2, [5, 6, 9, 12, 20, 31, 32, 33, 48, 64, 65, 130, 250, 256, 260, 300, 520, 600])
+    texts = ["", None]
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        cases = [w, w[len(w) // 4 :], w[: len(w) // 2], w[len(w) // 2 :], w[:-3], w[: -len(w) // 4], [x for x in w if rng.random() < 0.7], rng.sample(w, len(w))]
+        texts += [" ".join([word() for _ in range(rng.randrange(300))] + c + [word() for _ in range(rng.randrange(300))]) for c in (cases if k % 2 else cases[:4])]
+    texts.append(" ".join([word() for _ in range(60_000)] + items[8][1].split()[:26] + items[10][1].split()))
+    texts = list(enumerate(texts))
+    index = decontaminate.build(spark.createDataFrame(items, "item_id long, text string"), shard_items, portion_bytes)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    got = {(r.doc_id, x.item_id): x.score for r in decontaminate.find_leaks(df, index).collect() for x in r.leaks}
+    want = {(d, i): s for d, t in texts for i, s in _leaks_brute(items, t).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(got) > 30
+
+
+def test_a_missing_answer_is_no_leak(spark):
+    rng, word, items = _long_items(3, [250, 260, 300, 520])
+    question = lambda t: " ".join(t.split(". ")[0].split())
+    df = spark.createDataFrame([(i, question(t)) for i, t in items], "doc_id long, text string")
+    index = decontaminate.build(spark.createDataFrame([(i, question(t) + ". alpha beta gamma delta epsilon zeta") for i, t in items], "item_id long, text string"))
+    assert decontaminate.find_leaks(df, index).where("size(leaks) > 0").count() == 0
+
+
+def test_half_an_item_behind_many_frequent_words():
+    """Sums over a long text lose nothing: the items are found however much stands before them."""
+    items = [(i, " ".join(f"{'abcdefghij'[i]}{k}" for k in range(47)) + " the") for i in range(10)]
+    df = {w: sum(w in t.split() for _, t in items) for _, text in items for w in text.split()}
+    index = decontaminate.Index(items, df, 10, 48, 128)
+    for before in (0, 20_000, 40_000, 60_000):
+        words = ["the"] * (before - before % 64) + items[3][1].split()[:24] + ["the"]
+        share = decontaminate.impacts_of(items[3][1].split(), df, 10, 48)
+        s = sum(share[w] for w in set(words))
+        assert [i for i, *_ in index.leaks(words, s, 0.0)] == [3]
+
+
 def test_leaks_are_the_items_that_texts_hold(spark, docs, rows):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, x.item_id) for r in decontaminate.find_leaks(docs, decontaminate.build(items, 7)).collect() for x in r.leaks}
@@ -122,11 +203,13 @@ def test_leaks_are_the_items_that_texts_hold(spark, docs, rows):
 
 
 def test_decontamination_edges(spark, odd, empty):
-    items = spark.createDataFrame([(1, "the same text of words here now"), (1, "the same text of words here now"), (2, None), (3, ""), (None, "x"), (4, "été")], "item_id long, text string")
-    got = decontaminate.find_leaks(odd, decontaminate.build(items)).where("size(leaks) > 0").select("doc_id", "leaks.item_id").collect()
-    assert sorted((r.doc_id, *r.item_id) for r in got) == [(1, 1), (2, 1), (2, 1), (7, 4)]
+    items = spark.createDataFrame([(1, "the same text of words here now"), (1, "the same text of words here now"), (1, "no such words"), (2, None), (3, ""), (None, "no id at all"), (4, "été")], "item_id long, text string")
+    free = odd.withColumnRenamed("leaks", "kept")
+    rows = decontaminate.find_leaks(free, decontaminate.build(items)).collect()
+    assert sorted((r.doc_id, *(x.item_id for x in r.leaks)) for r in rows if r.leaks and r.doc_id) == [(1, 1), (2, 1), (2, 1), (7, 4)]
+    assert [x.item_id for r in rows if r.text == "no id at all" for x in r.leaks] == [None] and {r.kept for r in rows} == {6}
     none = decontaminate.build(items.where("false"))
-    assert decontaminate.find_leaks(odd, none).where("size(leaks) > 0").count() == 0 and decontaminate.find_leaks(empty, none).count() == 0
+    assert decontaminate.find_leaks(free, none).where("size(leaks) > 0").count() == 0 and decontaminate.find_leaks(empty.drop("leaks"), none).collect() == []
 
 
 # 3 packing
@@ -145,8 +228,38 @@ def test_boundaries_are_optimal(histogram, k):
     assert len(got) <= k and got[-1] == lengths[-1] and cost(got) == best
 
 
-def test_batches_keep_every_row_in_budget(docs, odd, empty):
-    for d, salt in ((docs, 4096), (docs, 16), (odd, 4096), (odd, 2)):
+def test_long_lengths_are_exact(spark):
+    rows = [(i, 5001) for i in range(4)] + [(9, 5002), (10, 70_003), (11, 70_004), (12, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, n long")
+    got = packing.pack(df, F.col("n"), 8).toPandas()
+    assert (got.padding == 0).all() and set(got.bucket_len) == {1, 5001, 5002, 70_003, 70_004}
+    two = packing.pack(df, F.col("n"), 2).toPandas()
+    assert two.padding.sum() == 5001 + 1 + 4 + 1 - 1 and set(two.bucket_len) == {5002, 70_004}
+
+
+def test_op3_against_brute_force(spark, rows):
+    """Cuts from all sets of cuts; batches by the order of the hash."""
+    import itertools
+
+    got = queries.op3_packing(spark, SF).toPandas()
+    size = {i: len([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]) for i, t in rows}
+    lengths, counts = np.unique(list(size.values()), return_counts=True)
+    ends = packing.best_boundaries(lengths, counts, 3)
+    cost = lambda ends: sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts, strict=True))
+    some = lengths[:-1] if len(lengths) < 60 else lengths[:-1:2]
+    assert cost(ends) <= min(cost([*cut, lengths[-1]]) for cut in itertools.combinations(some, 2))
+    first, want = 0, {}
+    for k, end in enumerate(sorted(set(got.bucket_len))):
+        own = sorted((i for i in size if size[i] <= end and i not in want), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        per = max(1, 32768 // end)
+        want |= {i: (size[i], k, end, first + n // per, n % per, end - size[i]) for n, i in enumerate(own)}
+        first += -(-len(own) // per)
+    assert {r.doc_id: tuple(r)[1:] for r in got.itertuples(index=False)} == want
+
+
+def test_batches_keep_every_row_in_budget(spark, docs, odd, empty):
+    one_id = docs.select(F.lit(3).cast("long").alias("doc_id"), "text").unionByName(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    for d, salt in ((docs, 4096), (docs, 16), (odd, 4096), (odd, 2), (one_id, 8)):
         got = packing.pack(d, packing.words(), 4, 2000, salt).toPandas()
         assert len(got) == d.count() and (got.padding >= 0).all() and not got.duplicated(["batch_id", "row_in_batch"]).any()
         one = got.groupby("batch_id").agg(n=("doc_id", "size"), length=("bucket_len", "max"), kinds=("bucket", "nunique"))
@@ -220,6 +333,49 @@ def test_codewords_are_apart():
         assert (np.abs(code.sum(0)) < n).all()
 
 
+def _decide_brute(model, text):
+    """Bits from n-grams one by one, then the loss of every codeword."""
+    low, n = " " + text.lower() + " ", [0] * langid.SLOTS
+    mask = (1 << 32) - 1
+    for i in range(len(low) - 1):
+        two = (ord(low[i]) * 0x9E3779B1 + ord(low[i + 1]) * 0x85EBCA6B) & mask
+        n[((two * 0x2C1B3C6D) & mask) >> 19] += 1
+        if i + 2 < len(low):
+            three = (two * 0xC2B2AE35 + ord(low[i + 2]) * 0x27D4EB2F) & mask
+            n[((three * 0x165667B1) & mask) >> 19] += 1
+    total, loss = sum(n), {}
+    for lang, word in zip(model.languages, model.code, strict=True):
+        loss[lang] = 0.0
+        for b, bit in enumerate(word):
+            z = sum(c * model.weights[s, b] for s, c in enumerate(n) if c) / total * math.sqrt(min(total, 400)) * model.slope[b] + model.offset[b]
+            loss[lang] += model.trust[b] * math.log1p(math.exp(-bit * z)) if -bit * z < 500 else model.trust[b] * -bit * z
+    best = min(loss, key=loss.get)
+    return best, 1 / sum(math.exp(loss[best] - x) for x in loss.values())
+
+
+def test_decoding_by_an_independent_decoder(spark, docs, rows):
+    model, texts = langid.train_on_documents(docs), dict(rows)
+    got = {r.doc_id: r for r in queries.op5_langid(spark, SF).collect()}
+    for i, text in [x for x in texts.items() if len(x[1]) < 4000][:40]:
+        want = _decide_brute(model, text) if any(unicodedata.category(c)[0] == "L" for c in text) else ("und", 0.0)
+        assert got[i].lang_pred == want[0] and got[i].score == pytest.approx(want[1], abs=1e-6)
+
+
+def test_numbers_are_no_letters():
+    model = langid.Model(["a", "b"], langid.codewords(2), np.zeros((langid.SLOTS, 1)), np.ones(1), np.zeros(1), np.ones(1))
+    for text in ("½ ² ①", "Ⅷ", "123 ½", "", None, "_ 7 ٣", "🙂"):
+        assert model.decide(text)[0] == "und"
+    assert all(model.decide(t)[0] != "und" for t in ("½ é", "ʰ", "ª", "漢"))
+
+
+def test_very_many_languages(spark):
+    rows = [(f"l{i:03}", f"{chr(0x4E00 + 7 * i) * 3} {chr(0x4E00 + 7 * i + 1) * 2}", 10 * i + k) for i in range(520) for k in range(3)]
+    df = spark.createDataFrame(rows, "lang string, text string, doc_id long")
+    model = langid.train(df, F.col("lang"), F.col("text"), F.col("doc_id"), 50)
+    got = langid.identify(df, model).select("lang", "lang_id.lang_pred").toPandas()
+    assert len(model.languages) == 520 and (got.lang_pred == got.lang).mean() > 0.9
+
+
 def test_language_edges(odd, empty):
     model = langid.train_on_documents(odd)
     got = {(r.doc_id, r.lang_id.lang_pred) for r in langid.identify(odd, model).collect()}
@@ -264,7 +420,14 @@ def test_next_rows_over_ranges(spark, monkeypatch):
 
 
 def test_fingerprint_edges(odd, empty):
-    assert merkle.fingerprints_with_edits(odd).count() == 10 and merkle.fingerprints_with_edits(empty).count() == 0
+    rows = merkle.fingerprints_with_edits(odd).collect()
+    texts = sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "") for r in odd.collect())
+    want = [hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for (_, a), (_, b) in zip(texts, texts[1:] + texts[:1], strict=True)]
+    assert sorted(r.edited_sha256 for r in rows) == sorted(want) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    assert merkle.fingerprints_with_edits(empty).collect() == []
+    clash = odd.withColumns({c: F.lit(c) for c in ("_tree", "_key", "_bucket", "_first", "_own", "_to", "_at")})
+    for r in merkle.with_next(merkle.with_fingerprint(clash, "text", "f"), "doc_id", {"f": "g"}).collect():
+        assert [r[c] for c in ("_tree", "_key", "_bucket", "_first", "_own", "_to", "_at")] == ["_tree", "_key", "_bucket", "_first", "_own", "_to", "_at"]
 
 
 # 7 token ids
@@ -538,6 +701,40 @@ def test_alignment_keeps_order():
     assert licenses.rising([3, 1, 2, 9, 4]) == [1, 2, 4]
 
 
+def _common(a, b):
+    """Length of the longest common subsequence, by its table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [max(row[j] + 1 if x == y else 0, row[j + 1], 0) for j, y in enumerate(b)]
+        for j in range(1, len(row)):
+            row[j] = max(row[j], row[j - 1])
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=14), st.lists(st.integers(0, 12), max_size=14))
+def test_alignment_against_the_longest_common_subsequence(a, b):
+    """Equal words in order; all that can be had where no word repeats; anchors alone where every word is unique."""
+    a, b = [str(x) for x in a], [str(x) for x in b]
+    pairs = licenses.align(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    assert len(pairs) <= _common(a, b)
+    once, also = list(dict.fromkeys(a)), list(dict.fromkeys(b))
+    assert len(licenses.align(once, also)) == _common(once, also)
+
+
+def test_versions_and_kinds_are_told_apart(spark, tmp_path):
+    scan = licenses.Scanner(licenses.TEMPLATES).scan
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC-BY-NC-SA-4.0", "CC-BY-4.0-notice", "CC-BY-SA-4.0-notice"):
+        text = f"some words before it. {licenses.TEMPLATES[name]} And after."
+        assert [(x[0], x[1]) for x in scan(text)] == [(name, 1.0)]
+    (tmp_path / "Own-1.0.txt").write_text("Everyone may do with this text\nwhatever they like.")
+    own = licenses.Scanner(licenses.read_templates(spark, str(tmp_path)))
+    assert [x[0] for x in own.scan("x y everyone may do with this text whatever they like z")] == ["Own-1.0"]
+    with pytest.raises(ValueError, match="bytes"):
+        licenses.read_templates(spark, str(tmp_path), 10)
+
+
 def test_licenses_of_documents(spark, rows):
     text = "|".join(re.escape(licenses.TEMPLATES[k].rstrip(".")) for k in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0"))
     want = {(d, m.start(), m.end()) for d, t in rows for m in re.finditer(text, t)}
@@ -556,18 +753,37 @@ def test_license_with_edits_and_twice(odd, empty):
 # pipeline
 
 
-def test_pipeline_stages_against_brute_force(spark, docs):
+def test_pipeline_stages_against_brute_force(spark, docs, rows):
     stages = dict(corpus_pipeline.STAGES)
-    assert len(stages) == 5
-    told = stages["language_id"](spark, docs, SF)
-    assert told.columns == docs.columns and told.count() > 0.97 * docs.count()
-    kept = stages["near_duplicates"](spark, docs, SF)
-    texts = [(r.doc_id, r.text) for r in docs.collect()]
-    assert {r.doc_id for r in kept.collect()} == {i for i, c in _closure(_sets(texts)).items() if i == c}
-    clean = stages["decontamination"](spark, docs, SF)
-    assert {r.doc_id for r in docs.select("doc_id").subtract(clean.select("doc_id")).collect()} == {r.doc_id for r in queries.op2_decontaminate(spark, SF).collect()}
-    good = stages["quality"](spark, docs, SF)
+    assert list(stages) == ["language_id", "quality", "near_duplicates", "decontamination", "packing"]
+    texts, meta = dict(rows), {r.doc_id: r for r in docs.collect()}
+    told, model = stages["language_id"](spark, docs, SF), langid.train_on_documents(docs)
+    kept = {i for i, t in texts.items() if (d := model.decide(t))[0] != "und" and d[1] >= corpus_pipeline.LANGUAGE_SCORE}
+    assert told.columns == docs.columns and {r.doc_id for r in told.collect()} == kept and len(kept) > 0.97 * len(rows)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    lost = labels.where("quality = 1 AND toxic = 0").join(good, "doc_id", "left_anti").count()
-    assert good.columns == docs.columns and lost <= 0.05 * labels.where("quality = 1 AND toxic = 0").count()
+    judge = quality.train(docs, labels, quality.good())
+    want = {i for i, r in meta.items() if judge.score(r.text, r.source, r.lang, r.n_chars)[2] >= 0.5}
+    good = stages["quality"](spark, docs, SF)
+    assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == want and 0.5 * len(rows) < len(want) < len(rows)
+    one = stages["near_duplicates"](spark, docs, SF)
+    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {i for i, c in _closure(_sets(rows)).items() if i == c}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = stages["decontamination"](spark, docs, SF)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, t in rows if not _leaks_brute(items, t)}
+    packed = {tuple(r) for r in stages["packing"](spark, docs, SF).collect()}
+    assert packed == {tuple(r) for r in queries.op3_packing(spark, SF).collect()}  # that is held against brute force above
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty):
+    """Nulls, empty and long texts, repeated rows, columns with clashing names."""
+    more = odd.withColumns({"judged": F.lit("j"), "component_id": F.lit(5), "n_tokens": F.lit(6)})
+    want = {"language_id": [1, 2, 2, 6, 7, None], "near_duplicates": [1, 3, 4, 5, 6, 7, None, None], "decontamination": [1, 2, 2, 3, 4, 5, 6, 7, None, None]}
+    ids = lambda found: sorted((r.doc_id for r in found), key=lambda i: (i is None, i))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, more, SF).collect()
+        assert all((r.judged, r.component_id, r.n_tokens, r.lang_id, r.leaks) == ("j", 5, 6, 5, 6) for r in found)
+        assert set(ids(found)) <= {1, 2, 3, 4, 5, 6, 7, None} and (name not in want or ids(found) == want[name])
+        assert stage(spark, empty, SF).collect() == [] and stage(spark, empty, SF).columns == empty.columns
+    packed = corpus_pipeline.STAGES[-1][1](spark, more, SF)
+    assert ids(packed.collect()) == ids(odd.collect()) and corpus_pipeline.STAGES[-1][1](spark, empty, SF).collect() == []
