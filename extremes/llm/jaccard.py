@@ -44,6 +44,8 @@ from .shingles import mix, set_name, shingle_set
 #: Counters: one for SKETCH_BYTES bytes of input, at least and at most 2 to the power of these.
 SKETCH_BYTES, LEAST_BITS, MOST_BITS = 256, 16, 24
 SKETCH_PARTS = 64
+#: Postings that a task holds before it puts them out.
+FLUSH_POSTINGS = 1_000_000
 #: Postings of an index bucket, about, and members of a part of the list of a very frequent key.
 BUCKET_POSTINGS = 1_000_000
 LIST_PART = 50_000
@@ -257,7 +259,7 @@ def _index(width: int, buckets: int, levels: np.ndarray, frequent: int, t_num: i
                 for column, value in zip(held, own, strict=True):
                     column.append(value)
                 n += len(own[0])
-                if n > 4_000_000:
+                if n > FLUSH_POSTINGS:
                     yield from flush(*held)
                     held, n = ([], [], [], []), 0
         yield from flush(*held)
@@ -440,7 +442,7 @@ def joining_links(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, t_
         own = token[offsets[i] : offsets[i + 1]]
         own = own[length[own] > 1]
         common = np.zeros(len(sets), np.int64)
-        for part in np.array_split(own, max(1, int(length[own].sum()) // 8_000_000)):
+        for part in np.array_split(own, max(1, int(length[own].sum()) // 2_000_000)):
             n = length[part]
             at = np.repeat(starts[part] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(part) else part
             common += np.bincount(owner[at], minlength=len(sets))

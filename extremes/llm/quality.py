@@ -33,6 +33,8 @@ TEXT_FEATURES = 1024
 PASSES = 8
 BLOCK_ROWS = 2000
 BINS = 4096
+#: Words whose slot a worker remembers at most.
+REMEMBERED = 100_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _known: dict[str, int] = {}
 
@@ -41,7 +43,7 @@ def text_slots(text: str) -> np.ndarray:
     """The slots of the lower-cased tokens of the whole text, and of how much its words repeat."""
     tokens = _TOKEN.findall(text.lower())
     kinds = set(tokens)
-    if len(_known) > 500_000:
+    if len(_known) > REMEMBERED:
         _known.clear()
     slots = []
     for token in kinds:
