@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, jaccard, langid, licenses, merkle, packing, quality, token_counts, token_matrix
 from .common import table
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +72,3 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_decontaminate, op3_packing, op4_chat, op5_langid, op6_fingerprint, op7_token_matrix, op8_token_counts, op9_jaccard, op10_licenses,
 )}
-
-ORACLE_SQL: dict[str, str] = {}
