@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-#: Rolling-window lengths in hours.
+# Rolling-window lengths in hours.
 SUBDAILY = (1, 2, 3, 4, 6, 8, 10, 12, 18, 24)
 DAILY = (24, 48, 72, 96, 120, 144, 192, 240, 288, 360)
 ALL_DURATIONS = tuple(dict.fromkeys(SUBDAILY + DAILY))

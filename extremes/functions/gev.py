@@ -37,11 +37,12 @@ def plotting_position(kind: str, rank: Column, n: Column) -> Column:
 
 
 def z_test(shape: Column, n: Column) -> Column:
-    """Statistic of the hypothesis that the shape is 0."""
+    """Statistic of the hypothesis that the shape is 0 (fixed value: 0.5633)."""
     return shape * F.sqrt(n / 0.5633)
 
 
 def gumbel_scale(l2: Column) -> Column:
+    # Fixed value: ln 2 to four digits.
     return l2 / 0.6931
 
 
@@ -50,6 +51,7 @@ def gumbel_location(l1: Column, scale: Column) -> Column:
 
 
 def shape_of(b0: Column, b1: Column, b2: Column) -> Column:
+    # Ln 2 / ln 3 and the published approximation of the shape.
     c = F.try_divide(2 * b1 - b0, 3 * b2 - b0) - 0.63093
     return 7.859 * c + 2.9554 * c * c
 
@@ -153,6 +155,11 @@ def t_quantile(p: float, df: float) -> float:
     return (lo + hi) / 2
 
 
+def t_tail(t: float, df: float) -> float:
+    """Two-sided p-value of Student's t."""
+    return _beta_share(df / (df + t * t), df / 2, 0.5)
+
+
 def _beta_share(x: float, a: float, b: float) -> float:
     if x <= 0 or x >= 1:
         return float(x >= 1)

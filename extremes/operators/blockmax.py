@@ -4,22 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import least_valid, window_rows
 
 
-def _running(value: str, keys: list[str], time: str) -> dict[str, Column]:
-    w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return {"_s": F.sum(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).over(w), "_n": F.count(value).over(w)}
-
-
-def _trailing(rows: int, keys: list[str], time: str) -> tuple[Column, Column]:
-    """Sum and count over the last ``rows`` rows, as differences of running values; each row is visited once."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    back = lambda c: F.col(c) - F.coalesce(F.lag(c, rows).over(w), F.lit(0))
-    return back("_s"), back("_n")
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the next one with underscores that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def rolling(series: DataFrame, keys: list[str], time: str, value: str, durations: Iterable[float], step: float = 1.0, how: str = "mean", least: int | None = None) -> DataFrame:
@@ -27,14 +23,18 @@ def rolling(series: DataFrame, keys: list[str], time: str, value: str, durations
 
     Needs one row for each time step (see ``regular_axis``). All windows share one shuffle and sort.
     """
-    base = series.withColumns(_running(value, keys, time))
+    s, n_valid = free_name(series, "_s"), free_name(series, "_n")
+    by_time = Window.partitionBy(*keys).orderBy(time)
+    so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = series.withColumns({s: F.sum(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).over(so_far), n_valid: F.count(value).over(so_far)})
     out = {}
     for d in dict.fromkeys(durations):
         rows = window_rows(d, step)
-        total, n = _trailing(rows, keys, time)
+        # over the last ``rows`` rows, as differences of running values; each row is visited once
+        total, n = (F.col(c) - F.coalesce(F.lag(c, rows).over(by_time), F.lit(0)) for c in (s, n_valid))
         amount = F.try_divide(total, n) if how == "mean" else total
         out[f"m_{rows}"] = F.when(n >= (least_valid(rows) if least is None else least), amount)
-    return base.withColumns(out).drop("_s", "_n")
+    return base.withColumns(out).drop(s, n_valid)
 
 
 def rolling_frames(series: DataFrame, keys: list[str], time: str, value: str, durations: Iterable[float], step: float = 1.0) -> DataFrame:
@@ -74,11 +74,11 @@ def positions_of_maxima(series: DataFrame, keys: list[str], time: str, value: st
 def regular_axis(series: DataFrame, keys: list[str], time: str, axis: str = "union", step: str = "1 hour") -> DataFrame:
     """One row for each key and time, values null where there was none.
 
-    ``union``: the times that any key has. ``regular``: every step from the first to the last time of all keys.
+    ``union``: the times that any key has. ``regular``: every step from the first to the last time of all keys. The axis
+    is one array, of the length of the record's time axis, that every key explodes.
     """
-    ids = series.select(*keys).distinct()
-    if axis == "union":
-        times = series.select(time).distinct()
-    else:
-        times = series.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).selectExpr(f"explode(sequence(lo, hi, INTERVAL {step})) AS {time}")
-    return ids.crossJoin(times).join(series, [*keys, time], "left")
+    held = free_name(series, "_axis")
+    times = F.collect_set(time) if axis == "union" else F.expr(f"sequence(min({time}), max({time}), INTERVAL {step})")
+    axes = F.broadcast(series.agg(times.alias(held)))  # one row
+    dense = series.select(*keys).distinct().join(axes).select(*keys, F.explode(held).alias(time))
+    return dense.join(series, [*keys, time], "left")

@@ -38,7 +38,7 @@ def fit_samples_sql(ams: DataFrame, keys: list[str], n_sample: int, seed: int =
     lengths = valid.select("n").distinct()
     table = lengths.selectExpr("n", f"explode(sequence(0, {n_sample - 1})) AS sample").selectExpr("n", "sample", "explode(sequence(0, cast(n AS INT) - 1)) AS k")
     table = table.select("n", "sample", draw(seed, F.col("n"), F.col("sample"), F.col("k")).alias("idx"))
-    drawn = valid.join(F.broadcast(table), ["n", "idx"]).select(*by, "sample", "annual_max")
+    drawn = valid.join(table, ["n", "idx"]).select(*by, "sample", "annual_max")
     own = valid.select(*by, F.lit(-1).alias("sample"), "annual_max")
     ranked = rank_and_ecdf(drawn.unionByName(own), [*by, "sample"])
     return fits.fit_gev(ranked, [*by, "sample"], shape=shape).drop("n_obs")
@@ -107,13 +107,16 @@ def fit_with_intervals(ams: DataFrame, keys: list[str], n_sample: int = 500, wid
         fitted = 10 ** (lines["intercept"] + lines["slope"] * lx)
         fitted[..., 2] = p[..., 2]
         rows = []
-        pick = lambda a: [a[0], *np.nanquantile(a[1:], levels)] if np.isfinite(a[1:]).any() else [a[0], *[np.nan] * len(levels)]
+        def pick(a: np.ndarray) -> list[float]:
+            valid = a[1:][np.isfinite(a[1:])]
+            return [a[0], *(np.quantile(valid, levels) if len(valid) else [np.nan] * len(levels))]
+
         head = [pdf[k].iloc[0] for k in keys]
         for j, name in enumerate(fits.PARAMS):
             line = {k: pick(v[:, j]) for k, v in lines.items()}
             for i, d in enumerate(durations):
-                for c, ci in enumerate(labels):
-                    rows.append([*head, d, ci, name, pick(p[i, :, j])[c], pick(fitted[i, :, j])[c], *(line[k][c] for k in ("slope", "intercept", "rsquared", "spearman"))])
+                own = pick(p[i, :, j]), pick(fitted[i, :, j]), *(line[k] for k in ("slope", "intercept", "rsquared", "spearman"))
+                rows += [[*head, d, ci, name, *(x[c] for x in own)] for c, ci in enumerate(labels)]
         return pd.DataFrame(rows, columns=[c.split()[0].strip("`") for c in schema.split(", ")])
 
     out = ams.select(*keys, "duration", "block", "annual_max").groupBy(*keys).applyInPandas(one, schema)
@@ -126,12 +129,8 @@ def _lines(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     sxx, sxy, syy = ((x - mx) ** 2).sum(0), ((x - mx) * (y - my)).sum(0), ((y - my) ** 2).sum(0)
     with np.errstate(all="ignore"):
         slope = sxy / sxx
-        order = np.argsort(np.argsort(y, 0, kind="stable"), 0).astype(float)
-        rank_x = np.argsort(np.argsort(x, 0), 0).astype(float)
-        for s in np.ndindex(y.shape[1:]):  # ties are rare: average only where there are some
-            v, inverse, n = np.unique(y[(slice(None), *s)], return_inverse=True, return_counts=True)
-            if len(v) < len(y) and not np.isnan(v).any():
-                order[(slice(None), *s)] = (np.cumsum(n) - (n - 1) / 2 - 1)[inverse]
+        rank = lambda v: ((v[None] < v[:, None]).sum(1) + (v[None] == v[:, None]).sum(1) / 2).astype(float)  # noqa: E731  ties averaged
+        order, rank_x = rank(y), rank(x)
         rx, ry = rank_x - rank_x.mean(0), order - order.mean(0)
         rho = (rx * ry).sum(0) / np.sqrt((rx**2).sum(0) * (ry**2).sum(0))
         r2 = sxy**2 / (sxx * syy)
@@ -142,7 +141,8 @@ def _lines(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
 def critical_d(spark: SparkSession, lengths: DataFrame, shape: float, n_sample: int = 10_000, seed: int = 1, levels=(0.05, 0.1)) -> DataFrame:
     """``lengths(n)`` -> ``(n, significance_level, Dcrit)``: simulated series are ranked and refitted, D's quantiles are the limits."""
     u = lambda: (F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(f"d{seed}"), F.col("n").cast("string"), F.col("sample").cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    rows = lengths.select(F.col("n").cast("int").alias("n")).distinct().selectExpr("n", f"explode(sequence(0, {n_sample - 1})) AS sample").selectExpr("n", "sample", "explode(sequence(1, n)) AS k")
+    rows = lengths.select(F.col("n").cast("int").alias("n")).distinct().selectExpr("n", f"explode(sequence(0, {n_sample - 1})) AS sample")
+    rows = rows.repartition("n", "sample").selectExpr("n", "sample", "explode(sequence(1, n)) AS k")  # the windows' partitioning, and parallel from here on
     y = (1 - F.pow(-F.ln(u()), F.lit(shape))) / shape if shape else -F.ln(-F.ln(u()))
     series = rows.withColumn("annual_max", y)
     by = ["n", "sample"]

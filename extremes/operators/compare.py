@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grid import nearest_cells, positive_longitude
+from .quantiles import intensities
 
 
 def site_list(points: DataFrame, name: str, only: list[str] | None = None) -> DataFrame:
@@ -19,14 +20,14 @@ def site_list(points: DataFrame, name: str, only: list[str] | None = None) -> Da
 def grid_at_sites(grid: DataFrame, sites: DataFrame) -> DataFrame:
     """Rows of the cells nearest to ``sites(name, latitude, longitude)``, by site."""
     cells = nearest_cells(grid.select("latitude", "longitude").distinct(), sites).where("cell_lat IS NOT NULL")
-    joined = grid.join(F.broadcast(cells), (F.col("latitude") == F.col("cell_lat")) & (F.col("longitude") == F.col("cell_lon")))
+    joined = grid.join(cells, (F.col("latitude") == F.col("cell_lat")) & (F.col("longitude") == F.col("cell_lon")))
     return joined.drop("latitude", "longitude", "cell_lat", "cell_lon")
 
 
 def combine_sources(sites: DataFrame, grids: dict[str, DataFrame], points: dict[str, DataFrame], columns: list[str]) -> DataFrame:
     """All sources at the sites: ``(source, name, columns)``. Grids by nearest cell, points by name."""
     parts = [grid_at_sites(g, sites).select(F.lit(s).alias("source"), "name", *columns) for s, g in grids.items()]
-    parts += [p.join(F.broadcast(sites.select("name")), "name").select(F.lit(s).alias("source"), "name", *columns) for s, p in points.items()]
+    parts += [p.join(sites.select("name"), "name").select(F.lit(s).alias("source"), "name", *columns) for s, p in points.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -39,11 +40,12 @@ def pair_with_reference(df: DataFrame, reference: str, keys: list[str], value: s
     return df.where(F.col("source") != reference).select("source", *keys, F.col(value).alias("est")).join(ref, keys)
 
 
-def errors(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """MAE, MAPE, and the median and outer percentage errors of ``est`` against ``ref``."""
+def errors(pairs: DataFrame, by: list[str], approximate: bool = False) -> DataFrame:
+    """MAE, MAPE, and the median and outer percentage errors of ``est`` against ``ref``; ``approximate`` for very many pairs a case."""
     d = F.col("est") - F.col("ref")
     pe = F.try_divide(d, F.col("ref"))
-    q = F.percentile(pe, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    levels = F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))
+    q = F.percentile_approx(pe, levels, F.lit(100_000)) if approximate else F.percentile(pe, levels)
     out = pairs.groupBy(*by).agg(F.avg(F.abs(d)).alias("mae"), F.avg(F.abs(pe)).alias("mape"), q.alias("_q"))
     return out.select(*by, "mae", "mape", *[F.col("_q")[i].alias(n) for i, n in enumerate(("pe_low", "mdpe", "pe_high"))])
 
@@ -94,41 +96,108 @@ def adequate(df: DataFrame, threshold: float = 0.2) -> DataFrame:
 
 
 def report(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Errors, the slope through the origin (areal reduction) and the regression line, by source and case."""
-    arf = robust_lines(pairs, by).select(*by, F.col("slope").alias("arf"))
-    line = robust_lines(pairs, by, intercept=True).select(*by, "slope", "intercept")
-    return errors(pairs, by).join(arf, by).join(line, by)
+    """Errors, the slope through the origin (areal reduction, ``arf``) and the regression line, by source and case.
+
+    Both lines are fitted in one step for each case; a case holds one row for each station.
+    """
+    kinds = dict(pairs.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", arf double, slope double, intercept double"
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[["ref", "est"]].dropna().to_numpy(float)
+        values = [irls(own[:, 0], own[:, 1], False)[0], *irls(own[:, 0], own[:, 1], True)]
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in by), *values]], columns=[*by, "arf", "slope", "intercept"])
+
+    lines = pairs.select(*by, "ref", "est").groupBy(*by).applyInPandas(solve, schema)
+    lines = lines.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("arf", "slope", "intercept")})
+    return errors(pairs, by).join(lines, by)
+
+
+def station_report_pairs(gauges: DataFrame, grids: dict[str, DataFrame], periods=(2, 10, 50, 100, 500, 1000), keys: tuple[str, ...] = ("station", "duration")) -> DataFrame:
+    """Intensities of gauges and of their nearest cells: ``(source, station, duration, T, ref, est)``.
+
+    ``gauges(station, latitude, longitude, duration, location, scale, shape)``, ``grids`` by source with latitude and
+    longitude from 0 to 360 instead of the station. Gauges without coordinates are left out, negative longitudes
+    turned.
+    """
+    held = gauges.where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    sites = held.select(F.col("station").alias("name"), "latitude", positive_longitude(F.col("longitude")).alias("longitude")).distinct()
+    params = ["location", "scale", "shape"]
+    parts = [held.select(F.lit("gauge").alias("source"), *keys, *params)]
+    parts += [grid_at_sites(g, sites).select(F.lit(s).alias("source"), F.col("name").alias("station"), *keys[1:], *params) for s, g in grids.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return pair_with_reference(intensities(every, 3, periods), "gauge", [*keys, "T"])
 
 
-def relative_difference_quantiles(params: DataFrame, by: list[str], q: list[float]) -> DataFrame:
-    """Quantiles of (scaled - fitted) / fitted: ``(by, q, value)``."""
+def station_report(gauges: DataFrame, grids: dict[str, DataFrame], periods=(2, 10, 50, 100, 500, 1000)) -> DataFrame:
+    """Gauges against grids, from coordinates to errors, areal reduction and lines: a row for each source, duration and period."""
+    return report(station_report_pairs(gauges, grids, periods), ["source", "duration", "T"])
+
+
+def relative_difference_quantiles(params: DataFrame, by: list[str], q: list[float], approximate: bool = False) -> DataFrame:
+    """Quantiles of (scaled - fitted) / fitted: ``(by, q, value)``; ``approximate`` for very many locations."""
     rel = F.try_divide(F.col("gev_scaled") - F.col("gev"), F.col("gev"))
-    out = params.groupBy(*by).agg(F.percentile(rel, F.array(*map(F.lit, q))).alias("_q"))
+    levels = F.array(*map(F.lit, q))
+    out = params.groupBy(*by).agg((F.percentile_approx(rel, levels, F.lit(100_000)) if approximate else F.percentile(rel, levels)).alias("_q"))
     pairs = ", ".join(f"CAST({x} AS DOUBLE), _q[{i}]" for i, x in enumerate(q))
     return out.selectExpr(*by, f"stack({len(q)}, {pairs}) AS (q, value)")
 
 
 def mean_percentage_error(scaled: DataFrame, fitted: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """Mean of (scaled - fitted) / fitted intensities over locations, and over how many."""
+    """Mean, least and largest of (scaled - fitted) / fitted intensities over locations, and over how many."""
     pair = scaled.select(*keys, *by, F.col("intensity").alias("s")).join(fitted.select(*keys, *by, F.col("intensity").alias("f")), [*keys, *by])
-    return pair.groupBy(*by).agg(F.avg(F.try_divide(F.col("s") - F.col("f"), F.col("f"))).alias("mpe"), F.count("s").alias("n"))
+    error = F.try_divide(F.col("s") - F.col("f"), F.col("f"))
+    return pair.groupBy(*by).agg(F.avg(error).alias("mpe"), F.min(error).alias("least"), F.max(error).alias("largest"), F.count("s").alias("n"))
+
 
+def error_extent(errors_by_case: DataFrame) -> DataFrame:
+    """The least and the largest mean percentage error of all cases."""
+    return errors_by_case.agg(F.min("mpe").alias("least"), F.max("mpe").alias("largest"))
 
-def station_pairs_panel(pairs: DataFrame, stations: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Rows of both stations of each 'A--B' pair and their mean, by source 'first', 'last' and 'mean'."""
+
+def station_pairs_panel(pairs: DataFrame, stations: DataFrame, keys: list[str], columns: list[str], grid: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
+    """Rows of both stations of each 'A--B' pair and their mean, by source 'first', 'last' and 'mean'.
+
+    With ``grid(latitude, longitude, keys, columns)`` and ``places(station, latitude, longitude)`` also 'grid', the cell
+    nearest to the pair's last station.
+    """
     split = pairs.select("pair", F.posexplode(F.split("pair", "--")).alias("k", "station"))
-    each = stations.join(F.broadcast(split), "station").withColumn("source", F.when(F.col("k") == 0, "first").otherwise("last"))
+    each = stations.join(split, "station").withColumn("source", F.when(F.col("k") == 0, "first").otherwise("last"))
     mean = each.groupBy("pair", *keys).agg(*[F.avg(c).alias(c) for c in columns]).withColumn("source", F.lit("mean"))
-    return each.select("pair", "source", *keys, *columns).unionByName(mean.select("pair", "source", *keys, *columns))
+    out = each.select("pair", "source", *keys, *columns).unionByName(mean.select("pair", "source", *keys, *columns))
+    if grid is None:
+        return out
+    sites = split.where("k > 0").join(places, "station").select(F.col("pair").alias("name"), "latitude", positive_longitude(F.col("longitude")).alias("longitude"))
+    cell = grid_at_sites(grid, sites).select(F.col("name").alias("pair"), F.lit("grid").alias("source"), *keys, *columns)
+    return out.unionByName(cell)
+
+
+def with_line(panel: DataFrame, keys: list[str], value: str, duration: str = "duration") -> DataFrame:
+    """``panel`` with ``line``: 10^intercept * duration^slope of the line of log10(value) on log10(duration) of each series."""
+    y = F.when(F.col(value) > 0, F.log10(F.when(F.col(value) > 0, F.col(value))))
+    x = F.when(y.isNotNull(), F.log10(F.col(duration).cast("double")))
+    slope = F.try_divide(F.covar_pop(y, x), F.var_pop(x))
+    lines = panel.groupBy(*keys).agg(slope.alias("_slope"), (F.avg(y) - slope * F.avg(x)).alias("_intercept"))
+    both = panel.join(lines, keys)
+    return both.withColumn("line", F.pow(F.lit(10.0), "_intercept") * F.pow(F.col(duration).cast("double"), F.col("_slope"))).drop("_slope", "_intercept")
 
 
 def overlay(series: dict[str, DataFrame], time: str, value: str) -> DataFrame:
-    """Series of several sources under each other, in the order of time."""
+    """Series of several sources under each other."""
     parts = [df.select(F.lit(s).alias("source"), time, value) for s, df in series.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy(time, "source")
+    return out
+
+
+def station_overlay(records: DataFrame, sites: DataFrame, grid: DataFrame, time: str, value: str) -> DataFrame:
+    """``(name, source, time, value)`` of stations and of their nearest cells under each other; ``records(name, time, value)``."""
+    cells = grid_at_sites(grid, sites).select("name", F.lit("grid").alias("source"), time, value)
+    own = records.join(sites.select("name"), "name", "left_semi").select("name", F.lit("station").alias("source"), time, value)
+    return own.unionByName(cells)
 
 
 def side_by_side(df: DataFrame, keys: list[str], sources: list[str], value: str = "intensity") -> DataFrame:

@@ -29,10 +29,16 @@ def snap(x: Column, first: float, step: float, n: int) -> Column:
     return F.lit(first) + F.greatest(F.lit(0), F.least(F.lit(n - 1), i)) * F.lit(step)
 
 
+def snapped(points: DataFrame, lat: tuple[float, float, int], lon: tuple[float, float, int]) -> DataFrame:
+    """``nearest_cells`` for regular axes (first, step, n), by arithmetic."""
+    return points.select(*[c for c in points.columns if c not in ("latitude", "longitude")], snap(F.col("latitude"), *lat).alias("cell_lat"), snap(F.col("longitude"), *lon).alias("cell_lon"))
+
+
 def nearest_cells(cells: DataFrame, points: DataFrame) -> DataFrame:
     """``points`` with ``cell_lat, cell_lon``: nearest on each axis alone, ties to the larger coordinate, no wrap-around.
 
-    Works on irregular axes. An axis' distinct values are an array of its length, searched for each point.
+    Works on irregular axes. An axis' distinct values are an array of its length, searched for each point; on regular
+    axes ``snapped`` needs no search.
     """
     lats, lons = cells.agg(F.collect_set("latitude").alias("lats")), cells.agg(F.collect_set("longitude").alias("lons"))
     axes = lats.crossJoin(lons)  # one row

@@ -11,10 +11,15 @@ def _wide(df: DataFrame, keys: list[str], cases: dict[str, tuple[str, str, str]]
     return df.groupBy(*keys).agg(*[F.max(F.when((F.col("ev_param") == p) & (F.col("ci") == ci), F.col(v))).alias(new) for new, (v, p, ci) in cases.items()])
 
 
-def params_by_duration(params: DataFrame, keys: list[str], gof: DataFrame | None = None) -> DataFrame:
-    """Location and scale estimates by duration, with goodness of fit."""
+def params_by_duration(params: DataFrame, keys: list[str], gof: DataFrame | None = None, crit: DataFrame | None = None) -> DataFrame:
+    """Location and scale estimates by duration, with goodness of fit and, a column for each level, critical values."""
     out = _wide(params, [*keys, "duration"], {"location": ("gev", "location", "estimate"), "scale": ("gev", "scale", "estimate")})
-    return out if gof is None else out.join(gof, [*keys, "duration"], "left").withColumnRenamed("KS_D", "D")
+    out = out if gof is None else out.join(gof, [*keys, "duration"], "left").withColumnRenamed("KS_D", "D")
+    if crit is None:
+        return out
+    at = lambda c, level: F.max(F.when(F.col("significance_level") == level, F.col(c))).alias(f"{c}_{round(100 * level):02d}")
+    one = crit.agg(*[at(c, level) for c in crit.columns if c != "significance_level" for level in (0.05, 0.1)])  # one row
+    return out.join(F.broadcast(one))
 
 
 def params_by_duration_ci(params: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,9 +72,9 @@ def site_table(params: DataFrame, site: str, sources: list[str], limits: tuple[s
 
 
 def probability_table(wide: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Wide probabilities to rows ``(keys, kind, p, T)`` in the order of T."""
+    """Wide probabilities to rows ``(keys, kind, p, T)``."""
     pairs = ", ".join(f"'{c}', {c}" for c in columns)
-    return wide.selectExpr(*keys, f"stack({len(columns)}, {pairs}) AS (kind, p)").withColumn("T", F.try_divide(F.lit(1.0), 1 - F.col("p"))).orderBy("T", *keys)
+    return wide.selectExpr(*keys, f"stack({len(columns)}, {pairs}) AS (kind, p)").withColumn("T", F.try_divide(F.lit(1.0), 1 - F.col("p")))
 
 
 def theoretical_curve(fits: DataFrame, last: int = 9999) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(value: str, keys: list[str], by: list[str] | None = None) -> Column:
-    """Ascending rank within ``keys``, ties averaged, null for null. All windows share the partitioning of ``by`` or ``keys``."""
+def average_rank(value: str, keys: list[str]) -> Column:
+    """Ascending rank within ``keys``, ties averaged, null for null."""
     first = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last()))
     ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
     return F.when(F.col(value).isNotNull(), first + (ties - 1) / 2)

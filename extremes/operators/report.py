@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import gev
 from .ranks import global_average_rank
 
 
@@ -33,10 +34,11 @@ def mean_statistics(gof: DataFrame, keys: list[str], columns: list[str]) -> Data
     return gof.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def density(df: DataFrame, x: str, y: str, bins: int = 20, least: int = 100, shared_extent: bool = True) -> DataFrame:
-    """Counts on a grid over the 1-99 % extent of ``x`` (on both axes when shared); cells with ``least`` points."""
+def density(df: DataFrame, x: str, y: str, bins: int = 20, least: int = 100, shared_extent: bool = True, approximate: bool = False) -> DataFrame:
+    """Counts on a grid over the 1-99 % extent of ``x`` (on both axes when shared); cells with ``least`` points; ``approximate`` for very many values."""
     q = F.array(F.lit(0.01), F.lit(0.99))
-    ext = df.agg(F.percentile(x, q).alias("ex"), F.percentile(x if shared_extent else y, q).alias("ey"))
+    at_levels = lambda c: F.percentile_approx(c, q, F.lit(100_000)) if approximate else F.percentile(c, q)
+    ext = df.agg(at_levels(x).alias("ex"), at_levels(x if shared_extent else y).alias("ey"))
     at = lambda c, e: F.floor((F.col(c) - F.col(e)[0]) / F.nullif(F.col(e)[1] - F.col(e)[0], F.lit(0.0)) * bins)
     edge = lambda c, e: F.when(F.col(c).between(F.col(e)[0], F.col(e)[1]), F.least(at(c, e), F.lit(bins - 1)))
     placed = df.crossJoin(F.broadcast(ext)).select(edge(x, "ex").alias("bx"), edge(y, "ey").alias("by"))
@@ -52,26 +54,29 @@ def count_significant(df: DataFrame, by: list[str], p: str, alpha: float = 0.05)
     return df.groupBy(*by).agg(F.count_if(F.col(p) > alpha).alias("n_over"), F.count(p).alias("n"))
 
 
-def paired_tests(df: DataFrame, x: str, y: str) -> dict[str, float]:
-    """Paired t statistic and Wilcoxon's signed-rank statistic (zeros ranked, without sign), with normal p-values.
+def paired_tests(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row ``(n, t, t_p, w_plus, w_minus, z, w_p)``: paired t test and Wilcoxon's signed ranks (zeros ranked, without sign).
 
-    Pairs with a missing value are left out. Ranks come from counts by value, not from a window over all rows.
+    Pairs with a missing value are left out. Ranks come from counts by value, not from a window over all rows. p-values
+    are two-sided: Student's t with n - 1 degrees, the normal tail for z. Null where they are not defined.
     """
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select((F.col(x) - F.col(y)).alias("d"))
     s = d.agg(F.count("d").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s")).first()
-    out = {"n": s["n"]}
-    if not s["n"]:
-        return out
-    t = s["m"] / (s["s"] / math.sqrt(s["n"])) if s["s"] else None
+    schema = "n long, t double, t_p double, w_plus double, w_minus double, z double, w_p double"
+    n = s["n"]
+    if not n:
+        return df.sparkSession.createDataFrame([(0, None, None, None, None, None, None)], schema)
+    t = s["m"] / (s["s"] / math.sqrt(n)) if s["s"] else None
     ranks = global_average_rank(d.select(F.abs("d").alias("a")), "a")
     signs = d.groupBy(F.abs("d").alias("a")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"))
     w = ranks.join(signs, "a").agg(
         F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * F.col("down")).alias("minus"),
         F.sum(F.when(F.col("a") == 0, F.col("n"))).alias("zeros"), F.sum(F.when(F.col("a") > 0, F.pow("n", F.lit(3)) - F.col("n"))).alias("ties"),
     ).first()
-    n, z0 = s["n"], w["zeros"] or 0
+    z0 = w["zeros"] or 0
     mean = (n * (n + 1) - z0 * (z0 + 1)) / 4
     var = (n * (n + 1) * (2 * n + 1) - z0 * (z0 + 1) * (2 * z0 + 1)) / 24 - (w["ties"] or 0) / 48
     z = (w["plus"] - mean) / math.sqrt(var) if var > 0 else None
-    tail = lambda v: None if v is None else math.erfc(abs(v) / math.sqrt(2))
-    return out | {"t": t, "t_p_normal": tail(t), "w_plus": w["plus"], "w_minus": w["minus"], "z": z, "w_p": tail(z)}
+    t_p = None if t is None else gev.t_tail(t, n - 1)
+    w_p = None if z is None else math.erfc(abs(z) / math.sqrt(2))
+    return df.sparkSession.createDataFrame([(n, t, t_p, float(w["plus"]), float(w["minus"]), z, w_p)], schema)

@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blockmax import rolling
+from .blockmax import free_name, rolling
 
 HOURLY_LIMIT, DAILY_LIMIT, MARGIN = 92.0, 279.0, 1.2
 KEEP = ("id", "ob_hour_count", "prcp_amt", "prcp_dur", "rec_st_ind", "src_id", "version_num")
 
 
+def useful(df: DataFrame) -> DataFrame:
+    """The columns of raw station records that later steps use, and the name of the row's file where there is one."""
+    return df.select(*[c for c in df.columns if c in KEEP or c in ("end_time", "file")])
+
+
 def first_records(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key, by ``order``."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+    k = free_name(df, "_k")
+    return df.withColumn(k, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(k) == 1).drop(k)
 
 
-def with_metadata(obs: DataFrame, stations: DataFrame, key: str = "station", small: bool = True) -> DataFrame:
-    """Name and coordinates by station; an unknown station has the name '' and no coordinates.
-
-    A station list is small; where it is not, ``small=False`` leaves the choice of join to the planner.
-    """
-    side = F.broadcast(stations) if small else stations
-    return obs.join(side, key, "left").withColumn("name", F.coalesce("name", F.lit("")))
+def with_metadata(obs: DataFrame, stations: DataFrame, key: str = "station") -> DataFrame:
+    """Name and coordinates by station; an unknown station has the name '' and no coordinates.    """
+    return obs.join(stations, key, "left").withColumn("name", F.coalesce("name", F.lit("")))
 
 
 def located(df: DataFrame) -> DataFrame:
@@ -43,14 +45,14 @@ def qc0() -> Column:
     return F.coalesce(F.col("version_num") != 1, F.lit(True)) | F.coalesce(F.col("ob_hour_count") != 1, F.lit(True))
 
 
-def qc1(value: str = "prcp_amt") -> Column:
-    return F.coalesce(F.col(value) >= HOURLY_LIMIT * MARGIN, F.lit(False))
+def qc1(value: str = "prcp_amt", hourly_limit: float = HOURLY_LIMIT) -> Column:
+    return F.coalesce(F.col(value) >= hourly_limit * MARGIN, F.lit(False))
 
 
-def with_quality(df: DataFrame, keys: list[str], time: str, value: str = "prcp_amt", daily_limit: float = DAILY_LIMIT) -> DataFrame:
+def with_quality(df: DataFrame, keys: list[str], time: str, value: str = "prcp_amt", daily_limit: float = DAILY_LIMIT, hourly_limit: float = HOURLY_LIMIT) -> DataFrame:
     """``df`` with flags qc0, qc1, qc3 (24-row sum, on unmasked values) and the value masked to null where one is set; rows stay."""
     summed = rolling(df, keys, time, value, [24], how="sum", least=21).withColumnRenamed("m_24", "_day")
-    flags = summed.withColumns({"qc0": qc0(), "qc1": qc1(value), "qc3": F.coalesce(F.col("_day") >= daily_limit * MARGIN, F.lit(False))})
+    flags = summed.withColumns({"qc0": qc0(), "qc1": qc1(value, hourly_limit), "qc3": F.coalesce(F.col("_day") >= daily_limit * MARGIN, F.lit(False))})
     return flags.withColumn(value, F.when(~F.col("qc0") & ~F.col("qc1") & ~F.col("qc3"), F.col(value))).drop("_day")
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import SUBDAILY
 from ..operators.blockmax import block_maxima, regular_axis
 from ..operators.ranks import rank_and_ecdf
 
-DURATIONS = (1, 3, 6, 24)
+DURATIONS = SUBDAILY
 SHAPE = -0.114
 BY = ["loc", "duration"]
 
@@ -76,6 +77,26 @@ ranked AS (SELECT *, rk / n_obs AS ecdf FROM (SELECT loc, duration, block, annua
   count(annual_max) OVER (PARTITION BY loc, duration) AS n_obs FROM ams))"""
 
 
+def sql_resampled(n_sample: int, seed: int, levels: list[str]) -> str:
+    """Rows (loc, duration, ci, ev_param, gev, gev_scaled, slope, intercept, rsquared, spearman) over resamples by joins."""
+    k = f"CAST({SHAPE} AS DOUBLE)"
+    at = lambda c: "CASE ci WHEN 'estimate' THEN max(CASE WHEN sample < 0 THEN {0} END) {1} END AS {0}".format(c, " ".join(f"WHEN '{x}' THEN quantile_cont(CASE WHEN sample >= 0 THEN {c} END, {x})" for x in levels))
+    labels = ", ".join(f"('{x}')" for x in ["estimate", *levels])
+    return f"""valid AS (SELECT *, row_number() OVER (PARTITION BY loc, duration ORDER BY block) - 1 AS idx, count(*) OVER (PARTITION BY loc, duration) AS n FROM ams WHERE annual_max IS NOT NULL),
+draws AS (SELECT n, s AS sample, CAST('0x' || substr(md5(concat('{seed}-', n, '-', s, '-', k)), 1, 8) AS BIGINT) % n AS idx FROM (SELECT DISTINCT n FROM valid), range(0, {n_sample}) a(s), LATERAL (SELECT unnest(range(0, n)) AS k)),
+drawn AS (SELECT loc, duration, sample, annual_max AS x, n FROM valid JOIN draws USING (n, idx) UNION ALL SELECT loc, duration, -1, annual_max, n FROM valid),
+rs AS (SELECT *, (rank() OVER (PARTITION BY loc, duration, sample ORDER BY x) + (count(*) OVER (PARTITION BY loc, duration, sample, x) - 1) / 2.0) / n AS f FROM drawn),
+bs AS (SELECT loc, duration, sample, sum(x) / max(n) AS b0, 2 * sum(f * x) / max(n) - sum(x) / max(n) AS l2 FROM rs GROUP BY 1, 2, 3),
+ss AS (SELECT *, l2 * {k} / (gamma(1 + {k}) * (1 - pow(2.0, -{k}))) AS scale FROM bs), ps AS (SELECT *, b0 - scale * (1 - gamma(1 + {k})) / {k} AS location FROM ss),
+lp AS (SELECT loc, duration, sample, 'location' AS ev_param, location AS gev FROM ps UNION ALL SELECT loc, duration, sample, 'scale', scale FROM ps UNION ALL SELECT loc, duration, sample, 'shape', {k} FROM ps),
+lg AS (SELECT *, log10(duration) AS x, CASE WHEN gev > 0 THEN log10(CASE WHEN gev > 0 THEN gev END) END AS y FROM lp),
+lr AS (SELECT *, rank() OVER (PARTITION BY loc, ev_param, sample ORDER BY duration) AS rx, rank() OVER (PARTITION BY loc, ev_param, sample ORDER BY y) + (count(*) OVER (PARTITION BY loc, ev_param, sample, y) - 1) / 2.0 AS ry FROM lg),
+ln AS (SELECT loc, ev_param, sample, CASE WHEN count(y) = count(x) THEN regr_slope(y, x) END AS slope, CASE WHEN count(y) = count(x) THEN regr_intercept(y, x) END AS intercept,
+  CASE WHEN count(y) = count(x) AND var_pop(y) > 0 THEN regr_r2(y, x) END AS rsquared, CASE WHEN count(y) = count(x) AND var_pop(ry) > 0 THEN corr(rx, ry) END AS spearman FROM lr GROUP BY 1, 2, 3),
+fl AS (SELECT lp.*, CASE WHEN ev_param = 'shape' THEN gev ELSE pow(10, intercept + slope * log10(duration)) END AS gev_scaled, slope, intercept, rsquared, spearman FROM lp JOIN ln USING (loc, ev_param, sample)),
+boot AS (SELECT loc, duration, ci, ev_param, {', '.join(at(c) for c in ('gev', 'gev_scaled', 'slope', 'intercept', 'rsquared', 'spearman'))} FROM fl, (VALUES {labels}) v(ci) GROUP BY loc, duration, ci, ev_param)"""
+
+
 def sql_fit(durations=DURATIONS, shape: float | None = SHAPE) -> str:
     k = "7.859 * c + 2.9554 * c * c" if shape is None else f"CAST({shape} AS DOUBLE)"
     if shape == 0:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SUBDAILY, FitConfig, label, quantile_levels
+from ..config import ALL_DURATIONS, FitConfig, label, quantile_levels
 from ..functions import gev
 from ..operators import blockmax, bootstrap, compare, fit, grid, products, quantiles, ranks, report, stations
 from . import data
@@ -32,7 +32,7 @@ CONFIG = FitConfig()
 
 def _resampled(spark, sf_dir):
     """Fits over all sub-daily durations with the intervals of the settings."""
-    return bootstrap.fit_with_intervals(data.maxima(spark, sf_dir, SUBDAILY), ["loc"], CONFIG.n_sample, CONFIG.widths, CONFIG.seed, SHAPE)
+    return bootstrap.fit_with_intervals(data.maxima(spark, sf_dir), ["loc"], CONFIG.n_sample, CONFIG.widths, CONFIG.seed, SHAPE)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -57,9 +57,10 @@ def block_maxima(spark, sf_dir):
     return rounded(data.maxima(spark, sf_dir))
 
 
-@query(f"WITH {data.sql_maxima(across=True)} SELECT loc, duration, block, round(annual_max, 6) AS annual_max FROM ams")
+@query(f"WITH {data.sql_maxima(ALL_DURATIONS, across=True)} SELECT loc, duration, block, round(annual_max, 8) AS annual_max FROM ams")
 def block_maxima_across(spark, sf_dir):
-    return rounded(data.maxima(spark, sf_dir, across=True))
+    """All 19 durations, windows running through the ends of blocks."""
+    return rounded(data.maxima(spark, sf_dir, ALL_DURATIONS, across=True), 8)
 
 
 @query(f"""WITH {data.sql_hourly()}, m AS (SELECT loc, block, hour, row_number() OVER (PARTITION BY loc, block ORDER BY hour) - 1 AS pos,
@@ -154,31 +155,33 @@ def _md5(text: str) -> str:
 
 
 @query(f"""WITH {data.sql_fit()}, ns AS (SELECT DISTINCT CAST(n_obs AS INTEGER) AS n FROM fit),
-u AS (SELECT n, s AS sample, k, ({_md5("concat('d1-', n, '-', s, '-', k)")} + 0.5) / 4294967296.0 AS u FROM ns, range(0, 200) a(s), LATERAL (SELECT unnest(range(1, n + 1)) AS k)),
+u AS (SELECT n, s AS sample, k, ({_md5("concat('d1-', n, '-', s, '-', k)")} + 0.5) / 4294967296.0 AS u FROM ns, range(0, 10000) a(s), LATERAL (SELECT unnest(range(1, n + 1)) AS k)),
 x AS (SELECT *, (1 - pow(-ln(u), {SHAPE})) / {SHAPE} AS x FROM u), r AS (SELECT *, (rank() OVER (PARTITION BY n, sample ORDER BY x) + (count(*) OVER (PARTITION BY n, sample, x) - 1) / 2.0) / n AS f FROM x),
 b AS (SELECT n, sample, sum(x) / n AS b0, 2 * sum(f * x) / n - sum(x) / n AS l2 FROM r GROUP BY n, sample), p AS (SELECT *, l2 * {SHAPE} / (gamma(1 + {SHAPE}) * (1 - pow(2.0, -({SHAPE})))) AS scale FROM b),
 d AS (SELECT n, sample, max(abs(f - exp(-pow(1 - ({SHAPE}) * (x - (b0 - scale * (1 - gamma(1 + {SHAPE})) / {SHAPE})) / scale, 1 / {SHAPE})))) AS d FROM r JOIN p USING (n, sample) WHERE 1 - ({SHAPE}) * (x - (b0 - scale * (1 - gamma(1 + {SHAPE})) / {SHAPE})) / scale >= 0 GROUP BY n, sample)
 SELECT n, 0.05::DOUBLE AS significance_level, round(quantile_cont(d, 0.95), 6) AS Dcrit FROM d GROUP BY n UNION ALL SELECT n, 0.1, round(quantile_cont(d, 0.9), 6) FROM d GROUP BY n""")
 def critical_d(spark, sf_dir):
     """Simulated limits of D for the record lengths of the data."""
-    return rounded(bootstrap.critical_d(spark, _fit(spark, sf_dir).select(F.col("n_obs").alias("n")), SHAPE, n_sample=200))
+    return rounded(bootstrap.critical_d(spark, _fit(spark, sf_dir).select(F.col("n_obs").alias("n")), SHAPE))
 
 
 _SAMPLES = f"""valid AS (SELECT *, row_number() OVER (PARTITION BY loc, duration ORDER BY block) - 1 AS idx, count(*) OVER (PARTITION BY loc, duration) AS n FROM ams WHERE annual_max IS NOT NULL),
-draws AS (SELECT n, s AS sample, k, {_md5("concat('1-', n, '-', s, '-', k)")} % n AS idx FROM (SELECT DISTINCT n FROM valid), range(0, 40) a(s), LATERAL (SELECT unnest(range(0, n)) AS k)),
+draws AS (SELECT n, s AS sample, k, {_md5("concat('1-', n, '-', s, '-', k)")} % n AS idx FROM (SELECT DISTINCT n FROM valid), range(0, {CONFIG.n_sample}) a(s), LATERAL (SELECT unnest(range(0, n)) AS k)),
 drawn AS (SELECT loc, duration, sample, annual_max AS x, n FROM valid JOIN draws USING (n, idx)),
 rs AS (SELECT *, (rank() OVER (PARTITION BY loc, duration, sample ORDER BY x) + (count(*) OVER (PARTITION BY loc, duration, sample, x) - 1) / 2.0) / n AS f FROM drawn),
 bs AS (SELECT loc, duration, sample, sum(x) / max(n) AS b0, 2 * sum(f * x) / max(n) - sum(x) / max(n) AS l2 FROM rs GROUP BY 1, 2, 3),
 ss AS (SELECT *, l2 * {SHAPE} / (gamma(1 + {SHAPE}) * (1 - pow(2.0, -({SHAPE})))) AS scale FROM bs), ps AS (SELECT *, b0 - scale * (1 - gamma(1 + {SHAPE})) / {SHAPE} AS location FROM ss)"""
 
 
-@query(f"""WITH {data.sql_fit()}, {_SAMPLES} SELECT loc, duration, 'estimate' AS ci, round(location, 6) AS location, round(scale, 6) AS scale FROM fit
-UNION ALL SELECT loc, duration, '0.025', round(quantile_cont(location, 0.025), 6), round(quantile_cont(scale, 0.025), 6) FROM ps GROUP BY 1, 2
-UNION ALL SELECT loc, duration, '0.500', round(quantile_cont(location, 0.5), 6), round(quantile_cont(scale, 0.5), 6) FROM ps GROUP BY 1, 2
-UNION ALL SELECT loc, duration, '0.975', round(quantile_cont(location, 0.975), 6), round(quantile_cont(scale, 0.975), 6) FROM ps GROUP BY 1, 2""")
+_LEVELS = [label(x) for x in quantile_levels(CONFIG.widths)]
+_BOOT = f"WITH {data.sql_maxima()}, {data.sql_resampled(CONFIG.n_sample, CONFIG.seed, _LEVELS)}"
+_six = lambda *c: ", ".join(f"round({x}, 6) AS {x}" for x in c)
+
+
+@query(f"{_BOOT} SELECT loc, duration, ci, round(max(CASE WHEN ev_param = 'location' THEN gev END), 6) AS location, round(max(CASE WHEN ev_param = 'scale' THEN gev END), 6) AS scale FROM boot GROUP BY 1, 2, 3")
 def bootstrap_intervals(spark, sf_dir):
-    """Intervals of location and scale over 40 resamples."""
-    rows = bootstrap.fit_with_intervals(data.maxima(spark, sf_dir), ["loc"], 40, (0.95,), 1, SHAPE)
+    """Intervals of location and scale over the resamples of the settings."""
+    rows = _resampled(spark, sf_dir)
     pick = lambda p: F.max(F.when(F.col("ev_param") == p, F.col("gev"))).alias(p)
     return rounded(rows.groupBy(*BY, "ci").agg(pick("location"), pick("scale")))
 
@@ -186,14 +189,14 @@ def bootstrap_intervals(spark, sf_dir):
 @query(f"""WITH {data.sql_maxima()}, {_SAMPLES} SELECT loc, duration, CAST(sample AS INTEGER) AS sample, round(location, 6) AS location, round(scale, 6) AS scale FROM ps""")
 def bootstrap_samples(spark, sf_dir):
     """All resampled fits, by joins."""
-    df = bootstrap.fit_samples_sql(data.maxima(spark, sf_dir), ["loc"], 40, 1, SHAPE)
+    df = bootstrap.fit_samples_sql(data.maxima(spark, sf_dir), ["loc"], CONFIG.n_sample, CONFIG.seed, SHAPE)
     return rounded(df.where("sample >= 0").select(*BY, "sample", "location", "scale"))
 
 
-@query()
+@query(f"{_BOOT} SELECT DISTINCT loc, ci, ev_param, {_six('slope', 'intercept', 'rsquared', 'spearman')} FROM boot")
 def bootstrap_scaling(spark, sf_dir):
-    """Scaling lines with intervals over resamples; rows only."""
-    return _resampled(spark, sf_dir).select("loc", "ci", "ev_param", "slope", "intercept", "rsquared", "spearman").distinct()
+    """Scaling lines with intervals over resamples."""
+    return rounded(_resampled(spark, sf_dir).select("loc", "ci", "ev_param", "slope", "intercept", "rsquared", "spearman")).distinct()
 
 
 _RAW = """rec AS (SELECT l_suppkey AS station, l_shipdate AS time, l_quantity AS amt, CASE WHEN l_linenumber < 7 THEN 1 END AS version_num, CASE WHEN l_returnflag <> 'A' THEN 1 ELSE 2 END AS ob_hour_count, l_orderkey, l_linenumber FROM lineitem),
@@ -205,11 +208,11 @@ def _first(spark, sf_dir):
 
 
 @query(f"""WITH {_RAW}, day AS (SELECT *, sum(amt) OVER w AS s, count(amt) OVER w AS n FROM first WINDOW w AS (PARTITION BY station ORDER BY time ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
-f AS (SELECT station, time, amt, coalesce(version_num <> 1, true) OR coalesce(ob_hour_count <> 1, true) AS qc0, coalesce(amt >= 92.0 * 1.2, false) AS qc1, coalesce(CASE WHEN n >= 21 THEN s END >= 600 * 1.2, false) AS qc3 FROM day)
+f AS (SELECT station, time, amt, coalesce(version_num <> 1, true) OR coalesce(ob_hour_count <> 1, true) AS qc0, coalesce(amt >= 40.0 * 1.2, false) AS qc1, coalesce(CASE WHEN n >= 21 THEN s END >= 600 * 1.2, false) AS qc3 FROM day)
 SELECT station, time, qc0, qc1, qc3, CASE WHEN NOT qc0 AND NOT qc1 AND NOT qc3 THEN amt END AS prcp_amt FROM f""")
 def station_quality(spark, sf_dir):
     """First record of each station and day, quality flags, masked amounts."""
-    return stations.with_quality(_first(spark, sf_dir), ["station"], "time", daily_limit=600).select("station", "time", "qc0", "qc1", "qc3", "prcp_amt")
+    return stations.with_quality(_first(spark, sf_dir), ["station"], "time", daily_limit=600, hourly_limit=40).select("station", "time", "qc0", "qc1", "qc3", "prcp_amt")
 
 
 @query(f"""WITH {data.sql_hourly()}, d AS (SELECT *, CASE WHEN count(v) OVER w >= 21 THEN sum(v) OVER w END AS s FROM hourly WINDOW w AS (PARTITION BY loc ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
@@ -250,7 +253,7 @@ SELECT o.station, coalesce(s.name, '') AS name, s.latitude, s.longitude, count(*
 def station_metadata(spark, sf_dir):
     """Metadata onto observations; unknown stations have no name."""
     obs = data.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + F.when(F.col("l_linenumber") == 7, 1000000).otherwise(0)).alias("station"), "l_quantity")
-    return stations.with_metadata(obs, data.stations(spark, sf_dir), small=False).groupBy("station", "name", "latitude", "longitude").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("amount"))
+    return stations.with_metadata(obs, data.stations(spark, sf_dir)).groupBy("station", "name", "latitude", "longitude").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("amount"))
 
 
 @query(f"WITH {_STATIONS} SELECT station, name, 'POINT (' || longitude || ' ' || latitude || ')' AS geometry FROM stations WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND name <> '' AND station NOT IN (3, 5)")
@@ -301,10 +304,11 @@ def in_period(spark, sf_dir):
     return df.groupBy("station").agg(F.count("*").alias("n"), F.sum("prcp_amt").alias("amount"))
 
 
-@query(f"WITH {data.sql_fit()}, {_POINTS} SELECT f.loc, f.duration, round(f.location, 6) AS location, round(f.scale, 6) AS scale, round(g.KS_D, 6) AS D, round(g.filliben_stat, 6) AS filliben_stat FROM fit f LEFT JOIN gof g USING (loc, duration)")
+@query(f"""WITH {data.sql_fit()}, {_POINTS}, {_CRIT} SELECT f.loc, f.duration, round(f.location, 6) AS location, round(f.scale, 6) AS scale, round(g.KS_D, 6) AS D, round(g.filliben_stat, 6) AS filliben_stat,
+(SELECT round(filliben_crit, 6) FROM crit WHERE significance_level = 0.05) AS filliben_crit_05, (SELECT round(filliben_crit, 6) FROM crit WHERE significance_level = 0.1) AS filliben_crit_10 FROM fit f LEFT JOIN gof g USING (loc, duration)""")
 def product_by_duration(spark, sf_dir):
     params = fit.long_params(_fit(spark, sf_dir), BY).withColumn("ci", F.lit("estimate"))
-    return rounded(products.params_by_duration(params, ["loc"], _gof(spark, sf_dir)[1]))
+    return rounded(products.params_by_duration(params, ["loc"], _gof(spark, sf_dir)[1], fit.critical_values(_fit(spark, sf_dir), SHAPE)))
 
 
 _TABLE = "tab AS (SELECT loc, pow(10, max(intercept) FILTER (WHERE ev_param = 'location')) AS a, max(slope) FILTER (WHERE ev_param = 'location') AS alpha, max(rsquared) FILTER (WHERE ev_param = 'location') AS location_r2, pow(10, max(intercept) FILTER (WHERE ev_param = 'scale')) AS b, max(slope) FILTER (WHERE ev_param = 'scale') AS beta, max(rsquared) FILTER (WHERE ev_param = 'scale') AS scale_r2 FROM lines GROUP BY 1)"
@@ -316,11 +320,15 @@ def product_scaling(spark, sf_dir):
     return rounded(df.withColumn("alpha_beta_ratio", F.round("alpha_beta_ratio", 4)))
 
 
-@query()
+_side = lambda c, p: f"max(CASE WHEN ev_param = '{p}' THEN {c} END)"
+
+
+@query(f"""{_BOOT}, one AS (SELECT loc, duration, ci, {_side('gev', 'location')} AS location_ci, {_side('gev', 'scale')} AS scale_ci, {_side('intercept', 'location')} AS a_ci, {_side('slope', 'location')} AS alpha_ci, {_side('intercept', 'scale')} AS b_ci,
+{_side('slope', 'scale')} AS beta_ci FROM boot WHERE ci <> 'estimate' GROUP BY 1, 2, 3) SELECT loc, duration, CAST(ci AS DOUBLE) AS ci, {_six('location_ci', 'scale_ci', 'a_ci', 'alpha_ci', 'b_ci', 'beta_ci')} FROM one""")
 def product_intervals(spark, sf_dir):
-    """Interval limits of the published tables; rows only."""
+    """Interval limits of the published tables."""
     rows = _resampled(spark, sf_dir)
-    return products.params_by_duration_ci(rows, ["loc"]).join(products.scaling_table_ci(rows, ["loc"]), ["loc", "ci"])
+    return rounded(products.params_by_duration_ci(rows, ["loc"]).join(products.scaling_table_ci(rows, ["loc"]), ["loc", "ci"]))
 
 
 @query(f"""WITH {data.sql_fit()}, {_LINES}, longer AS (SELECT loc, ev_param, CASE WHEN count(y) = count(x) THEN regr_slope(y, x) END AS slope FROM logs WHERE duration >= 3 GROUP BY 1, 2)
@@ -333,23 +341,27 @@ def slope_ratio(spark, sf_dir):
     return rounded(df.withColumn("ratio", F.round("ratio", 4)))
 
 
-_T3 = {c: gev.t_quantile(float(c), 28) for c in ("0.025", "0.975")}
-_INT = f"""ints AS (SELECT loc, duration, T, location + scale * (1 - pow(-ln(1 - 1 / T), shape)) / shape AS i, scale * scale * (1.1412 + 0.8216 * y + 1.2546 * y * y) / 30 AS var FROM
-  (SELECT *, (1 - pow(-ln(1 - 1 / T), shape)) / shape AS y FROM fit, (VALUES (2.0::DOUBLE), (10), (100)) t(T)))"""
+_T3 = ", ".join(f"({n}, {gev.t_quantile(0.025, n - 2)!r}::DOUBLE, {gev.t_quantile(0.975, n - 2)!r}::DOUBLE)" for n in range(3, 400))
+_INT = f"""least AS (SELECT min(n_obs) AS n FROM fit), tq AS (SELECT t.lo, t.hi, least.n FROM least LEFT JOIN (VALUES {_T3}) t(n, lo, hi) ON t.n = least.n),
+ints AS (SELECT loc, duration, T, location + scale * (1 - pow(-ln(1 - 1 / T), shape)) / shape AS i, scale * scale * (1.1412 + 0.8216 * y + 1.2546 * y * y) / greatest(tq.n, 1) AS var, lo, hi, greatest(tq.n, 1) AS n FROM
+  (SELECT *, (1 - pow(-ln(1 - 1 / T), shape)) / shape AS y FROM fit, (VALUES (2.0::DOUBLE), (10), (100)) t(T)), tq)"""
 
 
 @query(f"""WITH {data.sql_fit()}, {_INT} SELECT loc, duration, T, 'estimate' AS ci, round(i, 6) AS intensity FROM ints
-UNION ALL SELECT loc, duration, T, '0.025', round(i + {_T3['0.025']!r} * sqrt(var / 30), 6) FROM ints UNION ALL SELECT loc, duration, T, '0.975', round(i + {_T3['0.975']!r} * sqrt(var / 30), 6) FROM ints""")
+UNION ALL SELECT loc, duration, T, '0.025', round(i + lo * sqrt(var / n), 6) FROM ints UNION ALL SELECT loc, duration, T, '0.975', round(i + hi * sqrt(var / n), 6) FROM ints""")
 def intensity_intervals(spark, sf_dir):
-    df = quantiles.intensities(_fit(spark, sf_dir), 30, [2, 10, 100], ("estimate", "0.025", "0.975"))
+    """Limits by the least record length of the fits."""
+    df = quantiles.intensities(_fit(spark, sf_dir), None, [2, 10, 100], ("estimate", "0.025", "0.975"))
     return rounded(df.select("loc", "duration", "T", "ci", "intensity"))
 
 
 def _sources(spark, sf_dir):
     """Fitted and scaled intensities as two sources beside the Gumbel fit as the reference."""
-    params, lines = _lines(spark, sf_dir)
-    scaled = fit.with_scaled(params, lines, ["loc"]).groupBy(*BY).agg(*[F.max(F.when(F.col("ev_param") == p, F.col("gev_scaled"))).alias(p) for p in fit.PARAMS])
-    parts = {"fitted": _fit(spark, sf_dir), "scaled": scaled, "reference": _fit(spark, sf_dir, 0.0)}
+    moments = fit.moments(data.ranked(spark, sf_dir), BY)  # one plan of the maxima for all sources but the scaled one
+    fitted = fit.fit_moments(moments, SHAPE)
+    params = fit.long_params(fitted, BY)
+    scaled = fit.with_scaled(params, fit.scaling(params, ["loc"]), ["loc"]).groupBy(*BY).agg(*[F.max(F.when(F.col("ev_param") == p, F.col("gev_scaled"))).alias(p) for p in fit.PARAMS])
+    parts = {"fitted": fitted, "scaled": scaled, "reference": fit.fit_moments(moments, 0.0)}
     out = None
     for name, df in parts.items():
         one = quantiles.intensities(df.select(*BY, *fit.PARAMS), 30, [10, 50]).select(F.lit(name).alias("source"), *BY, "T", "intensity")
@@ -357,6 +369,16 @@ def _sources(spark, sf_dir):
     return out
 
 
+_CELL_FIT = f"""{_GRID_AMS}, gr AS (SELECT *, (rank() OVER w + (count(*) OVER (PARTITION BY latitude, longitude, annual_max) - 1) / 2.0) / count(*) OVER (PARTITION BY latitude, longitude) AS f FROM g WINDOW w AS (PARTITION BY latitude, longitude ORDER BY annual_max)),
+gb AS (SELECT latitude, longitude, avg(annual_max) AS b0, 2 * avg(f * annual_max) - avg(annual_max) AS l2 FROM gr GROUP BY 1, 2), gs AS (SELECT *, l2 * {SHAPE} / (gamma(1 + {SHAPE}) * (1 - pow(2.0, -({SHAPE})))) AS scale FROM gb),
+gf AS (SELECT latitude, longitude, b0 - scale * (1 - gamma(1 + {SHAPE})) / {SHAPE} AS location, scale, {SHAPE}::DOUBLE AS shape FROM gs)"""
+
+
+def _cell_fit(spark, sf_dir):
+    keys = ["latitude", "longitude"]
+    return fit.fit_gev(ranks.rank_and_ecdf(_grid_ams(spark, sf_dir), keys), keys, shape=SHAPE).drop("n_obs")
+
+
 _SOURCES = f"""{data.sql_fit()}, {_LINES}, gum AS (SELECT loc, duration, b0 - 0.5772156649015329 * (l2 / 0.6931) AS location, l2 / 0.6931 AS scale FROM fit0),
 sc AS (SELECT loc, duration, max(g) FILTER (WHERE ev_param = 'location') AS location, max(g) FILTER (WHERE ev_param = 'scale') AS scale, max(gev) FILTER (WHERE ev_param = 'shape') AS shape FROM
   (SELECT p.*, pow(10, l.intercept + l.slope * log10(p.duration)) AS g FROM params p LEFT JOIN lines l USING (loc, ev_param)) GROUP BY 1, 2), ts AS (SELECT unnest([10.0::DOUBLE, 50]) AS T),
@@ -380,10 +402,49 @@ def adequate_sources(spark, sf_dir):
     return rounded(compare.adequate(compare.errors(_pairs(spark, sf_dir), ["source", "duration", "T"])).select("source", "duration", "T", "mape"))
 
 
+_GAUGES = f"""{_CELL_FIT}, {_NEAREST}, ga AS (SELECT l_suppkey AS station, year(l_shipdate) AS block, max(l_quantity + l_extendedprice / 1e4) AS x FROM lineitem GROUP BY 1, 2),
+gr2 AS (SELECT *, (rank() OVER (PARTITION BY station ORDER BY x) + (count(*) OVER (PARTITION BY station, x) - 1) / 2.0) / count(*) OVER (PARTITION BY station) AS f FROM ga),
+gb2 AS (SELECT station, avg(x) AS b0, 2 * avg(f * x) - avg(x) AS l2 FROM gr2 GROUP BY 1), gs2 AS (SELECT *, l2 * {SHAPE} / (gamma(1 + {SHAPE}) * (1 - pow(2.0, -({SHAPE})))) AS scale FROM gb2),
+gg AS (SELECT station, b0 - scale * (1 - gamma(1 + {SHAPE})) / {SHAPE} AS location, scale, {SHAPE}::DOUBLE AS shape FROM gs2), t6 AS (SELECT unnest([2.0::DOUBLE, 10, 50, 100, 500, 1000]) AS T),
+prs AS (SELECT 'grid' AS source, near.station, 24 AS duration, T, r.q AS ref, e.q AS est FROM near
+  JOIN (SELECT station, T, {_GEV_Q} AS q FROM gg, t6) r USING (station) JOIN (SELECT latitude, longitude, T, {_GEV_Q} AS q FROM gf, t6) e USING (T) WHERE e.latitude = cell_lat AND e.longitude = cell_lon)"""
+
+
+def _gauges(spark, sf_dir):
+    """Suppliers as gauges with coordinates and fits of their yearly maxima."""
+    value = F.max(F.col("l_quantity") + F.col("l_extendedprice") / 1e4).alias("annual_max")
+    ams = data.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("station"), F.year("l_shipdate").alias("block")).agg(value)
+    fits = fit.fit_gev(ranks.rank_and_ecdf(ams, ["station"]), ["station"], shape=SHAPE)
+    return fits.join(data.stations(spark, sf_dir).select("station", "latitude", "longitude"), "station").withColumn("duration", F.lit(24))
+
+
+def _against_cells(spark, sf_dir):
+    return _gauges(spark, sf_dir), {"grid": _cell_fit(spark, sf_dir).withColumn("duration", F.lit(24))}
+
+
+@query(f"""WITH {_GAUGES} SELECT source, duration, T, round(avg(abs(est - ref)), 6) AS mae, round(avg(abs((est - ref) / ref)), 6) AS mape, round(quantile_cont((est - ref) / ref, 0.025), 6) AS pe_low,
+round(quantile_cont((est - ref) / ref, 0.5), 6) AS mdpe, round(quantile_cont((est - ref) / ref, 0.975), 6) AS pe_high FROM prs GROUP BY 1, 2, 3""")
+def gauge_errors(spark, sf_dir):
+    """The errors of ``comparison_report``."""
+    return rounded(compare.errors(compare.station_report_pairs(*_against_cells(spark, sf_dir)), ["source", "duration", "T"]))
+
+
 @query()
 def comparison_report(spark, sf_dir):
-    """Errors, areal reduction and robust lines; rows only, held against a direct computation in the tests."""
-    return compare.report(_pairs(spark, sf_dir), ["source", "duration", "T"])
+    """Gauges against their nearest cells: errors, areal reduction and robust lines for six return periods; held against a direct computation in the tests."""
+    return compare.station_report(*_against_cells(spark, sf_dir))
+
+
+@query(f"""WITH {_GAUGES}, lq AS (SELECT least_n.n, t.lo, t.hi FROM (SELECT min(c) AS n FROM (SELECT count(annual_max) AS c FROM g GROUP BY latitude, longitude)) least_n LEFT JOIN (VALUES {_T3}) t(n, lo, hi) ON t.n = least_n.n),
+gy AS (SELECT name, T, {_GEV_Q} AS i, scale, (1 - pow(-ln(1 - 1 / T), shape)) / shape AS y FROM near JOIN stations USING (station) JOIN gf ON gf.latitude = cell_lat AND gf.longitude = cell_lon, (VALUES (5.0::DOUBLE), (50)) t(T)),
+gv AS (SELECT *, sqrt(scale * scale * (1.1412 + 0.8216 * y + 1.2546 * y * y) / n / n) AS h FROM gy, lq)
+SELECT name, 24 AS duration, T, round(i, 6) AS estimate, round(i + lo * h, 6) AS low, round(i + hi * h, 6) AS high FROM gv""")
+def limits_at_points(spark, sf_dir):
+    """Intensities with limits as columns at all sites."""
+    keys = ["latitude", "longitude"]
+    params = fit.fit_gev(ranks.rank_and_ecdf(_grid_ams(spark, sf_dir), keys), keys, shape=SHAPE).withColumn("duration", F.lit(24))
+    sites = compare.site_list(stations.located(data.stations(spark, sf_dir)), "name")
+    return rounded(quantiles.limits_at_points(params, sites, [5, 50]))
 
 
 @query(f"WITH {_SOURCES} SELECT loc, duration, T, round(max(intensity) FILTER (WHERE source = 'fitted'), 6) AS fitted, round(max(intensity) FILTER (WHERE source = 'scaled'), 6) AS scaled FROM src WHERE duration IN (1, 6, 24) GROUP BY 1, 2, 3")
@@ -392,13 +453,22 @@ def sources_side_by_side(spark, sf_dir):
     return rounded(compare.side_by_side(df, [*BY, "T"], ["fitted", "scaled"]))
 
 
-@query(f"""WITH {_SOURCES}, e AS (SELECT s.duration, s.T, avg((s.intensity - f.intensity) / f.intensity) AS mpe, count(*) AS n FROM src s JOIN src f ON s.loc = f.loc AND s.duration = f.duration AND s.T = f.T
-WHERE s.source = 'scaled' AND f.source = 'fitted' GROUP BY 1, 2) SELECT duration, T, round(mpe, 6) AS mpe, n FROM e""")
+_MPE = f"""{_SOURCES}, e AS (SELECT s.duration, s.T, avg((s.intensity - f.intensity) / f.intensity) AS mpe, min((s.intensity - f.intensity) / f.intensity) AS least, max((s.intensity - f.intensity) / f.intensity) AS largest, count(*) AS n
+FROM src s JOIN src f ON s.loc = f.loc AND s.duration = f.duration AND s.T = f.T WHERE s.source = 'scaled' AND f.source = 'fitted' GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_MPE} SELECT duration, T, round(mpe, 6) AS mpe, round(least, 6) AS least, round(largest, 6) AS largest, n FROM e")
 def scaling_error(spark, sf_dir):
     s = _sources(spark, sf_dir)
     return rounded(compare.mean_percentage_error(s.where("source = 'scaled'"), s.where("source = 'fitted'"), ["loc"], ["duration", "T"]))
 
 
+@query(f"WITH {_MPE} SELECT round(min(mpe), 6) AS least, round(max(mpe), 6) AS largest FROM e")
+def scaling_error_extent(spark, sf_dir):
+    s = _sources(spark, sf_dir)
+    return rounded(compare.error_extent(compare.mean_percentage_error(s.where("source = 'scaled'"), s.where("source = 'fitted'"), ["loc"], ["duration", "T"])))
+
+
 @query(f"""WITH {data.sql_fit()}, {_LINES}, r AS (SELECT p.ev_param, p.duration, (pow(10, l.intercept + l.slope * log10(p.duration)) - p.gev) / p.gev AS d FROM params p JOIN lines l USING (loc, ev_param) WHERE ev_param <> 'shape')
 SELECT ev_param, duration, 0.05::DOUBLE AS q, round(quantile_cont(d, 0.05), 6) AS value FROM r GROUP BY 1, 2 UNION ALL SELECT ev_param, duration, 0.5, round(quantile_cont(d, 0.5), 6) FROM r GROUP BY 1, 2""")
 def relative_differences(spark, sf_dir):
@@ -417,9 +487,11 @@ def rsquared_quantiles(spark, sf_dir):
     return rounded(report.quantile_table(_lines(spark, sf_dir)[1], ["ev_param"], "rsquared", [0.01, 0.05]))
 
 
-@query(f"WITH {data.sql_fit()}, {_POINTS} SELECT q, round(CASE q WHEN 0.5 THEN quantile_cont(KS_D, 0.5) ELSE quantile_cont(KS_D, 0.95) END, 6) AS value FROM gof, (VALUES (0.5::DOUBLE), (0.95)) t(q) GROUP BY 1")
+@query(f"WITH {data.sql_fit()}, {_POINTS} SELECT stat, q, round(CASE q WHEN 0.5 THEN quantile_cont(v, 0.5) ELSE quantile_cont(v, 0.95) END, 6) AS value FROM (SELECT 'KS_D' AS stat, KS_D AS v FROM gof UNION ALL SELECT 'filliben_stat', filliben_stat FROM gof), (VALUES (0.5::DOUBLE), (0.95)) t(q) GROUP BY 1, 2")
 def gof_quantiles(spark, sf_dir):
-    return rounded(report.quantile_table(_gof(spark, sf_dir)[1], [], "KS_D", [0.5, 0.95]))
+    """Quantiles of both statistics over all locations and durations."""
+    both = _gof(spark, sf_dir)[1].selectExpr("stack(2, 'KS_D', KS_D, 'filliben_stat', filliben_stat) AS (stat, v)")
+    return rounded(report.quantile_table(both, ["stat"], "v", [0.5, 0.95]))
 
 
 @query(f"WITH {data.sql_fit()}, {_POINTS} SELECT loc, round(avg(KS_D), 6) AS KS_D, round(avg(filliben_stat), 6) AS filliben_stat FROM gof GROUP BY 1")
@@ -439,14 +511,22 @@ def count_over_alpha(spark, sf_dir):
     return report.count_significant(data.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_discount")
 
 
-@query("""WITH d AS (SELECT l_discount - l_tax AS d, round(l_discount - l_tax, 9) AS r FROM lineitem), s AS (SELECT count(*) AS n, avg(r) AS m, stddev_samp(r) AS s FROM d),
-k AS (SELECT r, rank() OVER (ORDER BY abs(r)) + (count(*) OVER (PARTITION BY abs(r)) - 1) / 2.0 AS k FROM d) SELECT CAST(s.n AS BIGINT) AS n, round(s.m / (s.s / sqrt(s.n)), 5) AS t,
-(SELECT sum(k) FROM k WHERE r > 0) AS w_plus, (SELECT sum(k) FROM k WHERE r < 0) AS w_minus FROM s""")
+@query("""WITH d AS (SELECT round(l_discount - l_tax, 9) AS r FROM lineitem), s AS (SELECT count(*) AS n, avg(r) AS m, stddev_samp(r) AS s FROM d),
+k AS (SELECT r, rank() OVER (ORDER BY abs(r)) + (count(*) OVER (PARTITION BY abs(r)) - 1) / 2.0 AS k FROM d), c AS (SELECT abs(r) AS a, CAST(count(*) AS DOUBLE) AS c FROM d GROUP BY 1),
+w AS (SELECT (SELECT sum(k) FROM k WHERE r > 0) AS p, (SELECT sum(k) FROM k WHERE r < 0) AS q, (SELECT coalesce(sum(c), 0) FROM c WHERE a = 0) AS z0, (SELECT sum(c * c * c - c) FROM c WHERE a > 0) AS ties, CAST(s.n AS DOUBLE) AS n, m, s FROM s)
+SELECT CAST(n AS BIGINT) AS n, round(m / (s / sqrt(n)), 5) AS t, p AS w_plus, q AS w_minus,
+round((p - (n * (n + 1) - z0 * (z0 + 1)) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - z0 * (z0 + 1) * (2 * z0 + 1)) / 24 - ties / 48), 5) AS z FROM w""")
 def paired_tests(spark, sf_dir):
-    """Discount against tax: paired t and signed ranks."""
+    """Discount against tax: paired t and signed ranks; the p-values are in ``paired_test_of_maxima``."""
     df = data.table(spark, sf_dir, "lineitem").select(F.round(F.col("l_discount") - F.col("l_tax"), 9).alias("x"), F.lit(0.0).alias("y"))
-    r = report.paired_tests(df, "x", "y")
-    return spark.sql(f"SELECT {r['n']}L AS n, round({r['t']!r}D, 5) AS t, {r['w_plus']!r}D AS w_plus, {r['w_minus']!r}D AS w_minus")
+    return report.paired_tests(df, "x", "y").select("n", F.round("t", 5).alias("t"), "w_plus", "w_minus", F.round("z", 5).alias("z"))
+
+
+@query()
+def paired_test_of_maxima(spark, sf_dir):
+    """Slopes of location and scale of all locations (alpha and beta), with p-values; held against published tables in the tests."""
+    tab = products.scaling_table(_lines(spark, sf_dir)[1], ["loc"])
+    return report.paired_tests(tab, "alpha", "beta")
 
 
 @query("SELECT l_discount AS value, count(*) AS n, (SELECT count(*) FROM lineitem b WHERE b.l_discount < a.l_discount) + (count(*) + 1) / 2.0 AS rank FROM lineitem a GROUP BY l_discount")
@@ -475,13 +555,26 @@ def combined_sources(spark, sf_dir):
     return compare.combine_sources(sites, {"grid": cells}, {"point": points}, ["level"])
 
 
-@query("""WITH s AS (SELECT l_suppkey AS station, CAST(year(l_shipdate) AS INTEGER) AS year, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2), p AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b, s_suppkey || '--' || (s_suppkey + 1) AS pair FROM supplier WHERE s_suppkey % 10 = 0),
-e AS (SELECT pair, 'first' AS source, year, v FROM p JOIN s ON s.station = a UNION ALL SELECT pair, 'last', year, v FROM p JOIN s ON s.station = b) SELECT pair, source, year, round(v, 6) AS v FROM e UNION ALL SELECT pair, 'mean', year, round(avg(v), 6) FROM e GROUP BY 1, 3""")
+@query(f"""WITH {_STATIONS}, {_CELLS}, s AS (SELECT l_suppkey AS station, CAST(l_linenumber AS INTEGER) AS duration, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2), p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_suppkey || '--' || b.s_suppkey AS pair FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1),
+e AS (SELECT pair, 'first' AS source, duration, v FROM p JOIN s ON s.station = a UNION ALL SELECT pair, 'last', duration, v FROM p JOIN s ON s.station = b),
+gl AS (SELECT c.latitude, c.longitude, CAST(l_linenumber AS INTEGER) AS duration, avg(l_quantity) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN cells c ON c.cell = s_nationkey GROUP BY 1, 2, 3),
+pts AS (SELECT pair, latitude AS lat, CASE WHEN longitude < 0 THEN longitude + 360 ELSE longitude END AS lon FROM p JOIN stations ON station = b WHERE longitude IS NOT NULL),
+near AS (SELECT pair, (SELECT arg_min(latitude, abs(latitude - lat) - latitude * 1e-9) FROM gl) AS cell_lat, (SELECT arg_min(longitude, abs(longitude - lon) - longitude * 1e-9) FROM gl) AS cell_lon FROM pts),
+panel AS (SELECT * FROM e UNION ALL SELECT pair, 'mean', duration, avg(v) FROM e GROUP BY 1, 3 UNION ALL SELECT pair, 'grid', duration, v FROM near JOIN gl ON latitude = cell_lat AND longitude = cell_lon),
+ln AS (SELECT pair, source, regr_slope(log10(v), log10(duration)) AS m, regr_intercept(log10(v), log10(duration)) AS c FROM panel GROUP BY 1, 2)
+SELECT pair, source, duration, round(v, 6) AS v, round(pow(10, c) * pow(duration, m), 6) AS line FROM panel JOIN ln USING (pair, source)""")
 def pair_panel(spark, sf_dir):
-    """Both stations of each pair and their mean."""
-    df = data.records(spark, sf_dir).groupBy(F.col("station").cast("string").alias("station"), F.year("time").alias("year")).agg(F.avg("prcp_amt").alias("v"))
-    s = data.stations(spark, sf_dir).where("station % 10 = 0").select(F.concat_ws("--", F.col("station").cast("string"), (F.col("station") + 1).cast("string")).alias("pair"))
-    return rounded(compare.station_pairs_panel(s, df, ["year"], ["v"]))
+    """Every station with the next one: both, their mean and the cell nearest to the last, with the fitted line of each series."""
+    line = F.col("l_linenumber").cast("int").alias("duration")
+    items = data.table(spark, sf_dir, "lineitem")
+    df = items.groupBy(F.col("l_suppkey").cast("string").alias("station"), line).agg(F.avg("l_quantity").alias("v"))
+    ids = data.stations(spark, sf_dir)
+    follow = ids.select((F.col("station") - 1).alias("station"))
+    pairs = ids.join(follow, "station", "left_semi").select(F.concat_ws("--", F.col("station").cast("string"), (F.col("station") + 1).cast("string")).alias("pair"))
+    at_cell = data.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("cell")).join(data.cells(spark, sf_dir), "cell")
+    level = items.join(at_cell, "l_suppkey").groupBy("latitude", "longitude", line).agg(F.avg("l_quantity").alias("v"))
+    panel = compare.station_pairs_panel(pairs, df, ["duration"], ["v"], level, ids.select(F.col("station").cast("string").alias("station"), "latitude", "longitude"))
+    return rounded(compare.with_line(panel, ["pair", "source"], "v"))
 
 
 @query("""SELECT 'items' AS source, l_shipdate AS time, sum(l_quantity) AS v FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-12-01' AND l_shipdate < TIMESTAMP '1997-02-01' GROUP BY 2
@@ -493,16 +586,6 @@ def overlay(spark, sf_dir):
     return stations.in_period(compare.overlay({"items": a, "orders": b}, "time", "v"), "time", "1996-12", "1997-01")
 
 
-_CELL_FIT = f"""{_GRID_AMS}, gr AS (SELECT *, (rank() OVER w + (count(*) OVER (PARTITION BY latitude, longitude, annual_max) - 1) / 2.0) / count(*) OVER (PARTITION BY latitude, longitude) AS f FROM g WINDOW w AS (PARTITION BY latitude, longitude ORDER BY annual_max)),
-gb AS (SELECT latitude, longitude, avg(annual_max) AS b0, 2 * avg(f * annual_max) - avg(annual_max) AS l2 FROM gr GROUP BY 1, 2), gs AS (SELECT *, l2 * {SHAPE} / (gamma(1 + {SHAPE}) * (1 - pow(2.0, -({SHAPE})))) AS scale FROM gb),
-gf AS (SELECT latitude, longitude, b0 - scale * (1 - gamma(1 + {SHAPE})) / {SHAPE} AS location, scale, {SHAPE}::DOUBLE AS shape FROM gs)"""
-
-
-def _cell_fit(spark, sf_dir):
-    keys = ["latitude", "longitude"]
-    return fit.fit_gev(ranks.rank_and_ecdf(_grid_ams(spark, sf_dir), keys), keys, shape=SHAPE).drop("n_obs")
-
-
 @query(f"WITH {_CELL_FIT} SELECT latitude, longitude, T, round({_GEV_Q}, 6) AS intensity FROM gf, (VALUES (20.0::DOUBLE)) t(T)")
 def intensity_field(spark, sf_dir):
     """The quantile of one return period in every cell."""
@@ -522,20 +605,47 @@ def probability_table(spark, sf_dir):
     return rounded(products.probability_table(wide, [*BY, "block"], ["weibull", "cunnane"]))
 
 
-@query(f"WITH {data.sql_fit()} SELECT loc, duration, CAST(t AS DOUBLE) AS T, round(location + scale * (1 - pow(-ln(1 - 1.0::DOUBLE / t), shape)) / shape, 6) AS quantile FROM fit, range(2, 1000) r(t)")
+@query(f"WITH {data.sql_fit()} SELECT loc, duration, CAST(t AS DOUBLE) AS T, round(location + scale * (1 - pow(-ln(1 - 1.0::DOUBLE / t), shape)) / shape, 6) AS quantile FROM fit, range(2, 10000) r(t)")
 def theoretical_curve(spark, sf_dir):
-    return rounded(products.theoretical_curve(_fit(spark, sf_dir), 999).select(*BY, "T", "quantile"))
+    return rounded(products.theoretical_curve(_fit(spark, sf_dir)).select(*BY, "T", "quantile"))
 
 
-@query()
+_SITE = ", ".join(f"round(max(CASE WHEN ev_param = '{p}' AND ci = '{ci}' THEN {v} END), 6) AS hourly_{p}{mark}_{end}" for p in ("location", "scale") for v, mark in (("gev", ""), ("gev_scaled", "_lr")) for ci, end in (("estimate", "est"), ("0.025", "ci_l"), ("0.975", "ci_h")))
+
+
+@query(f"{_BOOT} SELECT loc, duration, {_SITE} FROM boot GROUP BY 1, 2")
 def site_table(spark, sf_dir):
-    """Wide table of sites with intervals and scaled values; rows only."""
+    """Wide table of sites with intervals and scaled values."""
     rows = _resampled(spark, sf_dir).withColumn("source", F.lit("hourly"))
-    return products.site_table(rows, "loc", ["hourly"])
+    return rounded(products.site_table(rows, "loc", ["hourly"]))
 
 
-@query()
+@query(f"{_BOOT} SELECT loc, duration, ci, ev_param, {_six('gev', 'gev_scaled', 'slope', 'intercept', 'rsquared', 'spearman')} FROM boot WHERE duration = 24")
 def sizing_values(spark, sf_dir):
-    """Values with limits at the locations of one duration; rows only."""
+    """Values with limits at the locations of one duration."""
     rows = _resampled(spark, sf_dir)
-    return quantiles.sizing(rows, data.hourly(spark, sf_dir).select("loc").distinct(), ["loc"], 24, [label(x) for x in quantile_levels(CONFIG.widths)])
+    return rounded(quantiles.sizing(rows, data.hourly(spark, sf_dir).select("loc").distinct(), ["loc"], 24, _LEVELS))
+
+
+@query(f"""WITH {_GRID_AMS}, {_NEAREST}, ams AS (SELECT latitude || '/' || longitude AS loc, 24 AS duration, block, annual_max FROM g), {data.sql_resampled(CONFIG.n_sample, CONFIG.seed, ["0.025", "0.975"])}
+SELECT s.name, ci, ev_param, round(gev, 6) AS gev FROM near JOIN stations s USING (station) JOIN boot ON loc = cell_lat || '/' || cell_lon""")
+def sizing_at_points(spark, sf_dir):
+    """Fitted values with limits at the cells nearest to all sites."""
+    ams = _grid_ams(spark, sf_dir).withColumn("duration", F.lit(24))
+    rows = bootstrap.fit_with_intervals(ams, ["latitude", "longitude"], CONFIG.n_sample, (0.95,), CONFIG.seed, SHAPE).where("ci <> '0.500'")
+    sites = compare.site_list(stations.located(data.stations(spark, sf_dir)), "name")
+    return rounded(quantiles.sizing_at(rows, sites, 24).select("name", "ci", "ev_param", "gev"))
+
+
+@query(f"""WITH {_NEAREST}, own AS (SELECT l_suppkey AS station, l_shipdate AS time, sum(l_quantity) AS v FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-12-01' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1, 2),
+cell_sums AS (SELECT c.latitude, c.longitude, l_shipdate AS time, sum(l_quantity) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN cells c ON c.cell = s_nationkey WHERE l_shipdate >= TIMESTAMP '1996-12-01' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1, 2, 3)
+SELECT s.name, 'station' AS source, time, v FROM own JOIN stations s USING (station) WHERE s.longitude IS NOT NULL
+UNION ALL SELECT s.name, 'grid', c.time, c.v FROM near JOIN stations s USING (station) JOIN cell_sums c ON c.latitude = cell_lat AND c.longitude = cell_lon""")
+def station_overlay(spark, sf_dir):
+    """Series of every station and of its nearest cell over one month."""
+    items = stations.in_period(data.table(spark, sf_dir, "lineitem"), "l_shipdate", "1996-12", "1996-12").withColumnRenamed("l_shipdate", "time")
+    supplier = data.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("cell"))
+    every = items.join(supplier, "l_suppkey")
+    level = every.join(data.cells(spark, sf_dir), "cell").groupBy("latitude", "longitude", "time").agg(F.sum("l_quantity").alias("v"))
+    sites = compare.site_list(stations.located(data.stations(spark, sf_dir)), "name")
+    return compare.station_overlay(every.groupBy("name", "time").agg(F.sum("l_quantity").alias("v")), sites, level, "time", "v")

@@ -46,7 +46,9 @@ def read_stations(spark: SparkSession, paths: str | list[str], years: tuple[int,
 
 
 def read_station_list(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.csv(path, sep="|", header=True, schema="SRC_ID bigint, SRC_NAME string, HIGH_PRCN_LAT double, HIGH_PRCN_LON double", enforceSchema=False)
+    """Id, name and coordinates of the first row of each station; further columns of the headed file are not read."""
+    df = spark.read.csv(path, sep="|", header=True)
+    df = df.select(F.col("SRC_ID").cast("bigint").alias("SRC_ID"), "SRC_NAME", *[F.col(c).cast("double").alias(c) for c in ("HIGH_PRCN_LAT", "HIGH_PRCN_LON")])
     df = df.withColumn("_row", F.monotonically_increasing_id())
     first = df.groupBy("SRC_ID").agg(F.min_by(F.struct("SRC_NAME", "HIGH_PRCN_LAT", "HIGH_PRCN_LON"), "_row").alias("m"))
     return first.selectExpr("SRC_ID AS station", "m.SRC_NAME AS name", "m.HIGH_PRCN_LAT AS latitude", "m.HIGH_PRCN_LON AS longitude")
@@ -65,8 +67,8 @@ def read_maxima(spark: SparkSession, path: str, start: int, end: int) -> DataFra
 
 
 def write_product(df: DataFrame, path: str) -> None:
-    """A published table: doubles are stored as floats."""
-    df.select(*[F.col(c).cast("float").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]).write.mode("overwrite").parquet(path)
+    """A published table: doubles are stored as floats; descriptions stay."""
+    df.select(*[F.col(c).cast("float").alias(c, metadata=df.schema[c].metadata) if t == "double" else F.col(c) for c, t in df.dtypes]).write.mode("overwrite").parquet(path)
 
 
 def describe(df: DataFrame, about: dict[str, dict]) -> DataFrame:

@@ -156,8 +156,13 @@ def test_station_files(spark, tmp_path):
     first = stations.first_records(df, ["src_id", "end_time"], ["file"])
     assert sorted((r.end_time.hour, r.prcp_amt) for r in first.collect()) == [(1, 0.2), (2, None)]
     assert records.read_stations(spark, str(tmp_path), (1991, 1991)).count() == 1
-    (tmp_path / "list.txt").write_text("SRC_ID|SRC_NAME|HIGH_PRCN_LAT|HIGH_PRCN_LON\n7|A|1.0|2.0\n7|B|1.0|2.0\n")
-    assert [r.name for r in records.read_station_list(spark, str(tmp_path / "list.txt")).collect()] == ["A"]
+    (tmp_path / "list.txt").write_text("SRC_ID|SRC_NAME|COUNTY|HIGH_PRCN_LAT|HIGH_PRCN_LON\n7|A|x|1.0|2.0\n7|B|y|3.0|2.0\n8|C|z||\n")
+    listed = records.read_station_list(spark, str(tmp_path / "list.txt")).orderBy("station").collect()
+    assert [tuple(r) for r in listed] == [(7, "A", 1.0, 2.0), (8, "C", None, None)]
+    kept = stations.useful(df)
+    assert set(kept.columns) == {*stations.KEEP, "end_time", "file"} and kept.count() == 3
+    clash = stations.first_records(df.withColumn("_k", F.lit("own")), ["src_id", "end_time"], ["file"])
+    assert {r["_k"] for r in clash.collect()} == {"own"}
 
 
 def test_grid_store(spark, tmp_path):
@@ -192,8 +197,72 @@ def test_intervals_and_paired_tests(spark):
     half = math.sqrt(4 * (1.1412 + 0.8216 * y + 1.2546 * y * y) / 40 / 40)
     assert rows["0.500"] == rows["estimate"] and rows["estimate"] - rows["0.025"] == pytest.approx(2.0243941640 * half)
     df = spark.createDataFrame([(1.0, 0.0), (2.0, 0.0), (0.0, 0.0), (0.0, 1.0), (None, 1.0)], "x double, y double")
-    r = report.paired_tests(df, "x", "y")
+    r = report.paired_tests(df, "x", "y").first()
     assert (r["n"], r["w_plus"], r["w_minus"]) == (4, 2.5 + 4, 2.5)
+    # Published table values: 2.776 and 4.604 are the 5 % and 1 % points with 4 degrees, 12.706 the 5 % point with 1
+    assert [gev.t_tail(t, n) for t, n in ((2.776445, 4), (4.604095, 4), (12.706205, 1), (0.0, 3))] == pytest.approx([0.05, 0.01, 0.05, 1.0], abs=1e-6)
+    five = spark.createDataFrame([(float(x), 0.0) for x in (1, 2, 3, 4, 5)], "x double, y double")
+    r = report.paired_tests(five, "x", "y").first()
+    assert r["t"] == pytest.approx(3 / (2.5**0.5 / 5**0.5)) and r["t_p"] == pytest.approx(gev.t_tail(r["t"], 4)) and 0.01 < r["t_p"] < 0.05
+    assert r["z"] == pytest.approx(7.5 / 13.75**0.5) and r["w_p"] == pytest.approx(math.erfc(r["z"] / 2**0.5))
+    none = report.paired_tests(five.where("false"), "x", "y").first()
+    assert none["n"] == 0 and none["t"] is None
+
+
+def test_report_from_coordinates(spark):
+    """Gauges at odd places against cells, by hand: nearest per axis, negative longitudes turned, six periods."""
+    rng = np.random.default_rng(5)
+    cells = [(float(a), float(b), 24, 10.0 + a + b / 100, 2.0, -0.114) for a in (0, 10) for b in (0, 350)]
+    gauges = [(i, 4.0 if i % 2 else 6.0, -12.0 if i % 3 else 3.0, 24, 12.0 + i / 10, 2.0 + rng.random(), -0.114) for i in range(20)] + [(99, None, 1.0, 24, 1.0, 1.0, -0.114)]
+    kinds = "duration int, location double, scale double, shape double"
+    g = spark.createDataFrame(gauges, "station int, latitude double, longitude double, " + kinds)
+    c = spark.createDataFrame(cells, "latitude double, longitude double, " + kinds)
+    q = lambda loc, scale, t: loc + scale * (1 - (-math.log(1 - 1 / t)) ** -0.114) / -0.114
+    for r in compare.station_report(g, {"grid": c}).collect():
+        ref = np.array([q(x[4], x[5], r["T"]) for x in gauges[:-1]])
+        est = np.array([q(10.0 + (0 if x[1] < 5 else 10) + (350 if x[2] < 0 else 0) / 100, 2.0, r["T"]) for x in gauges[:-1]])
+        assert (r.mae, r.mape, r.mdpe) == pytest.approx((abs(est - ref).mean(), abs((est - ref) / ref).mean(), np.median((est - ref) / ref)))
+        assert r.arf == pytest.approx(compare.irls(ref, est, False)[0]) and (r.slope, r.intercept) == pytest.approx(compare.irls(ref, est, True))
+    assert compare.station_report(g, {"grid": c}).count() == 6
+
+
+def test_stages_are_stored_and_read(spark, tmp_path):
+    """Maxima by block, read for some blocks, fitted, published as floats with descriptions."""
+    rows = [("a", 24, 1990 + i, float(x)) for i, x in enumerate((1, 2, 4, 8, 16, 3))] + [("a", 24, 2000, None)]
+    ams = spark.createDataFrame(rows, "loc string, duration int, block int, annual_max double")
+    stored = records.write_stage(ams, str(tmp_path / "ams"), ["block"])
+    assert stored.count() == 7 and records.write_stage(ams.where("block < 1995"), str(tmp_path / "again")).count() == 5
+    some = records.read_maxima(spark, str(tmp_path / "ams"), 1990, 1994)
+    assert "PartitionFilters: [isnotnull(block" in some._jdf.queryExecution().executedPlan().toString()
+    fits = fit.fit_gev(ranks.rank_and_ecdf(some, ["loc", "duration"]), ["loc", "duration"], shape=-0.114)
+    records.write_product(records.describe(fits, {"scale": {"units": "mm/h"}}), str(tmp_path / "product"))
+    out = spark.read.parquet(str(tmp_path / "product"))
+    assert dict(out.dtypes)["scale"] == "float" and out.first().scale == pytest.approx(5.2881128171) and out.schema["scale"].metadata == {"units": "mm/h"}
+
+
+def test_regular_axis(spark):
+    s = spark.createDataFrame([("a", 1, 1.0), ("b", 3, 2.0), ("b", 4, None)], "loc string, t int, v double").withColumn("time", F.make_timestamp(F.lit(2000), F.lit(1), F.lit(1), "t", F.lit(0), F.lit(0.0))).drop("t")
+    for axis, hours in (("union", [1, 3, 4]), ("regular", [1, 2, 3, 4])):
+        got = blockmax.regular_axis(s, ["loc"], "time", axis)
+        assert sorted((r.loc, r.time.hour) for r in got.collect()) == [(k, h) for k in "ab" for h in hours]
+        assert {(r.loc, r.time.hour): r.v for r in got.where("v IS NOT NULL").collect()} == {("a", 1): 1.0, ("b", 3): 2.0}
+    assert blockmax.regular_axis(s.where("false"), ["loc"], "time").count() == 0
+    named = s.withColumnsRenamed({"loc": "_s", "v": "_n"})
+    assert set(blockmax.rolling(named, ["_s"], "time", "_n", [1]).columns) == {"_s", "_n", "time", "m_1"}
+
+
+def test_snapped_is_the_nearest_cell(spark):
+    cells = spark.createDataFrame([(50.0 - 10 * i, 10.0 * j) for i in range(4) for j in range(5)], "latitude double, longitude double")
+    pts = spark.createDataFrame([(f"p{i}", 60.0 - 1.25 * i, 1.25 * i - 5) for i in range(50)], "name string, latitude double, longitude double")
+    by_search = {tuple(r) for r in grid.nearest_cells(cells, pts).collect()}
+    assert {tuple(r) for r in grid.snapped(pts, (50.0, -10.0, 4), (0.0, 10.0, 5)).collect()} == by_search
+
+
+def test_limits_follow_the_least_record(spark):
+    p = spark.createDataFrame([(1, 30, 10.0, 2.0, -0.114), (2, 12, 10.0, 2.0, -0.114)], "k int, n_obs int, location double, scale double, shape double")
+    one = quantiles.intensities(p, None, [100], ("0.975",)).first().intensity
+    assert one == quantiles.intensities(p, 12, [100], ("0.975",)).first().intensity > quantiles.intensities(p, 30, [100], ("0.975",)).first().intensity
+    assert quantiles.intensities(p.withColumn("n_obs", F.lit(2)), None, [100], ("0.975",)).first().intensity is None
 
 
 def test_products(spark):
