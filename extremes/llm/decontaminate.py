@@ -150,8 +150,8 @@ class Index:
         """
         step = self.passage // 2
         n_halves = max(1, -(-len(ids) // step))
-        out, at = [], np.flatnonzero(ids)
-        half = at // step
+        out, at, kinds = [], np.flatnonzero(ids), len(self.bounds)
+        half, words = np.divmod(np.unique(at // step * kinds + ids[at]), kinds)  # a word counts once in a half passage
         rows = max(1, (1 << 20) // step // self.bounds.shape[1])  # half passages at a time: texts of any length in bounded memory
         for lo in range(0, n_halves, rows):
             first, last = np.searchsorted(half, [lo, lo + rows + 1])
@@ -160,7 +160,7 @@ class Index:
             own = half[first:last] - lo
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             sums = np.zeros((rows + 2, self.bounds.shape[1]), np.float32)
-            sums[own[starts]] = np.add.reduceat(self.bounds[ids[at[first:last]]], starts, axis=0)
+            sums[own[starts]] = np.add.reduceat(self.bounds[words[first:last]], starts, axis=0)
             best = (sums[:-1] + sums[1:])[:rows].max(1).astype(float) * (1 + (step + 2) * 2.0**-23)
             out.append(np.flatnonzero(best + 1e-9 >= threshold) + lo)
         found = np.concatenate(out) if out else np.empty(0, np.int64)
