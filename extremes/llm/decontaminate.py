@@ -6,8 +6,9 @@ as the longest item of its class, and passages start every half passage, so that
 stands whole in a passage. An item's class depends on its own length alone, its scores on the statistics of the whole
 benchmark, its question and answer on its whole text: how items are dealt over shards changes nothing.
 
-For each passage, WAND runs over the posting lists of a shard. Its opening question, whether any block of items could
-reach the threshold with all the passage's words, is asked for many passages at once with sums of the block maxima.
+For each passage, WAND runs over the posting lists of a shard. Its opening questions, whether the lists of all the
+passage's words, and then any block of items in them, could reach the threshold, are asked for many passages at once
+with sums of the maxima.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BLOCK = 4
 PASSAGE = 64
 #: Bytes of the shards that are sent out together.
 PORTION_BYTES = 64 << 20
+#: Characters, about, of the texts that are held against a portion together.
+TEXT_CHARS = 2_000_000
 _WORD = re.compile(r"\w+")
 _SENTENCE_END = re.compile(r"[.!?]\s+(?=\S)")
 
@@ -94,6 +97,7 @@ class Index:
         self.items = [[i for i, _ in p] for p in lists]
         self.impacts = [[x for _, x in p] for p in lists]
         self.top = [max(p, default=0.0) for p in self.impacts]
+        self.peaks = np.array(self.top)
         bounds = np.zeros((len(lists), max(self.blocks, 1)))
         for t, p in enumerate(lists):
             for i, x in p:
@@ -142,50 +146,91 @@ class Index:
             cursors = [c for c in cursors if c[0] < stop]
         return found
 
-    def hopeful(self, ids: np.ndarray, threshold: float) -> np.ndarray:
-        """Numbers of the passages in which the bound of some block reaches the threshold.
+    def hopeful(self, ids: np.ndarray, lengths: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+        """(text, passage) of the passages in which the bound of some block reaches the threshold.
 
-        Bounds are added over each half passage alone, so an error of single precision is at most that of ``step``
-        additions of positive numbers, which the sums are raised by.
+        ``ids`` are the words of all texts, ``lengths`` how many each text has. Largest impacts are added over each half
+        passage alone, first those of whole lists, then those of blocks where the former suffice. An error of single
+        precision is at most that of ``step`` additions of positive numbers, which the latter are raised by.
         """
-        step = self.passage // 2
-        n_halves = max(1, -(-len(ids) // step))
-        out, at, kinds = [], np.flatnonzero(ids), len(self.bounds)
-        half, words = np.divmod(np.unique(at // step * kinds + ids[at]), kinds)  # a word counts once in a half passage
-        rows = max(1, (1 << 20) // step // self.bounds.shape[1])  # half passages at a time: texts of any length in bounded memory
-        for lo in range(0, n_halves, rows):
-            first, last = np.searchsorted(half, [lo, lo + rows + 1])
+        step, kinds = self.passage // 2, len(self.bounds)
+        halves = np.maximum(1, -(-lengths // step))
+        base = np.cumsum(halves + 1) - halves - 1  # an empty half follows every text
+        at = np.flatnonzero(ids)
+        if not len(at):
+            return
+        half = (at + np.repeat(base * step - np.cumsum(lengths) + lengths, lengths)[at]) // step
+        keys = np.sort(half * kinds + ids[at])
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]]]  # a word counts once in a half passage
+        half = keys // kinds
+        words = keys - half * kinds
+        sums = np.bincount(half, self.peaks[words], int(base[-1] + halves[-1]) + 2)
+        live = np.flatnonzero(sums[:-1] + sums[1:] + 1e-9 >= threshold)
+        text = np.searchsorted(base, live, "right") - 1
+        live = live[live - base[text] < np.maximum(1, halves[text] - 1)]
+        needed = np.zeros(len(sums), bool)
+        needed[live] = needed[live + 1] = True
+        place = np.cumsum(needed) - 1
+        half, words = half[needed[half]], words[needed[half]]
+        for part in np.array_split(live, (len(live) * step * self.bounds.shape[1] >> 20) + 1):  # texts of any length in bounded memory
+            first, last = np.searchsorted(half, [part[0], part[-1] + 2]) if len(part) else (0, 0)
             if first == last:
                 continue
-            own = half[first:last] - lo
+            low = place[part[0]]
+            own = place[half[first:last]] - low
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            sums = np.zeros((rows + 2, self.bounds.shape[1]), np.float32)
-            sums[own[starts]] = np.add.reduceat(self.bounds[words[first:last]], starts, axis=0)
-            best = (sums[:-1] + sums[1:])[:rows].max(1).astype(float) * (1 + (step + 2) * 2.0**-23)
-            out.append(np.flatnonzero(best + 1e-9 >= threshold) + lo)
-        found = np.concatenate(out) if out else np.empty(0, np.int64)
-        return found[found < max(1, n_halves - 1)]
-
-    def leaks(self, words: list[str], threshold: float, overlap: float) -> list[tuple[int | None, float, float, float]]:
-        """(item id, score, question overlap, answer overlap) of the items that a text of ``words`` holds; the best of an item's passages."""
-        ids = np.fromiter(map(self.terms.get, words, itertools.repeat(0)), np.int32, len(words))
-        if not self.n or not ids.any():
-            return []
-        step = self.passage // 2
-        best: dict[int, tuple[float, float, float]] = {}
-        for k in self.hopeful(ids, threshold).tolist():
-            lo, hi = k * step, k * step + self.passage
-            terms = np.unique(ids[lo:hi])
+            bounds = np.zeros((place[part[-1] + 1] - low + 1, self.bounds.shape[1]), np.float32)
+            bounds[own[starts]] = np.add.reduceat(self.bounds[words[first:last]], starts, axis=0)
+            best = (bounds[place[part] - low] + bounds[place[part + 1] - low]).max(1).astype(float) * (1 + (step + 2) * 2.0**-23)
+            found = part[best + 1e-9 >= threshold]
+            text = np.searchsorted(base, found, "right") - 1
+            yield from zip(text.tolist(), (found - base[text]).tolist(), strict=True)
+
+    def search(self, texts: list[list[str]], ids: np.ndarray, lengths: np.ndarray, threshold: float, overlap: float) -> Iterator[tuple[int, tuple[int | None, float, float, float]]]:
+        """(text, (item id, score, question overlap, answer overlap)) of the items that texts hold; the best of an item's passages."""
+        if not self.n:
+            return
+        step, starts = self.passage // 2, np.cumsum(lengths) - lengths
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for i, k in self.hopeful(ids, lengths, threshold):
+            words, lo, hi = texts[i], k * step, min(k * step + self.passage, len(texts[i]))
+            terms = np.unique(ids[starts[i] + lo : starts[i] + hi])
             terms = terms[terms > 0]
             if float(self.bounds[terms].sum(0, dtype=np.float64).max()) + 1e-9 < threshold:  # the same bound, of distinct words
                 continue
+            hits = self.above(terms.tolist(), threshold)
             near = words[max(0, lo - step) : hi + step]
-            held = {n: grams(near, n) for n in (1, 2, 3)}
-            for item, s in self.above(terms.tolist(), threshold):
+            held = {n: grams(near, n) for n in (1, 2, 3)} if hits else {}
+            for item, s in hits:
                 q, a = (len(g & held[n]) / len(g) if g else 1.0 for g, n in self.grams[item])
                 if q >= overlap and a >= overlap:
-                    best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (float(s), q, a))
-        return [(self.ids[i], *x) for i, x in sorted(best.items())]
+                    best[i, item] = max(best.get((i, item), (0.0, 0.0, 0.0)), (float(s), q, a))
+        for (i, item), x in sorted(best.items()):
+            yield i, (self.ids[item], *x)
+
+    def leaks(self, words: list[str], threshold: float, overlap: float) -> list[tuple[int | None, float, float, float]]:
+        """The items that one text holds."""
+        return Portion([self]).leaks([words], threshold, overlap)[0]
+
+
+class Portion:
+    """Shards that a task holds at a time; a word is looked up once for all of them."""
+
+    def __init__(self, shards: list[Index]):
+        self.shards, self.terms = shards, {}
+        self.places = [np.array([self.terms.setdefault(w, len(self.terms) + 1) for w in shard.terms], np.int64) for shard in shards]
+
+    def leaks(self, texts: list[list[str]], threshold: float, overlap: float) -> list[list[tuple[int | None, float, float, float]]]:
+        """(item id, score, question overlap, answer overlap) of the items that each text holds."""
+        lengths = np.array([len(w) for w in texts], np.int64)
+        ids = np.fromiter(map(self.terms.get, itertools.chain.from_iterable(texts), itertools.repeat(0)), np.int32, int(lengths.sum()))
+        found: list[list[tuple[int | None, float, float, float]]] = [[] for _ in texts]
+        for shard, places in zip(self.shards, self.places, strict=True):
+            own = np.zeros(len(self.terms) + 1, np.int32)
+            own[places] = np.arange(1, len(places) + 1)  # a shard numbers its terms in order
+            for i, leak in shard.search(texts, own[ids], lengths, threshold, overlap):
+                found[i].append(leak)
+        return found
 
 
 @dataclass
@@ -194,10 +239,9 @@ class Benchmark:
 
     portions: list[Broadcast]
 
-    def shards(self) -> Iterator[Index]:
+    def read(self) -> Iterator[Portion]:
         for portion in self.portions:
-            for shard in pickle.loads(portion.value):
-                yield pickle.loads(shard)
+            yield Portion([pickle.loads(shard) for shard in pickle.loads(portion.value)])
 
 
 def build(items: DataFrame, shard_items: int = SHARD_ITEMS, portion_bytes: int = PORTION_BYTES) -> Benchmark:
@@ -254,14 +298,17 @@ def find_leaks(docs: DataFrame, benchmark: Benchmark, threshold: float = 0.5, ov
 
     @F.pandas_udf("array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>")
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        small = list(benchmark.shards()) if len(benchmark.portions) < 2 else None
+        small = list(benchmark.read()) if len(benchmark.portions) < 2 else None
         for part in texts:
-            found: list[list[tuple]] = [[] for _ in part]
-            for lo in range(0, len(part), 500):  # a text is split once for all shards
-                words = [split_words(t) for t in part.iloc[lo : lo + 500]]
-                for shard in benchmark.shards() if small is None else small:
-                    for i, own in enumerate(words, lo):
-                        found[i] += shard.leaks(own, threshold, overlap)
+            found: list[list[tuple]] = []
+            size = np.cumsum([len(t or "") for t in part]) // TEXT_CHARS
+            for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(part)]):
+                words = [split_words(t) for t in part.iloc[lo:hi]]  # a text is split once for all shards
+                own: list[list[tuple]] = [[] for _ in words]
+                for portion in benchmark.read() if small is None else small:
+                    for held, more in zip(own, portion.leaks(words, threshold, overlap), strict=True):
+                        held += more
+                found += own
             order = lambda x: (x[0] is None, x[0] or 0, -x[1])
             yield pd.Series([[dict(zip(names, x, strict=True)) for x in sorted(own, key=order)] for own in found])
 
