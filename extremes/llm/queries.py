@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, licenses, merkle, packing, quality, token_counts, token_matrix
+from . import chat, decontaminate, jaccard, langid, licenses, merkle, packing, quality, spelling, token_counts, token_matrix
 from .common import table
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -69,6 +69,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("licenses").alias("found")).select("doc_id", "found.*")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.count_words(table(spark, sf_dir, "documents"), edit=spelling.drop_every_97th))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_decontaminate, op3_packing, op4_chat, op5_langid, op6_fingerprint, op7_token_matrix, op8_token_counts, op9_jaccard, op10_licenses,
+    op1_quality, op2_decontaminate, op3_packing, op4_chat, op5_langid, op6_fingerprint, op7_token_matrix, op8_token_counts, op9_jaccard, op10_licenses, op11_spelling,
 )}

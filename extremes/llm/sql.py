@@ -80,4 +80,22 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 SELECT d.doc_id, coalesce(k.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN k USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) m USING (doc_id)"""
 
 
-ORACLE_SQL = {"op3_packing": packing(), "op4_chat": chat(), "op6_fingerprint": fingerprint(), "op9_jaccard": jaccard()}
+def spelling() -> str:
+    """crc32 byte by byte; near words by the variants that lack one code point; forms followed by recursion."""
+    step = lambda c: f"CASE WHEN {c} & 1 = 1 THEN xor({c} >> 1, 3988292384) ELSE {c} >> 1 END"
+    tab = "".join(f"t{k + 1} AS (SELECT i, {step('c')} AS c FROM t{k}), " for k in range(8))
+    octets = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + (ord(x) >> 6), 128 + (ord(x) & 63)] END))"
+    return f"""WITH RECURSIVE t0 AS (SELECT i, CAST(i AS BIGINT) AS c FROM range(256) r(i)), {tab}tab AS (SELECT list(c ORDER BY i) AS tab FROM t8),
+o AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY 1, 2),
+h AS (SELECT run, n, xor(list_reduce(list_transform({octets}, lambda x: CAST(x AS BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM o, tab),
+w AS (SELECT CASE WHEN h % 97 <> 0 THEN run ELSE substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+v AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS part FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n FROM v a JOIN v b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON w.word = v.part UNION SELECT w.word, v.word, v.n FROM v JOIN w ON w.word = v.part),
+b AS (SELECT word, count(*) AS n_near, max(n) AS best_n FROM p GROUP BY 1),
+f AS (SELECT b.word, min(p.near) AS form, any_value(b.best_n) AS form_n FROM b JOIN w USING (word) JOIN p ON p.word = b.word AND p.n = b.best_n WHERE b.best_n >= 2 * w.n GROUP BY 1),
+r AS (SELECT word, word AS last, 0 AS k FROM w UNION ALL SELECT r.word, f.form, r.k + 1 FROM r JOIN f ON f.word = r.last)
+SELECT w.word, f.form, e.root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n FROM w JOIN (SELECT word, arg_max(last, k) AS root FROM r GROUP BY 1) e USING (word) LEFT JOIN b USING (word) LEFT JOIN f USING (word)"""
+
+
+ORACLE_SQL = {"op3_packing": packing(), "op4_chat": chat(), "op6_fingerprint": fingerprint(), "op9_jaccard": jaccard(), "op11_spelling": spelling()}
