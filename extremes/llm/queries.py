@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, licenses, merkle, packing, quality, spelling, token_counts, token_matrix
+from . import chat, decontaminate, jaccard, langid, licenses, merkle, packing, quality, spelling, token_counts, token_matrix, whitening
 from .common import table
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -73,6 +73,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.count_words(table(spark, sf_dir, "documents"), edit=spelling.drop_every_97th))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_decontaminate, op3_packing, op4_chat, op5_langid, op6_fingerprint, op7_token_matrix, op8_token_counts, op9_jaccard, op10_licenses, op11_spelling,
+    op1_quality, op2_decontaminate, op3_packing, op4_chat, op5_langid, op6_fingerprint, op7_token_matrix, op8_token_counts, op9_jaccard, op10_licenses, op11_spelling, op12_whitening,
 )}
