@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, jaccard, langid, licenses, merkle, packing, quality, spelling, token_counts, token_matrix, whitening
 from .common import table
+from .line_store import LineStore
 from .sql import ORACLE_SQL  # noqa: F401
 
 
@@ -77,6 +78,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents enter the store in two increments, those of the lower half of the ids first, as a corpus that grows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    middle = ((ends["low"] or 0) + (ends["high"] or 0)) // 2
+    store = LineStore.empty(spark).insert(docs.where(F.col("doc_id") <= middle)).insert(docs.where(F.col("doc_id") > middle))
+    return store.clean(docs).select("doc_id", "cleaned.n_lines", "cleaned.n_dropped", F.sha2("cleaned.kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_decontaminate, op3_packing, op4_chat, op5_langid, op6_fingerprint, op7_token_matrix, op8_token_counts, op9_jaccard, op10_licenses, op11_spelling, op12_whitening,
+    op1_quality, op2_decontaminate, op3_packing, op4_chat, op5_langid, op6_fingerprint, op7_token_matrix, op8_token_counts, op9_jaccard, op10_licenses, op11_spelling, op12_whitening, op13_lines,
 )}

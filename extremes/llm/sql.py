@@ -98,4 +98,13 @@ r AS (SELECT word, word AS last, 0 AS k FROM w UNION ALL SELECT r.word, f.form,
 SELECT w.word, f.form, e.root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n FROM w JOIN (SELECT word, arg_max(last, k) AS root FROM r GROUP BY 1) e USING (word) LEFT JOIN b USING (word) LEFT JOIN f USING (word)"""
 
 
-ORACLE_SQL = {"op3_packing": packing(), "op4_chat": chat(), "op6_fingerprint": fingerprint(), "op9_jaccard": jaccard(), "op11_spelling": spelling()}
+def lines() -> str:
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH l AS (SELECT doc_id, i, x[i] AS line, translate(trim(x[i], {space}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+g AS (SELECT k, min(doc_id) AS low FROM l WHERE length(k) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2)
+SELECT doc_id, count(*) AS n_lines, count(g.k) FILTER (WHERE doc_id > low) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.k IS NULL OR doc_id = low), '')) AS kept_sha256
+FROM l LEFT JOIN g USING (k) GROUP BY 1"""
+
+
+ORACLE_SQL = {"op3_packing": packing(), "op4_chat": chat(), "op6_fingerprint": fingerprint(), "op9_jaccard": jaccard(), "op11_spelling": spelling(), "op13_lines": lines()}
