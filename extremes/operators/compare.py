@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stage
 from .grid import nearest_cells, positive_longitude
 from .quantiles import intensities
+from .report import quantile_table
+from .selection import exact_quantiles
 
 
 def site_list(points: DataFrame, name: str, only: list[str] | None = None) -> DataFrame:
@@ -41,13 +44,22 @@ def pair_with_reference(df: DataFrame, reference: str, keys: list[str], value: s
 
 
 def errors(pairs: DataFrame, by: list[str], approximate: bool = False) -> DataFrame:
-    """MAE, MAPE, and the median and outer percentage errors of ``est`` against ``ref``; ``approximate`` for very many pairs a case."""
+    """MAE, MAPE, and the median and outer percentage errors of ``est`` against ``ref``.
+
+    Quantiles are exact, by counts over ranges (``selection``, which stages the pairs); ``approximate`` takes one pass. Rows of null groups stay.
+    """
+    levels, names = (0.025, 0.5, 0.975), ("pe_low", "mdpe", "pe_high")
     d = F.col("est") - F.col("ref")
-    pe = F.try_divide(d, F.col("ref"))
-    levels = F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))
-    q = F.percentile_approx(pe, levels, F.lit(100_000)) if approximate else F.percentile(pe, levels)
-    out = pairs.groupBy(*by).agg(F.avg(F.abs(d)).alias("mae"), F.avg(F.abs(pe)).alias("mape"), q.alias("_q"))
-    return out.select(*by, "mae", "mape", *[F.col("_q")[i].alias(n) for i, n in enumerate(("pe_low", "mdpe", "pe_high"))])
+    own = pairs.select(*by, d.alias("d"), F.try_divide(d, F.col("ref")).alias("pe"))
+    means = [F.avg(F.abs("d")).alias("mae"), F.avg(F.abs("pe")).alias("mape")]
+    if approximate:
+        out = own.groupBy(*by).agg(*means, F.percentile_approx("pe", F.array(*map(F.lit, levels)), F.lit(100_000)).alias("values"))
+    else:
+        own = stage(own, "pairs")
+        q = exact_quantiles(own, by, "pe", levels).select(*[F.col(b).alias(f"of_{b}") for b in by], "values")
+        same = [F.col(b).eqNullSafe(F.col(f"of_{b}")) for b in by]
+        out = own.groupBy(*by).agg(*means).join(q, same)
+    return out.select(*by, "mae", "mape", *[F.col("values")[i].alias(n) for i, n in enumerate(names)])
 
 
 def robust_lines(pairs: DataFrame, by: list[str], x: str = "ref", y: str = "est", intercept: bool = False) -> DataFrame:
@@ -137,12 +149,9 @@ def station_report(gauges: DataFrame, grids: dict[str, DataFrame], periods=(2, 1
 
 
 def relative_difference_quantiles(params: DataFrame, by: list[str], q: list[float], approximate: bool = False) -> DataFrame:
-    """Quantiles of (scaled - fitted) / fitted: ``(by, q, value)``; ``approximate`` for very many locations."""
+    """Quantiles of (scaled - fitted) / fitted: ``(by, q, value)``; exact unless ``approximate``."""
     rel = F.try_divide(F.col("gev_scaled") - F.col("gev"), F.col("gev"))
-    levels = F.array(*map(F.lit, q))
-    out = params.groupBy(*by).agg((F.percentile_approx(rel, levels, F.lit(100_000)) if approximate else F.percentile(rel, levels)).alias("_q"))
-    pairs = ", ".join(f"CAST({x} AS DOUBLE), _q[{i}]" for i, x in enumerate(q))
-    return out.selectExpr(*by, f"stack({len(q)}, {pairs}) AS (q, value)")
+    return quantile_table(params.select(*by, rel.alias("rel")), by, "rel", q, approximate)
 
 
 def mean_percentage_error(scaled: DataFrame, fitted: DataFrame, keys: list[str], by: list[str]) -> DataFrame:

@@ -51,17 +51,19 @@ def qc1(value: str = "prcp_amt", hourly_limit: float = HOURLY_LIMIT) -> Column:
 
 def with_quality(df: DataFrame, keys: list[str], time: str, value: str = "prcp_amt", daily_limit: float = DAILY_LIMIT, hourly_limit: float = HOURLY_LIMIT) -> DataFrame:
     """``df`` with flags qc0, qc1, qc3 (24-row sum, on unmasked values) and the value masked to null where one is set; rows stay."""
-    summed = rolling(df, keys, time, value, [24], how="sum", least=21).withColumnRenamed("m_24", "_day")
-    flags = summed.withColumns({"qc0": qc0(), "qc1": qc1(value, hourly_limit), "qc3": F.coalesce(F.col("_day") >= daily_limit * MARGIN, F.lit(False))})
-    return flags.withColumn(value, F.when(~F.col("qc0") & ~F.col("qc1") & ~F.col("qc3"), F.col(value))).drop("_day")
+    day = free_name(df, "_day")
+    summed = rolling(df, keys, time, value, [24], how="sum", least=21).withColumnRenamed("m_24", day)
+    flags = summed.withColumns({"qc0": qc0(), "qc1": qc1(value, hourly_limit), "qc3": F.coalesce(F.col(day) >= daily_limit * MARGIN, F.lit(False))})
+    return flags.withColumn(value, F.when(~F.col("qc0") & ~F.col("qc1") & ~F.col("qc3"), F.col(value))).drop(day)
 
 
 def qc4(df: DataFrame, keys: list[str], time: str, value: str = "prcp_amt") -> DataFrame:
     """Rows at 09:00 with ``qc4``: at least twice the station's mean 24 h sum of that calendar month."""
-    summed = rolling(df, keys, time, value, [24], how="sum", least=21).withColumn("_month", F.month(time))
-    mean = summed.groupBy(*keys, "_month").agg(F.avg("m_24").alias("_mean"))
-    nine = summed.where((F.hour(time) == 9) & (F.minute(time) == 0)).join(mean, [*keys, "_month"], "left")
-    return nine.withColumn("qc4", F.coalesce(F.col(value) >= 2 * F.col("_mean"), F.lit(False))).drop("m_24", "_month", "_mean")
+    month, normal = free_name(df, "_month"), free_name(df, "_mean")
+    summed = rolling(df, keys, time, value, [24], how="sum", least=21).withColumn(month, F.month(time))
+    mean = summed.groupBy(*keys, month).agg(F.avg("m_24").alias(normal))
+    nine = summed.where((F.hour(time) == 9) & (F.minute(time) == 0)).join(mean, [*keys, month], "left")
+    return nine.withColumn("qc4", F.coalesce(F.col(value) >= 2 * F.col(normal), F.lit(False))).drop("m_24", month, normal)
 
 
 def select_complete(df: DataFrame, station: str, year: str, value: str, least: int = int(365 * 24 * 0.9), share: float = 0.9) -> DataFrame:

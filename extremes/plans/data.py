@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SUBDAILY
 from ..operators.blockmax import block_maxima, regular_axis
 from ..operators.ranks import rank_and_ecdf
+from ..shared import stage
 
 DURATIONS = SUBDAILY
 SHAPE = -0.114
@@ -19,13 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly sums of event values by type, on a regular axis; the block is the day."""
-    raw = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("loc"), F.date_trunc("hour", "ts").alias("hour")).agg(F.sum("value").alias("v"))
-    return regular_axis(raw, ["loc"], "hour").withColumn("block", F.date_format("hour", "yyyyMMdd").cast("int"))
+    """Hourly sums of event values by type, on a regular axis, with their place on it; the block is the day."""
+    raw = stage(table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("loc"), F.date_trunc("hour", "ts").alias("hour")).agg(F.sum("value").alias("v")), "hourly")
+    return regular_axis(raw, ["loc"], "hour", position="pos").withColumn("block", F.date_format("hour", "yyyyMMdd").cast("int"))
 
 
 def maxima(spark: SparkSession, sf_dir: str, durations=DURATIONS, across: bool = False) -> DataFrame:
-    return block_maxima(hourly(spark, sf_dir), ["loc"], "hour", "v", "block", durations, across_blocks=across)
+    return block_maxima(hourly(spark, sf_dir), ["loc"], "hour", "v", "block", durations, across_blocks=across, position="pos", part_rows=max(durations))
 
 
 def ranked(spark: SparkSession, sf_dir: str, durations=DURATIONS) -> DataFrame:

@@ -26,11 +26,11 @@ def read_grid(spark: SparkSession, path: str, start: int, end: int, value: str =
 
 
 def merge_monthly(parts: list[DataFrame], value: str = "tp", out: str = "precipitation") -> DataFrame:
-    """Monthly records in metres as one record in millimetres, with its year."""
+    """Monthly records in metres as one record in millimetres, with its year; NaN becomes null."""
     df = parts[0].drop("originating_centre")
     for p in parts[1:]:
         df = df.unionByName(p.drop("originating_centre"), allowMissingColumns=True)
-    return df.withColumn(out, F.col(value).cast("double") * 1000).drop(value).withColumn("year", F.year("time"))
+    return df.withColumn(out, no_nan(F.col(value).cast("double")) * 1000).drop(value).withColumn("year", F.year("time"))
 
 
 def write_grid(df: DataFrame, path: str, keys: tuple[str, ...] = ("latitude", "longitude")) -> None:
@@ -38,13 +38,28 @@ def write_grid(df: DataFrame, path: str, keys: tuple[str, ...] = ("latitude", "l
     df.repartition("year", *keys).sortWithinPartitions("year", *keys, "time").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
-def read_stations(spark: SparkSession, paths: str | list[str], years: tuple[int, int] | None = None) -> DataFrame:
-    """Station text files without header; a blank is a missing value. ``file`` is the name of the row's file."""
-    df = spark.read.csv(paths, schema=STATION_SCHEMA, header=False, nullValue=" ", ignoreLeadingWhiteSpace=False, timestampFormat="yyyy-MM-dd HH:mm")
-    df = df.withColumn("file", F.col("_metadata.file_name"))
+def _station_lines(spark: SparkSession, paths: str | list[str], years: tuple[int, int] | None) -> DataFrame:
+    """All lines of station files, with the whole line in ``malformed`` where it has other fields than the schema."""
+    options = {"nullValue": " ", "timestampFormat": "yyyy-MM-dd HH:mm", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
+    lines = spark.read.text(paths).where("value <> ''").select("value", F.col("_metadata.file_name").alias("file"))
+    df = lines.select(F.from_csv("value", f"{STATION_SCHEMA}, malformed string", options).alias("r"), "file").select("r.*", "file")
     return df if years is None else df.where(F.regexp_extract("file", r"(\d{4})", 1).cast("int").between(*years))
 
 
+def read_stations(spark: SparkSession, paths: str | list[str], years: tuple[int, int] | None = None) -> DataFrame:
+    """Station text files without header; a blank is a missing value, and so is NaN. ``file`` is the name of the row's file.
+
+    Lines that are short or long, or have text where a number or time belongs, are left out: see ``malformed_lines``.
+    """
+    df = _station_lines(spark, paths, years).where("malformed IS NULL").drop("malformed")
+    return nan_to_null(df, [c for c, t in df.dtypes if t == "double"])
+
+
+def malformed_lines(spark: SparkSession, paths: str | list[str], years: tuple[int, int] | None = None) -> DataFrame:
+    """``(file, malformed)``: the lines that ``read_stations`` leaves out."""
+    return _station_lines(spark, paths, years).where("malformed IS NOT NULL").select("file", "malformed")
+
+
 def read_station_list(spark: SparkSession, path: str) -> DataFrame:
     """Id, name and coordinates of the first row of each station; further columns of the headed file are not read."""
     df = spark.read.csv(path, sep="|", header=True)

@@ -103,7 +103,7 @@ def test_bootstrap_routes_agree(spark):
         sql = bootstrap.fit_samples_sql(ams, ["loc"], 30, 7, shape).where("sample >= 0").toPandas()
         want = sql.groupby("duration")["scale"].quantile(0.025)
         got = bootstrap.fit_with_intervals(ams, ["loc"], 30, (0.95,), 7, shape).where("ev_param = 'scale' AND ci = '0.025'").toPandas().set_index("duration")["gev"]
-        assert got.loc[want.index].to_numpy() == pytest.approx(want.to_numpy(), rel=1e-9)
+        assert got.loc[want.index].to_numpy() == pytest.approx(want.to_numpy(), abs=1e-6)
 
 
 def test_parameters_are_recovered(spark):
@@ -204,7 +204,7 @@ def test_intervals_and_paired_tests(spark):
     five = spark.createDataFrame([(float(x), 0.0) for x in (1, 2, 3, 4, 5)], "x double, y double")
     r = report.paired_tests(five, "x", "y").first()
     assert r["t"] == pytest.approx(3 / (2.5**0.5 / 5**0.5)) and r["t_p"] == pytest.approx(gev.t_tail(r["t"], 4)) and 0.01 < r["t_p"] < 0.05
-    assert r["z"] == pytest.approx(7.5 / 13.75**0.5) and r["w_p"] == pytest.approx(math.erfc(r["z"] / 2**0.5))
+    assert r["z"] == pytest.approx(7.5 / 13.75**0.5) and r["w_p"] == 2 / 32  # all ranks on one side: two of 32 ways
     none = report.paired_tests(five.where("false"), "x", "y").first()
     assert none["n"] == 0 and none["t"] is None
 
@@ -290,7 +290,7 @@ def test_interval_queries_use_the_settings(spark):
     assert len(drawn) == 1000
     want = drawn["location"].quantile(levels)
     own = got[(got["loc"] == "click") & (got.duration == 2)].set_index("ci")["location_ci"]
-    assert own.loc[levels].to_numpy() == pytest.approx(want.to_numpy(), rel=1e-9)
+    assert own.loc[levels].to_numpy() == pytest.approx(want.to_numpy(), abs=1e-6)
 
 
 def test_entry_imports_without_training_operators(spark):
