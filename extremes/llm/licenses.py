@@ -1,16 +1,21 @@
 """License scans by patience alignment (operator 10).
 
 A template is laid along a passage of a text: words that are unique in both, and the longest run of them that is in
-order in both, are anchors; the gaps between anchors are aligned in the same way. Coverage is the share of the
-template's words that are aligned.
+order in both, are anchors; the gaps between anchors are aligned in the same way, and a gap without anchors by its longest
+common subsequence. Coverage is the share of the template's words that are aligned, within a passage a quarter longer than it.
+
+Passages are taken where they hold enough of the template's words, in any order, to reach the coverage. Where the alignment of none of
+them does, an exact check follows by the length of the longest common subsequence. So every passage that can reach the coverage is found.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +98,30 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def common_subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of positions of a longest common subsequence; a row of the table is one integer, a bit for each word of ``a``."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rows = [full]
+    for w in b:
+        v = rows[-1]
+        u = v & at.get(w, 0)
+        rows.append(((v + u) | (v - u)) & full)
+    size = lambda i, j: i - (rows[j] & ((1 << i) - 1)).bit_count()  # noqa: E731  of a[:i] and b[:j]
+    out, i, j = [], len(a), len(b)
+    while i and j and (here := size(i, j)):
+        if size(i, j - 1) == here:
+            j -= 1
+        elif size(i - 1, j) == here:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Pairs of aligned positions of two word lists, in order."""
     found: list[tuple[int, int]] = []
@@ -112,6 +141,8 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         both = [(i, where[w]) for i, w in enumerate(a[a0:a1], a0) if in_a[w] == 1 and w in where]
         anchors = [both[k] for k in rising([j for _, j in both])]
         if not anchors:
+            if in_a.keys() & in_b.keys():
+                found += [(a0 + i, b0 + j) for i, j in common_subsequence(a[a0:a1], b[b0:b1])]
             continue
         i0, j0 = a0, b0
         for i, j in anchors:
@@ -122,82 +153,139 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+class Hit(NamedTuple):
+    name: str
+    size: int  # words of the template
+    matched: int
+    first: int  # words of the text, both ends included
+    last: int
+
+    def beats(self, other: Hit) -> bool:
+        """Whether this hit, which matches as many words at least, explains their common passage better than ``other``.
+
+        A longer template must find half of the words that it has beyond the shorter one, so a template that is a part of another gives way to
+        it where the rest stands as well, and only there.
+        """
+        return self.matched - other.matched >= (self.size - other.size) / 2
+
+
 class Scanner:
     """Templates as words, with the words by which a text is picked for alignment.
 
     To cover a share c of a template's words, a text must hold one at least of any floor((1 - c) m) + 1 words of it; the
-    template's longest words serve. Passages start at such words, so nothing that reaches the coverage is missed.
+    template's longest words serve. Templates without words are never found.
     """
 
     def __init__(self, templates: dict[str, str], coverage: float = 0.8):
         self.coverage = coverage
-        self.templates = {k: [w.lower() for w in _WORD.findall(t)] for k, t in templates.items()}
-        self.triggers: dict[str, set[str]] = {}
-        for name, words in self.templates.items():
-            counts, need, chosen = Counter(words), int((1 - coverage) * len(words) + 1e-9) + 1, set()
+        self.templates = {k: w for k, t in templates.items() if (w := [w.lower() for w in _WORD.findall(t)])}
+        self.counts = {k: Counter(w) for k, w in self.templates.items()}
+        self.need = {k: max(1, math.ceil(coverage * len(w) - 1e-9)) for k, w in self.templates.items()}
+        self.reach = {k: len(w) + max(2, len(w) // 4) for k, w in self.templates.items()}
+        triggers = set()
+        self.of_word: dict[str, list[str]] = {}
+        for name, counts in self.counts.items():
+            spare = len(self.templates[name]) - self.need[name] + 1
             for w in sorted(counts, key=lambda w: (-len(w), w)):
-                if need <= 0:
+                if spare <= 0:
                     break
-                chosen.add(w)
-                need -= counts[w]
-            self.triggers[name] = chosen
-        self.any = re.compile("|".join(sorted({re.escape(w) for c in self.triggers.values() for w in c}, key=lambda w: (-len(w), w))))
+                triggers.add(w)
+                spare -= counts[w]
+            for w in counts:
+                self.of_word.setdefault(w, []).append(name)
+        self.any = re.compile("|".join(sorted(map(re.escape, triggers), key=lambda w: (-len(w), w)))) if triggers else None
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, coverage, start, end in characters) of the places where a template is covered, in order.
 
-        Where several templates are covered in places that overlap, the best covered one is given.
+        Where several templates are covered in places that overlap, the one that explains most of the passage is given.
         """
-        if not text or not self.any.search(low := text.lower()):
+        if not text or not self.any or not self.any.search(low := text.lower()):
             return []
-        words = low_words = None
-        out = []
-        spans = [(m.start(), m.end()) for m in _WORD.finditer(low)] if len(low) == len(text) else None
-        if spans is None:  # lower-casing changed lengths: take the words of the text as it is
-            spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        # where lower-casing changes lengths, the words of the text as it is
+        spans = [(m.start(), m.end()) for m in _WORD.finditer(low if len(low) == len(text) else text)]
         words = [text[i:j].lower() for i, j in spans]
-        low_words = set(words)
-        for name, template in self.templates.items():
-            if not (self.triggers[name] & low_words) or len(low_words.intersection(template)) < self.coverage * len(set(template)) - (len(template) - len(set(template))):
-                continue
-            reach, done = len(template) + max(2, len(template) // 4), -1
-            for at in (i for i, w in enumerate(words) if w in self.triggers[name]):
-                if at <= done:
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.of_word:
+                places.setdefault(w, []).append(i)
+        most: Counter[str] = Counter()
+        for w, at in places.items():
+            for name in self.of_word[w]:
+                most[name] += min(self.counts[name][w], len(at))
+        hits = [hit for name, n in most.items() if n >= self.need[name] for hit in self._hits(name, words, sorted(i for w in self.counts[name] for i in places.get(w, ())))]
+        return [(h.name, h.matched / h.size, spans[h.first][0], spans[h.last][1]) for h in self._best(hits)]
+
+    def _bags(self, name: str, words: list[str], at: list[int], end: int) -> list[int]:
+        """For the passage from each place of a template's word, up to ``end`` at most: how many of the template's words it holds, in any order."""
+        counts, reach = self.counts[name], self.reach[name]
+        held: Counter[str] = Counter()
+        out, total, j = [], 0, 0
+        for i, start in enumerate(at):
+            while j < len(at) and at[j] < min(start + reach, end):
+                w = words[at[j]]
+                total += held[w] < counts[w]
+                held[w] += 1
+                j += 1
+            out.append(total)
+            w = words[start]
+            held[w] -= 1
+            total -= held[w] < counts[w]
+        return out
+
+    def _hits(self, name: str, words: list[str], at: list[int]) -> list[Hit]:
+        """All places where the template is covered, none within another; ``at`` are the places of its words."""
+        template, need, reach = self.templates[name], self.need[name], self.reach[name]
+        out = []
+        todo = [(0, len(words))]
+        while todo:
+            begin, end = todo.pop()
+            own = at[bisect.bisect_left(at, begin) : bisect.bisect_left(at, end)]
+            bags, k = self._bags(name, words, own, end), 0
+            while k < len(own):
+                if bags[k] < need:
+                    k += 1
+                    continue
+                stop = bisect.bisect_left(own, own[k] + reach)
+                near = [j for j in range(k, stop) if bags[j] >= need]
+                passage = lambda j: words[own[j] : min(own[j] + reach, end)]  # noqa: E731, B023
+                best: list[tuple[int, int]] = []
+                for j in sorted(near, key=lambda j: -bags[j]):  # the fullest first, as far as another can still be better
+                    if bags[j] <= len(best):
+                        break
+                    pairs = align(template, passage(j))
+                    if len(pairs) > len(best):
+                        best = [(a, own[j] + b) for a, b in pairs]
+                if len(best) < need:  # the exact check
+                    for j in near:
+                        pairs = common_subsequence(template, passage(j))
+                        if len(pairs) > len(best):
+                            best = [(a, own[j] + b) for a, b in pairs]
+                if len(best) < need:
+                    k = stop
                     continue
-                lo = max(done + 1, at - reach)
-                pairs = align(template, words[lo : at + reach])
-                pairs = self._tight(pairs, reach)
-                share = len(pairs) / len(template)
-                if share >= self.coverage:
-                    first, last = lo + pairs[0][1], lo + pairs[-1][1]
-                    out.append((name, share, first, last, len(pairs)))
-                    done = last
-        return [(name, share, spans[first][0], spans[last][1]) for name, share, first, last, _ in self._best(out)]
+                first, last = best[0][1], best[-1][1]
+                out.append(Hit(name, len(template), len(best), first, last))
+                todo.append((own[k], first))
+                k = bisect.bisect_right(own, last)
+        return out
 
     @staticmethod
-    def _best(hits: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
-        """Of hits that overlap the one that covers its template best, then the longest; in the order of the text."""
-        kept: list[tuple[str, float, int, int, int]] = []
-        for hit in sorted(hits, key=lambda x: (-x[1], -x[4], x[2], x[0])):
-            at = bisect.bisect_left(kept, hit[2], key=lambda x: x[3])  # the first that ends at its start or later
-            if at == len(kept) or kept[at][2] > hit[3]:
-                kept.insert(at, hit)
+    def _best(hits: list[Hit]) -> list[Hit]:
+        """Of hits that overlap those that explain most, in the order of the text."""
+        kept: list[Hit] = []
+        for hit in sorted(hits, key=lambda h: (-h.matched, h.size, h.first, h.name)):
+            at = bisect.bisect_left(kept, hit.first, key=lambda h: h.last)  # the first that ends at its start or later
+            stop = at
+            while stop < len(kept) and kept[stop].first <= hit.last:
+                stop += 1
+            if not any(h.beats(hit) for h in kept[at:stop]):
+                kept[at:stop] = [hit]
         return kept
 
-    @staticmethod
-    def _tight(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
-        """The most pairs within ``reach`` words of the text."""
-        best, lo = [], 0
-        for hi in range(len(pairs)):
-            while pairs[hi][1] - pairs[lo][1] >= reach:
-                lo += 1
-            if hi - lo + 1 > len(best):
-                best = pairs[lo : hi + 1]
-        return best
-
 
 def read_templates(spark: SparkSession, path: str, most_bytes: int = 16 << 20) -> dict[str, str]:
-    """Templates from a folder of text files, by file name without its ending; more than ``most_bytes`` of them raise."""
+    """Templates from a folder of text files, by file name without its ending; more than ``most_bytes`` of them raise. Files without words are never found."""
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.\w+)?$", 1).alias("name"), "value")
     if (files.agg(F.sum(F.octet_length("value"))).first()[0] or 0) > most_bytes:
         raise ValueError(f"templates of more than {most_bytes} bytes")
