@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from ..config import label, quantile_levels
 from ..functions import gev
+from ..shared import stage
 from . import fit as fits
 from .ranks import rank_and_ecdf
 
+#: Bytes of draws that every task is sent, and that a task keeps of those it makes itself.
+SHARED_BYTES = 64 << 20
+
 
 def draw(seed: int, n: Column, sample: Column, k: Column) -> Column:
     """A number from 0 to n - 1."""
@@ -22,10 +26,52 @@ def draw(seed: int, n: Column, sample: Column, k: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), n.cast("long"))
 
 
-def draws_of(seed: int, n: int, n_sample: int) -> np.ndarray:
-    """The same draws as ``draw``, as an array samples x n."""
+def draws_of(seed: int, n: int, n_sample: int, first: int = 0) -> np.ndarray:
+    """The same draws as ``draw``, as an array samples x n, from the sample ``first`` on."""
     one = lambda s, k: int(hashlib.md5(f"{seed}-{n}-{s}-{k}".encode()).hexdigest()[:8], 16) % n
-    return np.array([[one(s, k) for k in range(n)] for s in range(n_sample)], np.int64).reshape(n_sample, n)
+    return np.array([[one(s, k) for k in range(n)] for s in range(first, first + n_sample)], np.int64).reshape(n_sample, n)
+
+
+def shared_draws(spark: SparkSession, lengths: dict[int, int], n_sample: int, seed: int, most_bytes: int = SHARED_BYTES) -> dict[int, np.ndarray]:
+    """The draws of record lengths, each hashed once, by tasks of their own: of the commonest of ``lengths`` (n: series), as many as ``most_bytes`` hold."""
+    chosen, free = [], most_bytes
+    for n in sorted(lengths, key=lambda n: (-lengths[n], n)):
+        if 4 * n * n_sample <= free:
+            chosen.append(n)
+            free -= 4 * n * n_sample
+    if not chosen:
+        return {}
+    step = max(1, 20_000 // max(chosen))  # samples of a piece
+
+    def draw_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(drawn=[draws_of(seed, n, hi - lo, lo).astype(np.int32).tobytes() for n, lo, hi in zip(pdf["n"], pdf["lo"], pdf["hi"], strict=True)])
+
+    pieces = spark.createDataFrame([(n, lo, min(lo + step, n_sample)) for n in chosen for lo in range(0, n_sample, step)], "n int, lo int, hi int")
+    rows = pieces.repartition(spark.sparkContext.defaultParallelism).mapInPandas(draw_pieces, "n int, lo int, hi int, drawn binary").collect()
+    out: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: r["lo"]):
+        out.setdefault(r["n"], []).append(np.frombuffer(r["drawn"], np.int32).reshape(-1, r["n"]))
+    return {n: np.concatenate(parts) for n, parts in out.items()}
+
+
+class Draws:
+    """Draws by record length: those that are shared, and of others those last used, within ``most_bytes``."""
+
+    def __init__(self, shared, seed: int, n_sample: int, most_bytes: int = SHARED_BYTES):
+        self.shared, self.seed, self.n_sample, self.most_bytes = shared, seed, n_sample, most_bytes
+        self.own: dict[int, np.ndarray] = {}
+
+    def __call__(self, n: int) -> np.ndarray:
+        found = self.shared.value.get(n)
+        if found is None:
+            found = self.own.pop(n, None)
+            if found is None:
+                found = draws_of(self.seed, n, self.n_sample).astype(np.int32)
+            self.own[n] = found  # the last one used stands last
+            while len(self.own) > 1 and sum(x.nbytes for x in self.own.values()) > self.most_bytes:
+                del self.own[next(iter(self.own))]
+        return found
 
 
 def fit_samples_sql(ams: DataFrame, keys: list[str], n_sample: int, seed: int = 1, shape: float | None = None) -> DataFrame:
@@ -80,21 +126,23 @@ def fit_with_intervals(ams: DataFrame, keys: list[str], n_sample: int = 500, wid
     """``(keys, duration, ci, ev_param, gev, gev_scaled, slope, intercept, rsquared, spearman)``.
 
     ``ci`` is 'estimate' or a quantile level over the resamples. Blocks are drawn, the same for all series of one
-    length. One task step for each location: its samples are never rows. Scaling values repeat on each duration.
+    length; a length's draws are made once and sent to all tasks, within SHARED_BYTES. One task step for each location: its samples are
+    never rows. Scaling values repeat on each duration. ``ams`` is staged, and its record lengths come to the driver.
     """
     levels = quantile_levels(widths)
     labels = ["estimate", *map(label, levels)]
     kinds = dict(ams.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", duration {kinds['duration']}, ci string, ev_param string, gev double, gev_scaled double, slope double, intercept double, rsquared double, spearman double"
-    cache: dict[int, np.ndarray] = {}
+    ams = stage(ams.select(*keys, "duration", "block", "annual_max"), "maxima")
+    sizes = ams.where("annual_max IS NOT NULL").groupBy(*keys, "duration").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("c"))
+    shared = shared_draws(ams.sparkSession, {r["n"]: r["c"] for r in sizes.collect()}, n_sample, seed)
+    drawn = Draws(ams.sparkSession.sparkContext.broadcast(shared), seed, n_sample)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         params, durations = [], []
         for d, own in pdf.dropna(subset=["annual_max"]).sort_values("block").groupby("duration"):
             x = own["annual_max"].to_numpy(float)
-            if len(x) not in cache:
-                cache[len(x)] = draws_of(seed, len(x), n_sample)
-            b = np.concatenate([sample_moments(x, part) for part in np.array_split(cache[len(x)], max(1, len(x) * n_sample // 1_000_000))])
+            b = np.concatenate([sample_moments(x, part) for part in np.array_split(drawn(len(x)), max(1, len(x) * n_sample // 1_000_000))])
             params.append(params_of(np.concatenate([sample_moments(x, np.arange(len(x))[None]), b]), shape))
             durations.append(d)
         if not params:
@@ -119,7 +167,7 @@ def fit_with_intervals(ams: DataFrame, keys: list[str], n_sample: int = 500, wid
                 rows += [[*head, d, ci, name, *(x[c] for x in own)] for c, ci in enumerate(labels)]
         return pd.DataFrame(rows, columns=[c.split()[0].strip("`") for c in schema.split(", ")])
 
-    out = ams.select(*keys, "duration", "block", "annual_max").groupBy(*keys).applyInPandas(one, schema)
+    out = ams.groupBy(*keys).applyInPandas(one, schema)
     return out.select(*keys, "duration", "ci", "ev_param", *[gev.no_nan(F.col(c)).alias(c) for c in ("gev", "gev_scaled", "slope", "intercept", "rsquared", "spearman")])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import ALL_DURATIONS, FitConfig, label, quantile_levels
 from ..functions import gev
 from ..operators import blockmax, bootstrap, compare, fit, grid, products, quantiles, ranks, report, stations
+from ..shared import stage
 from . import data
 from .data import BY, DURATIONS, SHAPE
 
@@ -100,7 +101,7 @@ lines AS (SELECT loc, ev_param, CASE WHEN count(y) = count(x) THEN regr_slope(y,
 
 
 def _lines(spark, sf_dir, durations=DURATIONS):
-    params = fit.long_params(_fit(spark, sf_dir, durations=durations), BY)
+    params = stage(fit.long_params(_fit(spark, sf_dir, durations=durations), BY), "params")
     return params, fit.scaling(params, ["loc"])
 
 
@@ -122,7 +123,8 @@ gof AS (SELECT loc, duration, max(abs(ecdf - cdf)) AS KS_D, CASE WHEN count(annu
 
 
 def _gof(spark, sf_dir):
-    points = fit.gof_points(data.ranked(spark, sf_dir), _fit(spark, sf_dir), BY)
+    ranked = stage(data.ranked(spark, sf_dir), "ranked")  # read for the fits and for the points
+    points = fit.gof_points(ranked, fit.fit_gev(ranked, BY, shape=SHAPE), BY)
     return points, fit.goodness_of_fit(points, BY)
 
 
@@ -357,7 +359,7 @@ def intensity_intervals(spark, sf_dir):
 
 def _sources(spark, sf_dir):
     """Fitted and scaled intensities as two sources beside the Gumbel fit as the reference."""
-    moments = fit.moments(data.ranked(spark, sf_dir), BY)  # one plan of the maxima for all sources but the scaled one
+    moments = stage(fit.moments(data.ranked(spark, sf_dir), BY), "moments")  # read for each source
     fitted = fit.fit_moments(moments, SHAPE)
     params = fit.long_params(fitted, BY)
     scaled = fit.with_scaled(params, fit.scaling(params, ["loc"]), ["loc"]).groupBy(*BY).agg(*[F.max(F.when(F.col("ev_param") == p, F.col("gev_scaled"))).alias(p) for p in fit.PARAMS])
@@ -376,7 +378,7 @@ gf AS (SELECT latitude, longitude, b0 - scale * (1 - gamma(1 + {SHAPE})) / {SHAP
 
 def _cell_fit(spark, sf_dir):
     keys = ["latitude", "longitude"]
-    return fit.fit_gev(ranks.rank_and_ecdf(_grid_ams(spark, sf_dir), keys), keys, shape=SHAPE).drop("n_obs")
+    return stage(fit.fit_gev(ranks.rank_and_ecdf(_grid_ams(spark, sf_dir), keys), keys, shape=SHAPE).drop("n_obs"), "cells")
 
 
 _SOURCES = f"""{data.sql_fit()}, {_LINES}, gum AS (SELECT loc, duration, b0 - 0.5772156649015329 * (l2 / 0.6931) AS location, l2 / 0.6931 AS scale FROM fit0),
@@ -415,7 +417,8 @@ def _gauges(spark, sf_dir):
     value = F.max(F.col("l_quantity") + F.col("l_extendedprice") / 1e4).alias("annual_max")
     ams = data.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("station"), F.year("l_shipdate").alias("block")).agg(value)
     fits = fit.fit_gev(ranks.rank_and_ecdf(ams, ["station"]), ["station"], shape=SHAPE)
-    return fits.join(data.stations(spark, sf_dir).select("station", "latitude", "longitude"), "station").withColumn("duration", F.lit(24))
+    placed = fits.join(data.stations(spark, sf_dir).select("station", "latitude", "longitude"), "station")
+    return stage(placed.withColumn("duration", F.lit(24)), "gauges")
 
 
 def _against_cells(spark, sf_dir):

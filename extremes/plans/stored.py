@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gev
 from ..operators import blockmax, products, quantiles, stations
+from ..operators.robust import robust_lines_at_size
 from ..shared import stage_path
 from ..sources import records, stages
 from . import data
@@ -132,6 +133,24 @@ def published_table(spark, sf_dir):
     return stored.withColumn("about_a", F.lit(stored.schema["a"].metadata.get("comment")))
 
 
+_ROUNDS = 5
+_FIRST = "SELECT g, regr_slope(y, x) AS a, regr_intercept(y, x) AS c FROM p GROUP BY 1"
+_AGAIN = "SELECT p.g, regr_slope(y, x) AS a, regr_intercept(y, x) AS c FROM p JOIN s{0} USING (g) WHERE open AND abs(y - a * x - c) <= 2 * s GROUP BY 1"
+_ROUND = """b{1} AS ({2}), r{1} AS (SELECT p.g, a, c, abs(y - a * x - c) AS r FROM p JOIN b{1} USING (g)), m{1} AS (SELECT g, quantile_cont(r, 0.5) / 0.6745 AS s FROM r{1} GROUP BY 1),
+l{1} AS (SELECT g, any_value(a) AS a, any_value(c) AS c, any_value(s) AS s, sum(CASE WHEN r / s <= 2 THEN r / s * (r / s) / 2 ELSE 2 END) AS loss FROM r{1} JOIN m{1} USING (g) GROUP BY 1),
+s{1} AS (SELECT g, l.a, l.c, l.s, l.loss, l.s > 1e-12 AND {3} AS open FROM l{1} l {4})"""
+_ROBUST = "p AS (SELECT l_returnflag AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem), " + ", ".join(
+    _ROUND.format(k - 1, k, _AGAIN.format(k - 1) if k else _FIRST, f"abs(l.loss - s{k - 1}.loss) > 1e-8" if k else "true", f"JOIN s{k - 1} USING (g) UNION ALL SELECT * FROM s{k - 1} WHERE NOT open" if k else "") for k in range(_ROUNDS)
+)
+
+
+@query(f"WITH {_ROBUST} SELECT g AS flag, round(a, 4) AS slope, round(c, 4) AS intercept, (SELECT count(*) FROM p WHERE p.g = s.g) AS n FROM s{_ROUNDS - 1} s")
+def robust_lines(spark, sf_dir):
+    """Price on quantity over all line items of a flag: robust lines of cases that no task holds, five rounds of them."""
+    df = data.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_quantity", "l_extendedprice")
+    return rounded(robust_lines_at_size(df, ["flag"], "l_quantity", "l_extendedprice", intercept=True, rounds=_ROUNDS), 4)
+
+
 # The coefficients of the quantile variance from gamma functions, and their cubic approximations.
 _COEFFICIENTS = f"""k AS (SELECT {SHAPE}::DOUBLE AS k), g AS (SELECT k, gamma(1 + k) AS g1, gamma(1 + 2 * k) AS g2, 1 - pow(2.0, -k) AS h FROM k),
 tail AS (SELECT sum(gamma(2 * k + m) * pow(-0.5, m) / ((k + m) * gamma(m + 1))) AS t FROM k, range(1, 30) r(m)),

@@ -5,6 +5,7 @@ import itertools
 import math
 import os
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -13,8 +14,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from extremes.config import ALL_DURATIONS
-from extremes.operators import blockmax, grid, report
+from extremes.operators import blockmax, bootstrap, compare, grid, report
+from extremes.operators.robust import robust_lines_at_size
 from extremes.operators.selection import exact_quantiles
+from extremes.plans import data, queries
 from extremes.sources import records, stages
 
 INF, NAN = float("inf"), float("nan")
@@ -170,6 +173,49 @@ def test_search_by_halving_is_the_search_of_all(spark):
     assert none.count() == 61 and none.where("cell_lat IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("intercept", [False, True])
+def test_robust_lines_at_size_are_those_of_one_task(spark, intercept):
+    """Cases with outliers, of one point, without variance, without points, on a line exactly."""
+    rng = np.random.default_rng(9)
+    rows = [(g, float(x), float(2 * x + 1 + rng.normal() + (40 if rng.random() < 0.2 else 0))) for g in "ab" for x in rng.random(60) * 9]
+    rows += [("one", 1.0, 2.0), ("flat", 3.0, 1.0), ("flat", 3.0, 2.0), ("flat", 3.0, 9.0), ("null", None, 1.0), (None, 1.0, 1.0), (None, 2.0, 3.0), (None, 3.0, 2.0), *[("exact", float(x), 2.0 * x) for x in range(1, 6)]]
+    df = spark.createDataFrame(rows, "g string, ref double, est double")
+    got = {r.g: r for r in robust_lines_at_size(df, ["g"], intercept=intercept).collect()}
+    want = {r.g: r for r in compare.robust_lines(df, ["g"], intercept=intercept).collect()}
+    assert set(got) == set(want)
+    for g, r in want.items():
+        assert got[g].n == r.n and same(got[g].slope, r.slope) or got[g].slope == pytest.approx(r.slope, rel=1e-9), g
+        assert r.slope is None or got[g].intercept == pytest.approx(r.intercept, abs=1e-9), g
+
+
+def test_draws_are_made_once_and_within_their_bound(spark):
+    lengths = {3: 5, 40: 9, 1: 1, 7: 1}
+    got = bootstrap.shared_draws(spark, lengths, 90, 2)
+    assert set(got) == set(lengths) and all((got[n] == bootstrap.draws_of(2, n, 90)).all() for n in lengths)
+    some = bootstrap.shared_draws(spark, lengths, 90, 2, 4 * 90 * 44)
+    assert set(some) == {40, 3, 1} and bootstrap.shared_draws(spark, {}, 90, 2) == {}
+    draws = bootstrap.Draws(SimpleNamespace(value=some), 2, 90, 4 * 90 * 20)
+    assert (draws(7) == got[7]).all() and (draws(40) == got[40]).all() and set(draws.own) == {7}
+    assert (draws(13) == bootstrap.draws_of(2, 13, 90)).all() and set(draws.own) == {7, 13}
+    assert draws(7) is draws.own[7] and draws(8).shape == (90, 8) and set(draws.own) == {7, 8}  # the one last used stays
+
+
+@pytest.mark.parametrize("name, reads", [("block_maxima", 1), ("goodness_of_fit", 1), ("source_errors", 1), ("bootstrap_intervals", 1)])
+def test_queries_read_their_table_once(spark, monkeypatch, name, reads):
+    """The table goes into a stage, which the rest of the query reads."""
+    asked, table = [], data.table
+    monkeypatch.setattr(data, "table", lambda spark, sf, name: asked.append(name) or table(spark, sf, name))
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked.count("events") == reads and "events.parquet" not in plan(df)
+
+
+def test_the_report_reads_its_tables_a_few_times(spark, monkeypatch):
+    asked, table = [], data.table
+    monkeypatch.setattr(data, "table", lambda spark, sf, name: asked.append(name) or table(spark, sf, name))
+    df = queries.QUERIES["comparison_report"](spark, "/root/testdata/sf0.001")
+    assert asked.count("lineitem") == 2 and "lineitem.parquet" not in plan(df)
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_signed_ranks_are_enumerated(n):
     sums = [sum(r for r, s in zip(range(1, n + 1), signs) if s) for signs in itertools.product((0, 1), repeat=n)]
