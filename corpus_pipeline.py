@@ -1,4 +1,9 @@
-"""The corpus pipeline: five operators in a row over ``documents``, each stage written as Parquet and read again."""
+"""The corpus pipeline: five operators in a row over ``documents``, each stage written as Parquet and read again.
+
+What holds for every stage: null texts count as empty; long texts are read whole; rows that are repeated, or tie, get
+equal answers each; an empty table gives an empty one with the same columns; other columns of ``docs`` stay as they
+are, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +15,6 @@ from extremes.llm.common import free_name, materialize, table
 
 #: Least score at which a language is taken as known.
 LANGUAGE_SCORE = 0.5
-# What holds for every stage: null texts count as empty; long texts are read whole; rows that are repeated, or tie, get
-# equal answers each; an empty table gives an empty one with the same columns; other columns of ``docs`` stay as they
-# are, whatever their names.
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
