@@ -151,6 +151,8 @@ def t_quantile(p: float, df: float) -> float:
         hi *= 2
     for _ in range(200):
         mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break  # no number lies between
         lo, hi = (mid, hi) if upper(mid) > 1 - p else (lo, mid)
     return (lo + hi) / 2
 
