@@ -40,6 +40,10 @@ PASSAGE = 64
 PORTION_BYTES = 64 << 20
 #: Characters, about, of the texts that are held against a portion together.
 TEXT_CHARS = 2_000_000
+#: Where there are several portions: characters, about, of the texts for which each portion is read once.
+HELD_CHARS = 32_000_000
+#: Rows that are gathered at most, however short their texts are.
+HELD_ROWS = 100_000
 _WORD = re.compile(r"\w+")
 _SENTENCE_END = re.compile(r"[.!?]\s+(?=\S)")
 
@@ -242,6 +246,8 @@ class Benchmark:
     def read(self) -> Iterator[Portion]:
         for portion in self.portions:
             yield Portion([pickle.loads(shard) for shard in pickle.loads(portion.value)])
+            if len(self.portions) > 1 and getattr(portion, "_path", None):  # a worker would keep the bytes of all portions read
+                vars(portion).pop("_value", None)
 
 
 def build(items: DataFrame, shard_items: int = SHARD_ITEMS, portion_bytes: int = PORTION_BYTES) -> Benchmark:
@@ -288,6 +294,49 @@ def build(items: DataFrame, shard_items: int = SHARD_ITEMS, portion_bytes: int =
     return Benchmark(portions)
 
 
+def _runs(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
+    """Ends of runs of texts that hold about ``chars`` characters."""
+    size = np.cumsum([len(t or "") for t in texts]) // chars
+    yield from itertools.pairwise([0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)])
+
+
+def _gathered(parts: Iterator[pd.Series], chars: int) -> Iterator[list[str | None]]:
+    """The texts of batches, joined over batches until they hold ``chars`` characters or ``HELD_ROWS`` rows."""
+    held, size = [], 0
+    for part in parts:
+        held += part.tolist()
+        size += sum(len(t or "") for t in held[len(held) - len(part) :])
+        if size >= chars or len(held) >= HELD_ROWS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def leaks_of(parts: Iterator[pd.Series], benchmark: Benchmark, threshold: float, overlap: float) -> Iterator[list[list[tuple]]]:
+    """The leaks of each text of a partition, in order.
+
+    An index of one portion is read once. Of a larger one each portion is read once for ``HELD_CHARS`` characters or
+    more, up to twice as many (or one text), whose words a task then keeps, equal ones as one string.
+    """
+    several = len(benchmark.portions) > 1
+    small = None if several else list(benchmark.read())
+    for texts in _gathered(parts, HELD_CHARS if several else 1):
+        found: list[list[tuple]] = []
+        total = sum(len(t or "") for t in texts)
+        for lo, hi in _runs(texts, total // max(1, total // HELD_CHARS) + 1 if several else TEXT_CHARS):
+            split, same = map(split_words, texts[lo:hi]), {}  # a text is split once for all shards
+            words = [list(map(same.setdefault, own, own)) for own in split] if several else list(split)
+            runs = list(_runs(texts[lo:hi], TEXT_CHARS))
+            leaks: list[list[tuple]] = [[] for _ in words]
+            for portion in benchmark.read() if small is None else small:
+                for a, b in runs:
+                    for held, more in zip(leaks[a:b], portion.leaks(words[a:b], threshold, overlap), strict=True):
+                        held += more
+            found += leaks
+        yield found
+
+
 def find_leaks(docs: DataFrame, benchmark: Benchmark, threshold: float = 0.5, overlap: float = 0.5, out: str = "leaks") -> DataFrame:
     """``docs`` with an array ``out`` of structs (item_id, score, question_overlap, answer_overlap), empty for clean texts.
 
@@ -298,18 +347,8 @@ def find_leaks(docs: DataFrame, benchmark: Benchmark, threshold: float = 0.5, ov
 
     @F.pandas_udf("array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>")
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        small = list(benchmark.read()) if len(benchmark.portions) < 2 else None
-        for part in texts:
-            found: list[list[tuple]] = []
-            size = np.cumsum([len(t or "") for t in part]) // TEXT_CHARS
-            for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(part)]):
-                words = [split_words(t) for t in part.iloc[lo:hi]]  # a text is split once for all shards
-                own: list[list[tuple]] = [[] for _ in words]
-                for portion in benchmark.read() if small is None else small:
-                    for held, more in zip(own, portion.leaks(words, threshold, overlap), strict=True):
-                        held += more
-                found += own
-            order = lambda x: (x[0] is None, x[0] or 0, -x[1])
+        order = lambda x: (x[0] is None, x[0] or 0, -x[1])
+        for found in leaks_of(texts, benchmark, threshold, overlap):
             yield pd.Series([[dict(zip(names, x, strict=True)) for x in sorted(own, key=order)] for own in found])
 
     return docs.withColumn(out, search(F.col("text")))

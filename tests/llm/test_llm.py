@@ -6,8 +6,10 @@ import math
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -174,6 +176,40 @@ def test_leaks_are_those_of_every_passage(spark, shard_items, portion_bytes):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(got) > 30
 
 
+def test_a_portion_is_read_once_for_many_texts(monkeypatch):
+    """However many batches the texts come in; leaks are those of an index in one portion."""
+    _, word, items = _long_items(5, [20, 30, 40, 50] * 6)
+    df = Counter(w for _, t in items for w in set(decontaminate.split_words(t)))
+    shards = [decontaminate.Index(items[k : k + 6], df, len(items), 35, 128) for k in range(0, 24, 6)]
+
+    class Held:
+        def __init__(self, portions):
+            self.portions, self.reads = portions, 0
+
+        def read(self):
+            for portion in self.portions:
+                self.reads += 1
+                yield decontaminate.Portion(portion)
+
+    texts = [None, ""] + [" ".join([word() for _ in range(40)] + items[k % 24][1].split()) for k in range(60)]
+    parts = [pd.Series(texts[i : i + 5], dtype=object) for i in range(0, len(texts), 5)]
+    size = max(len(t or "") for t in texts)
+
+    def run(portions, held):
+        monkeypatch.setattr(decontaminate, "HELD_CHARS", held)
+        monkeypatch.setattr(decontaminate, "TEXT_CHARS", 3 * size)
+        index = Held(portions)
+        found = [sorted(x) for part in decontaminate.leaks_of(iter(parts), index, 0.5, 0.5) for x in part]
+        return found, index.reads
+
+    want, reads = run([shards], 10**9)
+    assert reads == 1 and len(want) == len(texts) and sum(map(bool, want)) >= 60
+    assert run([[s] for s in shards], 10**9) == (want, 4)
+    got, reads = run([[s] for s in shards], 10 * size)
+    assert got == want and 4 < reads <= 4 * (sum(len(t or "") for t in texts) // (10 * size) + 1)
+    assert list(decontaminate.leaks_of(iter([]), Held([shards]), 0.5, 0.5)) == []
+
+
 def test_a_missing_answer_is_no_leak(spark):
     rng, word, items = _long_items(3, [250, 260, 300, 520])
     question = lambda t: " ".join(t.split(". ")[0].split())
