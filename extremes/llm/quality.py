@@ -16,6 +16,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,14 @@ SIZES = 23
 LABELLED_ROWS = 5000
 #: Text slots that the text classifier uses, those that tell most about the labels.
 TEXT_FEATURES = 1024
-#: Passes over the pool to fit both views in a round, unlabelled rows of a block, and bins of the margins from -30 to 30.
-PASSES = 8
+#: Weight of all pseudo-labels together, at most, as a multiple of that of the labelled rows.
+POOL_MASS = 0.5
+#: A fit has settled where no entry of its gradient exceeds this; one that has not after so many passes raises.
+SETTLED = 1e-3
+PASSES = 200
+#: Groups of tasks whose sums are added before the driver gets them.
+SUMS = 64
+#: Unlabelled rows of a block, and bins of the margins from -30 to 30.
 BLOCK_ROWS = 2000
 BINS = 4096
 #: Words whose slot a worker remembers at most.
@@ -264,7 +271,9 @@ def co_train(slots: list[np.ndarray], pages: np.ndarray, y: np.ndarray, rounds:
     """Fit on rows with y in {0, 1} (labelled) or -1 (pool). A fifth of the labelled rows is kept for calibration.
 
     With ``pool`` the unlabelled rows are those of its sums, not the rows with y = -1. Pseudo-labels count half, and all
-    together at most half as much as the labelled rows, however large the pool is.
+    together at most POOL_MASS times as much as the labelled rows, however large the pool is. A view keeps, and teaches by,
+    the classifier of the round in which the kept rows were likeliest, so that a view that is taught wrongly falls back
+    on what it knew; rounds end where neither view gains.
     """
     labelled = np.flatnonzero(y >= 0)
     prior = float(y[labelled].mean()) if len(labelled) else 0.5
@@ -286,39 +295,48 @@ def co_train(slots: list[np.ndarray], pages: np.ndarray, y: np.ndarray, rounds:
     shape = ((pages - basis.centre) / basis.spread).astype(np.float32)
     views, target = (words, shape), y[fit].astype(float)
     total = pool(basis) if pool else in_memory([basis.row(slots[i], pages[i]) for i in np.flatnonzero(y < 0)])
-    raw = [_descend(view[fit], target, np.ones(len(fit)), 1e-3) for view in views]
+    start = [np.zeros(view.shape[1] + 1) for view in views]
+    raw = _fit([v[fit] for v in views], target, start, None, [])  # of the labelled rows alone
     teachers: list[list[Teacher]] = [[], []]
+    scaled, least = [None, None], [np.inf, np.inf]  # of each view the best so far, and its log loss on the kept rows
     for k in range(rounds + 1):
-        scaled = []
-        for view, w in zip(views, raw, strict=True):
+        before = list(least)
+        for i, (view, w) in enumerate(zip(views, raw, strict=True)):
             a, b = _scale(_logit(view[kept], w), y[kept])
-            scaled.append(np.r_[w[:-1] * max(a, 1e-3), w[-1] * max(a, 1e-3) + b])
-        if k == rounds:
+            new = np.r_[w[:-1] * max(a, 1e-3), w[-1] * max(a, 1e-3) + b]
+            z = _logit(view[kept], new)
+            loss = float((np.logaddexp(0, z) - y[kept] * z).mean())
+            if loss < least[i]:
+                scaled[i], least[i] = new, loss
+        if k == rounds or least == before:
             break
         counts = total(margin_counts(*scaled))
         if counts is None:
             break
         for view in (0, 1):
             teachers[view].append(Teacher(scaled[view], *_bounds(counts.reshape(2, BINS)[view], prior, rounds, sure)))
-        raw = _fit_with_pool([v[fit] for v in views], target, raw, total, teachers)
+        raw = _fit([v[fit] for v in views], target, raw, total, teachers)
     both = np.stack([_logit(v[kept], w) for v, w in zip(views, scaled, strict=True)], 1)
     blend = _descend(both / (both.std(0) + 1e-9), y[kept], np.ones(len(kept)), 1e-3, 400) / np.r_[both.std(0) + 1e-9, 1]
     return Model(prior, chosen, scaled[0], basis.centre, basis.spread, scaled[1], blend)
 
 
-def _fit_with_pool(views: list[np.ndarray], y: np.ndarray, start: list[np.ndarray], total: PoolSum, teachers: list[list[Teacher]], ridge: float = 1e-3) -> list[np.ndarray]:
-    """Both logistic regressions over the labelled rows and all pool rows with pseudo-labels, from ``start``."""
+def _fit(views: list[np.ndarray], y: np.ndarray, start: list[np.ndarray], total: PoolSum | None, teachers: list[list[Teacher]], ridge: float = 1e-3) -> list[np.ndarray]:
+    """Both logistic regressions over the labelled rows and all pool rows with pseudo-labels, from ``start`` until both have settled."""
     searches = [Search(w, 4 / (np.mean((x**2).sum(1)) + 1 + 4 * ridge)) for x, w in zip(views, start, strict=True)]
+    none = np.zeros(sum(2 + len(w) for w in start))
     for _ in range(PASSES):
-        sums = total(pool_gradient(*(s.at for s in searches), teachers))
+        sums = total(pool_gradient(*(s.at for s in searches), teachers)) if total else none
         for s, x, own in zip(searches, views, np.split(sums, [2 + len(start[0])]), strict=True):
             z = np.clip(_logit(x, s.at), -30, 30)
             error = _sure(z) - y
-            half = 0.5 * min(1, len(y) / max(own[0], 1))
+            half = min(0.5, POOL_MASS * len(y) / max(own[0], 1))
             mass, flat = len(y) + half * own[0], np.r_[s.at[:-1], 0]
             loss = ((np.logaddexp(0, z) - y * z).sum() + half * own[1]) / mass + ridge / 2 * flat @ flat
             s.tell(loss, (np.r_[error @ x, error.sum()] + half * own[2:]) / mass + ridge * flat)
-    return [s.w for s in searches]
+        if all(np.abs(s.slope).max() <= SETTLED for s in searches):
+            return [s.w for s in searches]
+    raise RuntimeError(f"fits of the views have not settled after {PASSES} passes")
 
 
 def stored_pool(docs: DataFrame, told: DataFrame, basis: Basis) -> PoolSum:
@@ -356,9 +374,18 @@ def stored_pool(docs: DataFrame, told: DataFrame, basis: Basis) -> PoolSum:
             own = read(batches)
             first = next(own, None)
             if first is not None:
-                yield pa.record_batch([pa.array([f(chain([first], own)).tobytes()], pa.binary())], ["total"])
-
-        sums = [np.frombuffer(r[0]) for r in stored.mapInArrow(own_sum, "total binary").collect()]  # one a task
+                sums, group = f(chain([first], own)), TaskContext.get().partitionId() % SUMS
+                yield pa.record_batch([pa.array([group], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["group", "total"])
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = None
+            for value in (x for batch in batches for x in batch.column(1).to_pylist()):
+                sums = np.frombuffer(value) if sums is None else sums + np.frombuffer(value)
+            if sums is not None:
+                yield pa.record_batch([pa.array([sums.tobytes()], pa.binary())], ["total"])
+
+        grouped = stored.mapInArrow(own_sum, "group int, total binary").repartition("group").mapInArrow(add_up, "total binary")
+        sums = [np.frombuffer(r[0]) for r in grouped.collect()]  # SUMS at most
         return np.sum(sums, 0) if sums else None
 
     return total

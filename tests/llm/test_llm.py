@@ -60,18 +60,38 @@ def test_quality_tells_labels_kept_out_of_training(spark):
     assert len(got) > 60 and ((got.p_quality >= 0.5) == got.good).mean() > 0.8
 
 
-def test_co_training_uses_the_pool():
+def test_co_training_teaches_the_weaker_view():
+    """Few labels, a large pool: words tell the kinds apart, and teach the metadata, which so few labels fit badly."""
     rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 600)
+    y = rng.integers(0, 2, 6000)
     slots = [np.unique(np.r_[rng.integers(100, 60_000, 20), [1 + v, 11 + v, 21 + v]]).astype(np.int32) for v in y]
-    pages = np.stack([y + rng.normal(0, 0.4, 600), rng.normal(0, 1, 600)], 1)
-    told = np.where(np.arange(600) < 60, y, -1)
-    model = quality.co_train(slots, pages, told)
-    chosen = [np.isin(model.chosen, s).astype(float) @ model.text[:-1] + model.text[-1] > 0 for s in slots]
-    assert (np.array(chosen) == y).mean() > 0.95
+    pages = 0.2 * (2 * y[:, None] - 1) + rng.normal(0, 1, (6000, 100))
+    told, kept = np.where(np.arange(6000) < 300, y, -1), slice(5000, 6000)  # the last ones are in no pool
+    right = {}
+    for rounds in (0, 4):
+        model = quality.co_train(slots[:5000], pages[:5000], told[:5000], rounds=rounds)
+        text = np.array([np.isin(model.chosen, s).astype(float) @ model.text[:-1] + model.text[-1] for s in slots[kept]])
+        page = (pages[kept] - model.centre) / model.spread @ model.page[:-1] + model.page[-1]
+        both = text * model.blend[0] + page * model.blend[1] + model.blend[2]
+        right[rounds] = [((z > 0) == y[kept]).mean() for z in (text, page, both)]
+    assert right[4][1] > right[0][1] + 0.015, right
+    assert min(right[4][0], right[4][2]) > 0.95, right
     assert quality.co_train(slots[:3], pages[:3], np.array([1, 1, -1])).text is None
 
 
+def test_fits_settle(monkeypatch):
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 300)
+    x = [rng.normal(0, 1, (300, k)) + y[:, None] * 0.3 for k in (5, 30)]
+    got = quality._fit(x, y.astype(float), [np.zeros(6), np.zeros(31)], None, [])
+    for view, w in zip(x, got, strict=True):
+        error = 1 / (1 + np.exp(-(view @ w[:-1] + w[-1]))) - y
+        assert np.abs(np.r_[error @ view / 300 + 1e-3 * w[:-1], error.mean()]).max() <= quality.SETTLED
+    monkeypatch.setattr(quality, "PASSES", 2)
+    with pytest.raises(RuntimeError, match="settled"):
+        quality._fit(x, y.astype(float), [np.zeros(6), np.zeros(31)], None, [])
+
+
 def test_quality_pool_is_every_unlabelled_row(spark):
     ids = spark.range(9000).withColumn("at", F.row_number().over(Window.orderBy(F.xxhash64("id", F.lit(11)), "id")))
     kind = F.col("id") % 2
