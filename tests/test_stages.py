@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from extremes.config import ALL_DURATIONS
-from extremes.operators import blockmax, bootstrap, compare, grid, report
+from extremes.operators import blockmax, bootstrap, compare, grid, ranks, report
 from extremes.operators.robust import robust_lines_at_size
 from extremes.operators.selection import exact_quantiles
 from extremes.plans import data, queries
@@ -157,6 +157,27 @@ def test_no_plan_of_the_quantiles_gathers_all_values(spark):
     assert " percentile(" not in text and "_percentile(" not in text and "SinglePartition" not in text
 
 
+def test_rank_correlation_deals_a_group_over_ranges(spark, monkeypatch):
+    """Ties, a frequent value, nulls, NaN, null groups, no variance; no range holds a large part of the values."""
+    rng = np.random.default_rng(10)
+    x, y = rng.integers(0, 90, 900), rng.normal(size=900)
+    rows = [("a", float(i), float(i + 40 * j)) for i, j in zip(x, y)] + [("b", float(j), 0.0 if i < 60 else float(j * i)) for i, j in zip(x, y)]
+    rows += [(None, 1.0, 5.0), (None, 2.0, 5.0), (None, 2.0, -1.0), ("flat", 3.0, 1.0), ("flat", 3.0, 2.0), ("one", 1.0, 1.0), ("none", None, 1.0), ("a", None, 7.0), ("b", 7.0, None), ("odd", NAN, 2.0), ("odd", INF, 1.0), ("odd", -0.0, 1.0), ("odd", 0.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    tables, stage = [], ranks.stage
+    monkeypatch.setattr(ranks, "PART_ROWS", 100)
+    monkeypatch.setattr(ranks, "stage", lambda t, name: tables.append((name, out := stage(t, name))) or out)
+    got = {r.g: r.rho for r in ranks.spearman(df, ["g"], "x", "y").collect()}
+    both = df.where("x IS NOT NULL AND y IS NOT NULL").withColumn("rx", ranks.average_rank("x", ["g"])).withColumn("ry", ranks.average_rank("y", ["g"]))
+    want = {r.g: r.rho for r in both.groupBy("g").agg(ranks.pearson(F.col("rx"), F.col("ry")).alias("rho")).collect()}
+    assert set(got) == set(want) == {"a", "b", None, "flat", "one", "odd"} and got["flat"] is None and got["one"] is None
+    assert all(got[g] == pytest.approx(r, abs=1e-12) for g, r in want.items() if r is not None)
+    assert ranks.spearman(df.where("g = 'a'"), [], "x", "y").first().rho == pytest.approx(want["a"], abs=1e-12)
+    assert ranks.spearman(df.where("false"), ["g"], "x", "y").count() == 0
+    ranges = next(t for name, t in reversed(tables) if name == "ranges" and t.count() > 500)
+    assert ranges.groupBy("_part").count().agg(F.max("count")).first()[0] < 400
+
+
 def test_search_by_halving_is_the_search_of_all(spark):
     rng = np.random.default_rng(8)
     for n in (1, 2, 3, 7, 8, 9, 64, 100):
