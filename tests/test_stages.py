@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from extremes.config import ALL_DURATIONS
-from extremes.operators import blockmax, bootstrap, compare, grid, ranks, report
+from extremes.operators import blockmax, bootstrap, compare, grid, ranks, report, robust, selection
 from extremes.operators.robust import robust_lines_at_size
 from extremes.operators.selection import exact_quantiles
 from extremes.plans import data, queries
@@ -146,6 +146,21 @@ def test_selection_is_percentile(spark, parts, few):
     assert exact_quantiles(every, [], "x", levels, parts, few).first()["values"] == pytest.approx(every.agg(F.percentile("x", F.array(*map(F.lit, levels)))).first()[0])
 
 
+@pytest.mark.parametrize("near", [None, 0.0, -0.05])
+def test_selection_counts_large_groups_near_their_places(spark, monkeypatch, near):
+    """Few of a large group's values are counted; ranges that miss their places (``near``) give way to the whole group."""
+    df = spark.range(40_000).select((F.col("id") % 2).alias("g"), F.rand(3).alias("x")).unionByName(spark.range(90).select(F.lit(7).cast("long").alias("g"), F.rand(4).alias("x")))
+    tables, stage = [], selection.stage
+    monkeypatch.setattr(selection, "stage", lambda t, name: tables.append((name, out := stage(t, name))) or out)
+    if near is not None:
+        monkeypatch.setattr(selection, "NEAR", near)
+    levels = [0.0, 0.3, 0.3001, 0.5, 1.0]
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, levels))).alias("q")).collect()}
+    assert {r.g: r["values"] for r in exact_quantiles(df, ["g"], "x", levels, few=1000).collect()} == {g: pytest.approx(q, abs=1e-15) for g, q in want.items()}
+    counted = sum(t.count() for name, t in tables if name == "value-counts")
+    assert counted < 1000 if near is None else counted > 20_000
+
+
 def test_selection_of_nothing(spark):
     df = spark.createDataFrame([], "g string, x double")
     assert exact_quantiles(df, ["g"], "x", [0.5]).count() == 0
@@ -209,6 +224,18 @@ def test_robust_lines_at_size_are_those_of_one_task(spark, intercept):
         assert r.slope is None or got[g].intercept == pytest.approx(r.intercept, abs=1e-9), g
 
 
+def test_robust_lines_at_size_shuffle_few_points(spark, monkeypatch):
+    """A round counts only residuals near the median, and the loss meets scales of known size: no points are shuffled to it."""
+    df = spark.range(120_000).select(F.lit("a").alias("g"), (F.rand(5) * 9).alias("ref"), F.randn(6).alias("est"))
+    counted, lines, keep = [], [], selection.stage
+    monkeypatch.setattr(selection, "stage", lambda t, name: (out := keep(t, name), counted.append(out) if name == "value-counts" else None)[0])
+    monkeypatch.setattr(robust, "stage", lambda t, name: (lines.append(plan(t)) if name == "lines" else None, keep(t, name))[1])
+    got, want = (f(df, ["g"], intercept=True).first() for f in (lambda *a, **k: robust_lines_at_size(*a, rounds=2, **k), compare.robust_lines))
+    assert got.n == want.n == 120_000 and len(counted) == 2 and all(t.count() < 1000 for t in counted)
+    assert got.slope == pytest.approx(want.slope, abs=0.02)
+    assert len(lines) == 3 and all(re.search(r"(?s)BroadcastHashJoin.*points-", text) for text in lines[1:])
+
+
 def test_draws_are_made_once_and_within_their_bound(spark):
     lengths = {3: 5, 40: 9, 1: 1, 7: 1}
     got = bootstrap.shared_draws(spark, lengths, 90, 2)
